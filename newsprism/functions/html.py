@@ -61,9 +61,14 @@ def strip_noise(html) -> Column:
     return out
 
 
+def first_hit(c: Column, pattern: str) -> Column:
+    """Group 1 of the first match, null without a match (one regex pass, one reference)."""
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), 1), F.lit(1))
+
+
 def body_of(clean) -> Column:
     c = col_(clean)
-    return F.when(c.rlike(r"(?i)<body\b"), F.regexp_extract(c, BODY_RE, 1)).otherwise(c)
+    return F.coalesce(first_hit(c, BODY_RE), c)
 
 
 def html_text(fragment) -> Column:
@@ -74,6 +79,4 @@ def html_text(fragment) -> Column:
 def main_region(clean) -> Column:
     """X3 region: content of the first selector with a hit, else null."""
     c = col_(clean)
-    hits = [F.when(c.rlike(selector_region_re(s)), F.regexp_extract(c, selector_region_re(s), 1))
-            for s in ARTICLE_SELECTORS]
-    return F.coalesce(*hits)
+    return F.coalesce(*[first_hit(c, selector_region_re(s)) for s in ARTICLE_SELECTORS])

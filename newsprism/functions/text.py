@@ -91,14 +91,18 @@ SNIPPET_DATE_PREFIXES = [
 SNIPPET_LEAD_RE = r"^[\-—.,;:\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]+"
 
 
+def snippet_prefix_regex() -> str:
+    # "The first pattern that changes the text" == the first alternative that matches at ^.
+    return "(?iu)^(?:" + "|".join(p[1:] for p in SNIPPET_DATE_PREFIXES) + ")"
+
+
 def clean_snippet(text) -> Column:
-    """drop the first date prefix that matches, leading punctuation, extra whitespace."""
-    t = col_(text)
-    branches = [F.when(t.rlike("(?iu)" + p), F.regexp_replace(t, "(?iu)" + p, "")) for p in SNIPPET_DATE_PREFIXES]
-    stripped = F.coalesce(*branches, t)
-    cleaned = collapse_ws(F.regexp_replace(stripped, SNIPPET_LEAD_RE, ""))
-    # ``if not text: return text`` -- empty and null pass through untouched.
-    return F.when(t.isNull() | (t == ""), t).otherwise(cleaned)
+    """drop the first date prefix that matches, leading punctuation, extra whitespace.
+
+    Written so that ``text`` is referenced once (no duplicated work when a filter
+    on the result is pushed below the projection); "" and null pass through.
+    """
+    return collapse_ws(F.regexp_replace(F.regexp_replace(col_(text), snippet_prefix_regex(), ""), SNIPPET_LEAD_RE, ""))
 
 
 # ---------------------------------------------------------------------------

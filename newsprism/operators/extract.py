@@ -32,18 +32,18 @@ MIN_BLOCK_CHARS = 25
 MAX_LINK_SHARE = 0.5
 MIN_PARAGRAPH_WORDS = 10
 
-Extractor = Callable[[Column], Column]
+# An extractor maps (noise-stripped html, main region or null) to text.
+Extractor = Callable[[Column, Column], Column]
 
 
 def _blocks(fragment: Column) -> Column:
     return F.split(fragment, BLOCK_RE, -1)
 
 
-def boilerplate_text(clean: Column) -> Column:
+def boilerplate_text(clean: Column, region: Column) -> Column:
     """Main region (or body) -> blocks -> drop short and link-dense blocks; no tables."""
-    region = F.coalesce(main_region(clean), body_of(clean))
-    region = F.regexp_replace(region, TABLE_RE, " ")
-    blocks = F.transform(_blocks(region), lambda b: F.struct(
+    area = F.regexp_replace(F.coalesce(region, body_of(clean)), TABLE_RE, " ")
+    blocks = F.transform(_blocks(area), lambda b: F.struct(
         html_text(b).alias("t"),
         F.aggregate(F.regexp_extract_all(b, F.lit(LINK_TEXT_RE), 1), F.lit(0),
                     lambda acc, x: acc + F.length(html_text(x))).alias("l")))
@@ -52,7 +52,7 @@ def boilerplate_text(clean: Column) -> Column:
     return F.array_join(F.transform(kept, lambda s: s["t"]), "\n")
 
 
-def paragraph_text(clean: Column) -> Column:
+def paragraph_text(clean: Column, region: Column) -> Column:
     """Every ``<p>`` of the body up to the next block boundary; keep wordy paragraphs."""
     marked = F.regexp_replace(body_of(clean), NON_P_BLOCK_RE, MARK)
     pieces = F.slice(F.split(marked, P_OPEN_RE, -1), 2, 1 << 30)
@@ -61,16 +61,15 @@ def paragraph_text(clean: Column) -> Column:
     return F.array_join(kept, "\n\n")
 
 
-def reader_text(clean: Column) -> Column:
+def reader_text(clean: Column, region: Column) -> Column:
     """Reader-mode text: region (or body) split at every tag, pieces trimmed, newline-joined."""
-    region = F.coalesce(main_region(clean), body_of(clean))
-    pieces = F.transform(F.split(region, TAG_RE, -1), lambda p: ustrip(decode_entities(p)))
+    area = F.coalesce(region, body_of(clean))
+    pieces = F.transform(F.split(area, TAG_RE, -1), lambda p: ustrip(decode_entities(p)))
     return F.array_join(F.filter(pieces, lambda p: p != ""), "\n")
 
 
-def region_markdown(clean: Column) -> Column:
+def region_markdown(clean: Column, region: Column) -> Column:
     """First matching content selector, blocks as markdown paragraphs; "" without a hit."""
-    region = main_region(clean)
     blocks = F.filter(F.transform(_blocks(region), html_text), lambda t: t != "")
     return F.coalesce(F.array_join(blocks, "\n\n"), F.lit(""))
 
@@ -83,29 +82,40 @@ DEFAULT_EXTRACTORS: list[tuple[str, Extractor]] = [
 ]
 
 
-def cascade(clean: Column, extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS,
+def viable(x: Column, min_chars: int = MIN_CONTENT_LENGTH) -> Column:
+    """``x`` when its stripped length is above ``min_chars``, else null; ``x`` is evaluated once."""
+    return F.try_element_at(F.filter(F.array(x), lambda v: F.length(ustrip(v)) > min_chars), F.lit(1))
+
+
+def cascade(clean: Column, region: Column, extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS,
             min_chars: int = MIN_CONTENT_LENGTH) -> Column:
-    """The first extractor whose stripped result is longer than ``min_chars`` wins (unstripped)."""
-    tries = []
-    for _, fn in extractors:
-        x = fn(clean)
-        tries.append(F.when(F.length(ustrip(x)) > min_chars, x))
-    return F.coalesce(*tries, F.lit(""))
+    """The first extractor whose stripped result is longer than ``min_chars`` wins (unstripped).
+
+    ``coalesce`` stops at the first non-null child, so later extractors only run
+    for rows the earlier ones could not serve.
+    """
+    return F.coalesce(*[viable(fn(clean, region), min_chars) for _, fn in extractors], F.lit(""))
 
 
-def cascade_winner(clean: Column, extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS,
+def cascade_winner(clean: Column, region: Column, extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS,
                    min_chars: int = MIN_CONTENT_LENGTH) -> Column:
     """Name of the extractor that won, "" when none did (for run counters)."""
-    tries = [F.when(F.length(ustrip(fn(clean))) > min_chars, F.lit(name)) for name, fn in extractors]
+    tries = [F.when(viable(fn(clean, region), min_chars).isNotNull(), F.lit(name)) for name, fn in extractors]
     return F.coalesce(*tries, F.lit(""))
 
 
+def with_clean_html(df: DataFrame, html_col: str = "html") -> DataFrame:
+    """Noise-stripped HTML and its main region as columns, each computed once per row."""
+    return (df.withColumn("_clean", strip_noise(html_col))
+              .withColumn("_region", main_region(F.col("_clean"))))
+
+
 def extract_text(df: DataFrame, html_col: str = "html", out: str = "article_text",
                  extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS) -> DataFrame:
-    """Add ``out`` from ``html_col``; the stripped HTML is materialised once per row."""
-    return (df.withColumn("_clean", strip_noise(html_col))
-              .withColumn(out, cascade(F.col("_clean"), extractors))
-              .drop("_clean"))
+    """Add ``out`` from ``html_col``."""
+    return (with_clean_html(df, html_col)
+            .withColumn(out, cascade(F.col("_clean"), F.col("_region"), extractors))
+            .drop("_clean", "_region"))
 
 
 def fill_article_text(articles: DataFrame, snapshots: DataFrame,
@@ -120,12 +130,12 @@ def fill_article_text(articles: DataFrame, snapshots: DataFrame,
     html = (snapshots.filter((F.col("status_code") == 200) & (F.coalesce(F.length("response_body"), F.lit(0)) > 0))
             .select("url", F.col("response_body").alias("_html")))
     filled = (need.drop("article_text").join(html, "url", "left")
-              .withColumn("_clean", strip_noise(F.col("_html")))
+              .transform(lambda d: with_clean_html(d, "_html"))
               .withColumn("article_text", F.when(F.col("_html").isNull(), F.lit("")).otherwise(
-                  cascade(F.col("_clean"), extractors)))
-              .drop("_clean", "_html"))
+                  cascade(F.col("_clean"), F.col("_region"), extractors)))
+              .drop("_clean", "_region", "_html"))
     return done.unionByName(filled.select(*articles.columns))
 
 
 __all__ = ["cascade", "cascade_winner", "extract_text", "fill_article_text", "boilerplate_text",
-           "paragraph_text", "reader_text", "region_markdown", "collapse_ws"]
+           "paragraph_text", "reader_text", "region_markdown", "with_clean_html", "collapse_ws"]

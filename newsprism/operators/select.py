@@ -26,7 +26,12 @@ def term_hits(terms: list[str], title="title", body="body") -> Column:
     hay = haystack(title, body)
     if not terms:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(hay, t)))
+    # Plain arithmetic (no lambda): stays in codegen and ``hay`` is shared by CSE.
+    hits = [F.when(F.contains(hay, F.lit(t)), F.lit(1)).otherwise(F.lit(0)) for t in terms]
+    out = hits[0]
+    for h in hits[1:]:
+        out = out + h
+    return out
 
 
 def filter_relevant(df: DataFrame, query: str, min_term_matches: int = 1) -> DataFrame:

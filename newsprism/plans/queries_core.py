@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsprism.functions.html import strip_noise
 from newsprism.functions.text import title_key
 from newsprism.functions.urls import url_key
 from newsprism.operators import extract as X
@@ -27,6 +26,7 @@ def _sql_terms_hits(terms: list[str]) -> str:
 ART = S.pages_articles_sql()
 ART_KEYS = f"SELECT ord, {S.title_key('title')} AS tkey, {S.url_key('url')} AS ukey FROM ({ART})"
 KEPT = S.greedy_dedup_sql(ART_KEYS)
+CLEAN_PAGES = f"SELECT page_id, c, {S.main_region('c')} AS r FROM (SELECT page_id, {S.strip_noise('html')} AS c FROM pages)"
 
 
 # --- D1 -----------------------------------------------------------------------
@@ -71,15 +71,14 @@ SELECT ord, title, body FROM ({ART}) WHERE {_sql_terms_hits(query_terms(FLAGSHIP
 # --- X1 -------------------------------------------------------------------------
 
 def x1_text_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages")
-    return (pages.withColumn("_clean", strip_noise("html"))
-            .select("page_id", X.cascade_winner(F.col("_clean")).alias("extractor"),
-                    X.cascade(F.col("_clean")).alias("article_text")))
+    pages = X.with_clean_html(read_table(spark, sf_dir, "pages"))
+    c, r = F.col("_clean"), F.col("_region")
+    return pages.select("page_id", X.cascade_winner(c, r).alias("extractor"), X.cascade(c, r).alias("article_text"))
 
 
 register("x1_text_cascade", f"""
-SELECT page_id, {S.cascade_winner('c')} AS extractor, {S.cascade('c')} AS article_text
-FROM (SELECT page_id, {S.strip_noise('html')} AS c FROM pages)""")(x1_text_cascade)
+SELECT page_id, {S.cascade_winner('c', 'r')} AS extractor, {S.cascade('c', 'r')} AS article_text
+FROM ({CLEAN_PAGES})""")(x1_text_cascade)
 
 
 # --- Flagship: archive -> articles -> D1 -> P1 -> J4 -> X1 ------------------------
@@ -88,13 +87,12 @@ def flagship(spark: SparkSession, sf_dir: str, query: str = FLAGSHIP_QUERY) -> D
     arts = pages_articles(spark, sf_dir)
     kept = filter_relevant(dedup_articles(arts), query)
     html = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("_pid"), "html")
-    joined = (kept.join(html, F.pmod(kept["ord"], F.lit(1 << 32)) == html["_pid"], "left")
-              .withColumn("_clean", strip_noise("html")))
+    joined = X.with_clean_html(kept.join(html, F.pmod(kept["ord"], F.lit(1 << 32)) == html["_pid"], "left"))
     return joined.select("ord", "url", "title", "source",
-                         F.length(X.cascade(F.col("_clean"))).alias("text_chars"))
+                         F.length(X.cascade(F.col("_clean"), F.col("_region"))).alias("text_chars"))
 
 
 register("flagship", f"""
-SELECT a.ord, a.url, a.title, a.source, length({S.cascade('c')}) AS text_chars
-FROM ({ART}) a JOIN (SELECT page_id, {S.strip_noise('html')} AS c FROM pages) p ON a.ord % 4294967296 = p.page_id
+SELECT a.ord, a.url, a.title, a.source, length({S.cascade('c', 'r')}) AS text_chars
+FROM ({ART}) a JOIN ({CLEAN_PAGES}) p ON a.ord % 4294967296 = p.page_id
 WHERE a.ord IN ({KEPT}) AND {_sql_terms_hits(query_terms(FLAGSHIP_QUERY))} >= 1""")(flagship)

@@ -55,11 +55,7 @@ def title_key(e: str) -> str:
 
 
 def clean_snippet(e: str) -> str:
-    branches = ", ".join(f"CASE WHEN {rlike(e, '(?iu)' + p)} THEN {rep(e, '(?iu)' + p, '', glob=False)} END"
-                         for p in T.SNIPPET_DATE_PREFIXES)
-    stripped = f"coalesce({branches}, {e})"
-    cleaned = collapse_ws(rep(stripped, T.SNIPPET_LEAD_RE, "", glob=False))
-    return f"(CASE WHEN {e} IS NULL OR {e} = '' THEN {e} ELSE {cleaned} END)"
+    return collapse_ws(rep(rep(e, T.snippet_prefix_regex(), "", glob=False), T.SNIPPET_LEAD_RE, "", glob=False))
 
 
 def decode_entities(e: str) -> str:
@@ -123,8 +119,12 @@ def strip_noise(e: str) -> str:
     return out
 
 
+def first_hit(e: str, pattern: str) -> str:
+    return f"regexp_extract_all({e}, {lit(rre(pattern))}, 1)[1]"
+
+
 def body_of(e: str) -> str:
-    return f"(CASE WHEN {rlike(e, r'(?i)<body\b')} THEN {rx(e, H.BODY_RE, 1)} ELSE {e} END)"
+    return f"coalesce({first_hit(e, H.BODY_RE)}, {e})"
 
 
 def html_text(e: str) -> str:
@@ -132,18 +132,16 @@ def html_text(e: str) -> str:
 
 
 def main_region(e: str) -> str:
-    hits = ", ".join(f"CASE WHEN {rlike(e, H.selector_region_re(s))} THEN {rx(e, H.selector_region_re(s), 1)} END"
-                     for s in H.ARTICLE_SELECTORS)
-    return f"coalesce({hits})"
+    return "coalesce(" + ", ".join(first_hit(e, H.selector_region_re(s)) for s in H.ARTICLE_SELECTORS) + ")"
 
 
 def split_re(e: str, pattern: str) -> str:
     return f"regexp_split_to_array({e}, {lit(rre(pattern))})"
 
 
-def boilerplate_text(clean: str) -> str:
-    region = rep(f"coalesce({main_region(clean)}, {body_of(clean)})", H.TABLE_RE, " ")
-    blocks = split_re(region, H.BLOCK_RE)
+def boilerplate_text(clean: str, region: str) -> str:
+    area = rep(f"coalesce({region}, {body_of(clean)})", H.TABLE_RE, " ")
+    blocks = split_re(area, H.BLOCK_RE)
     link_len = (f"coalesce(list_sum(list_transform(regexp_extract_all(b, {lit(H.LINK_TEXT_RE)}, 1), "
                 f"lambda x: length({html_text('x')}))), 0)")
     structs = f"list_transform({blocks}, lambda b: {{'t': {html_text('b')}, 'l': {link_len}}})"
@@ -152,7 +150,7 @@ def boilerplate_text(clean: str) -> str:
     return f"array_to_string(list_transform({kept}, lambda s: s.t), chr(10))"
 
 
-def paragraph_text(clean: str) -> str:
+def paragraph_text(clean: str, region: str) -> str:
     marked = rep(body_of(clean), H.NON_P_BLOCK_RE, H.MARK)
     pieces = f"list_slice({split_re(marked, H.P_OPEN_RE)}, 2, 1073741824)"
     paras = f"list_transform({pieces}, lambda p: {html_text(f'split_part(p, {lit(H.MARK)}, 1)')})"
@@ -160,14 +158,14 @@ def paragraph_text(clean: str) -> str:
     return f"array_to_string({kept}, chr(10) || chr(10))"
 
 
-def reader_text(clean: str) -> str:
-    region = f"coalesce({main_region(clean)}, {body_of(clean)})"
-    pieces = f"list_transform({split_re(region, H.TAG_RE)}, lambda p: {ustrip(decode_entities('p'))})"
+def reader_text(clean: str, region: str) -> str:
+    area = f"coalesce({region}, {body_of(clean)})"
+    pieces = f"list_transform({split_re(area, H.TAG_RE)}, lambda p: {ustrip(decode_entities('p'))})"
     return f"array_to_string(list_filter({pieces}, lambda p: p <> ''), chr(10))"
 
 
-def region_markdown(clean: str) -> str:
-    blocks = f"list_filter(list_transform({split_re(main_region(clean), H.BLOCK_RE)}, lambda b: {html_text('b')}), lambda t: t <> '')"
+def region_markdown(clean: str, region: str) -> str:
+    blocks = f"list_filter(list_transform({split_re(region, H.BLOCK_RE)}, lambda b: {html_text('b')}), lambda t: t <> '')"
     return f"coalesce(array_to_string({blocks}, chr(10) || chr(10)), '')"
 
 
@@ -175,18 +173,25 @@ SQL_EXTRACTORS = [("boilerplate", boilerplate_text), ("paragraphs", paragraph_te
                   ("reader", reader_text), ("region", region_markdown)]
 
 
-def cascade(clean: str, min_chars: int = X.MIN_CONTENT_LENGTH) -> str:
-    tries = ", ".join(f"CASE WHEN length({ustrip(fn(clean))}) > {min_chars} THEN {fn(clean)} END"
-                      for _, fn in SQL_EXTRACTORS)
-    return f"coalesce({tries}, '')"
+def viable(x: str, min_chars: int = X.MIN_CONTENT_LENGTH) -> str:
+    return f"list_filter([{x}], lambda v: length({ustrip('v')}) > {min_chars})[1]"
+
 
+def cascade(clean: str, region: str, min_chars: int = X.MIN_CONTENT_LENGTH) -> str:
+    return "coalesce(" + ", ".join(viable(fn(clean, region), min_chars) for _, fn in SQL_EXTRACTORS) + ", '')"
 
-def cascade_winner(clean: str, min_chars: int = X.MIN_CONTENT_LENGTH) -> str:
-    tries = ", ".join(f"CASE WHEN length({ustrip(fn(clean))}) > {min_chars} THEN {lit(name)} END"
+
+def cascade_winner(clean: str, region: str, min_chars: int = X.MIN_CONTENT_LENGTH) -> str:
+    tries = ", ".join(f"CASE WHEN {viable(fn(clean, region), min_chars)} IS NOT NULL THEN {lit(name)} END"
                       for name, fn in SQL_EXTRACTORS)
     return f"coalesce({tries}, '')"
 
 
+def clean_html_sql(html: str = "html") -> str:
+    """Columns c (noise-stripped html) and r (main region) for a FROM-less select list."""
+    return f"{strip_noise(html)} AS c"
+
+
 # --- articles from pages ----------------------------------------------------
 
 def page_title(html: str) -> str:
