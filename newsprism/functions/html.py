@@ -54,11 +54,19 @@ TABLE_RE = r"(?is)<table\b[^>]*>.*?</table\s*>"
 MARK = "\u0001"
 
 
+def noise_alternation() -> str:
+    """Comments and the noise elements in one alternation: one pass over the page.
+
+    At each position the earliest-starting noise region is removed; a region
+    overlapping an earlier one is left to what remains (our stated rule for
+    malformed nesting).
+    """
+    parts = [COMMENT_RE.replace("(?s)", "")] + [noise_re(t).replace("(?is)", "") for t in NOISE_TAGS]
+    return "(?is)" + "|".join(parts)
+
+
 def strip_noise(html) -> Column:
-    out = F.regexp_replace(F.coalesce(col_(html), F.lit("")), COMMENT_RE, " ")
-    for t in NOISE_TAGS:
-        out = F.regexp_replace(out, noise_re(t), " ")
-    return out
+    return F.regexp_replace(F.coalesce(col_(html), F.lit("")), noise_alternation(), " ")
 
 
 def first_hit(c: Column, pattern: str) -> Column:

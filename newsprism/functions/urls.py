@@ -69,9 +69,8 @@ def outlet_domain(value) -> Column:
     host = (F.when(s.contains("://"), F.coalesce(F.nullif(netloc(s), F.lit("")), url_path(s)))
             .when(s.contains("/"), F.split_part(s, F.lit("/"), F.lit(1)))
             .otherwise(s))
-    host = F.split_part(host, F.lit(":"), F.lit(1))
-    host = F.when(host.startswith("www."), F.substring(host, 5, 1 << 30)).otherwise(host)
-    return F.when(s == "", F.lit("")).otherwise(F.lower(host))
+    host = F.regexp_replace(F.split_part(host, F.lit(":"), F.lit(1)), r"^www\.", "")
+    return F.lower(host)
 
 
 def log_domain(url) -> Column:

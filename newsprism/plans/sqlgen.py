@@ -96,9 +96,8 @@ def outlet_domain(e: str) -> str:
     s = ustrip(f"coalesce({e}, '')")
     host = (f"(CASE WHEN contains({s}, '://') THEN coalesce(nullif({netloc(s)}, ''), {url_path(s)}) "
             f"WHEN contains({s}, '/') THEN split_part({s}, '/', 1) ELSE {s} END)")
-    host = f"split_part({host}, ':', 1)"
-    host = f"(CASE WHEN starts_with({host}, 'www.') THEN substring({host}, 5) ELSE {host} END)"
-    return f"(CASE WHEN {s} = '' THEN '' ELSE lower({host}) END)"
+    host = rep(f"split_part({host}, ':', 1)", r"^www\.", "", glob=False)
+    return f"lower({host})"
 
 
 def log_domain(e: str) -> str:
@@ -113,10 +112,7 @@ def quote_plus(e: str) -> str:
 # --- html -------------------------------------------------------------------
 
 def strip_noise(e: str) -> str:
-    out = rep(f"coalesce({e}, '')", H.COMMENT_RE, " ")
-    for t in H.NOISE_TAGS:
-        out = rep(out, H.noise_re(t), " ")
-    return out
+    return rep(f"coalesce({e}, '')", H.noise_alternation(), " ")
 
 
 def first_hit(e: str, pattern: str) -> str:
