@@ -104,3 +104,47 @@ FROM (SELECT query, unnest(range(1, {MAX_PAGES + 1})) AS page FROM (
 UNION ALL
 SELECT CAST(ord AS VARCHAR) AS k, 'http://localhost:8080/search?q=' || {S.quote_plus("'новости site:' || source")}
   || '&format=json&categories=news&language=ru&pageno=1' AS v FROM ({S.pages_articles_sql()})""")(f19_f20_query_urls)
+
+
+# --- S2 / S3: captured API responses -----------------------------------------------
+
+from newsprism.sources import captures as CP  # noqa: E402
+
+_CAP_SHAPE = "(page_id % 4)"
+_CAP_SEL = f"""SELECT * FROM (SELECT page_id AS rid, page_id, url, {S.page_title('html')} AS title,
+  substring({S.first_paragraph('html')}, 1, 120) AS para,
+  CASE WHEN page_id % 4 = 0 THEN 'https://www.google.com/complete/search?q=' || regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1)
+       WHEN page_id % 4 = 1 THEN 'https://news.example.com/API/v2/items?page=' || CAST(page_id AS VARCHAR)
+       WHEN page_id % 4 = 2 THEN 'https://www.example.com/_next/data/' || CAST(page_id AS VARCHAR) || '.json'
+       ELSE 'https://cdn.example.com/static/app.js' END AS req,
+  CASE WHEN page_id % 5 = 0 THEN 'text/html; charset=utf-8' WHEN page_id % 5 = 1 THEN 'application/javascript'
+       ELSE 'application/json' END AS ctype,
+  CASE WHEN page_id % 7 = 0 THEN 404 ELSE 200 END AS status FROM pages)
+  WHERE status = 200 AND (contains(ctype, 'json') OR contains(ctype, 'javascript'))
+    AND ({' OR '.join(f"contains(lower(req), {S.lit(p)})" for p in CP.API_PATTERNS)})"""
+
+
+def s3_api_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cap = CP.pages_captures(spark, sf_dir)
+    return cap.filter(CP.is_api_response(F.col("url"), F.col("status"), F.col("headers"))).select("rid", "url")
+
+
+register("s3_api_selection", f"SELECT rid, req AS url FROM ({_CAP_SEL})")(s3_api_selection)
+
+
+def s2_json_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = CP.harvest(CP.pages_captures(spark, sf_dir), F.to_timestamp(F.lit(FETCHED)))
+    return rows.select("rid", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"),
+                       "url", "title", "source", "body", "source_type")
+
+
+_HOST = S.log_domain("url")
+register("s2_json_harvest", f"""
+SELECT rid, '' AS path, url, title, {_HOST} AS source, para AS body, 'api_interception' AS source_type
+  FROM ({_CAP_SEL}) WHERE page_id % 4 = 0 AND length(title) > 5 AND starts_with(url, 'http')
+UNION ALL
+SELECT rid, '0.0' AS path, url, title, {_HOST} AS source, para AS body, 'api_interception' AS source_type
+  FROM ({_CAP_SEL}) WHERE page_id % 4 = 1 AND length(title) > 5 AND starts_with(url, 'http')
+UNION ALL
+SELECT rid, '0.0.0.0.0' AS path, url, title, {_HOST} AS source, '' AS body, 'api_interception' AS source_type
+  FROM ({_CAP_SEL}) WHERE page_id % 4 = 2 AND length(title) > 5 AND starts_with(url, 'http')""")(s2_json_harvest)
