@@ -148,3 +148,53 @@ SELECT rid, '0.0' AS path, url, title, {_HOST} AS source, para AS body, 'api_int
 UNION ALL
 SELECT rid, '0.0.0.0.0' AS path, url, title, {_HOST} AS source, '' AS body, 'api_interception' AS source_type
   FROM ({_CAP_SEL}) WHERE page_id % 4 = 2 AND length(title) > 5 AND starts_with(url, 'http')""")(s2_json_harvest)
+
+
+# --- S4-S8: archived HTML result pages ------------------------------------------------
+
+from newsprism.sources import serp_html as SH  # noqa: E402
+
+
+def s4_s8_html_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # rendered once (reliable checkpoint in the shared checkpoint dir), read by four rule sets
+    arch = SH.pages_html_archive(spark, sf_dir, max_pages=MAX_PAGES).checkpoint(eager=True)
+    parts = [SH.to_articles(arch, SH.RULE_SETS[e]) for e in SH.ENGINES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("query", "source_type", "page", "position", "overall_position", "url", "title", "source",
+                      iso_format("date").alias("date"), "body")
+
+
+_HRES = f"""SELECT * FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1) AS query,
+  CAST(floor(page_id / {SH.PAGE_IDS}) + 1 AS INTEGER) AS page, page_id AS pid, url,
+  {S.page_title('html')} AS title, {S.source_domain_raw('url')} AS source, {_DATE} AS d, {_CONTENT} AS content,
+  TIMESTAMP '{FETCHED}' + page_id * INTERVAL 0 HOUR AS fetched
+  FROM pages) WHERE query <> ''"""
+_SYS = " OR ".join(f"contains(lower(title), {S.lit(m)})" for m in SH.SYSTEM_MESSAGES)
+_HROWS = f"""SELECT r.*, e.engine,
+  row_number() OVER (PARTITION BY e.engine, r.query, r.page ORDER BY r.pid) AS rk,
+  CASE WHEN e.engine = 'seleniumbase_cdp' THEN starts_with(r.url, 'http') AND r.title <> ''
+       WHEN e.engine = 'google_search' THEN length(r.title) >= {SH.MIN_TITLE_LENGTH} AND NOT ({_SYS})
+       ELSE length(r.title) >= {SH.MIN_TITLE_LENGTH} END AS keep
+  FROM ({_HRES}) r JOIN (SELECT unnest([{', '.join(S.lit(e) for e in SH.ENGINES)}]) AS engine) e ON true"""
+_HPG = f"""SELECT engine, query, page, count(*) FILTER (WHERE keep) AS n,
+  engine <> 'seleniumbase_cdp' AND contains(arg_min(url, pid), '{SH.BLOCK_MARK}') AS blk FROM ({_HROWS}) GROUP BY 1, 2, 3"""
+_HFR = f"""SELECT engine, query, unnest(range(1, {MAX_PAGES + 1})) AS page FROM
+  (SELECT DISTINCT query FROM ({_HRES})) q JOIN (SELECT unnest([{', '.join(S.lit(e) for e in SH.ENGINES)}]) AS engine) e ON true"""
+register("s4_s8_html_results", f"""
+WITH st AS (SELECT f.engine, f.query, f.page, coalesce(p.n, 0) AS n, coalesce(p.blk, false) AS blk
+            FROM ({_HFR}) f LEFT JOIN ({_HPG}) p ON f.engine = p.engine AND f.query = p.query AND f.page = p.page),
+sp AS (SELECT engine, query, min(page) FILTER (WHERE NOT blk AND n = 0) AS stop FROM st GROUP BY 1, 2),
+vd AS (SELECT st.engine, st.query, bool_or(blk AND (sp.stop IS NULL OR st.page < sp.stop)) AS void
+       FROM st JOIN sp ON st.engine = sp.engine AND st.query = sp.query GROUP BY 1, 2),
+k AS (SELECT h.* FROM ({_HROWS}) h JOIN sp ON h.engine = sp.engine AND h.query = sp.query
+      JOIN vd ON h.engine = vd.engine AND h.query = vd.query
+      WHERE h.keep AND NOT vd.void AND (sp.stop IS NULL OR h.page < sp.stop))
+SELECT query, engine AS source_type, page,
+  CAST(CASE WHEN engine = 'google_search' THEN rk + 1 ELSE rk END AS INTEGER) AS position,
+  CAST(CASE WHEN engine = 'seleniumbase_cdp' THEN 0 ELSE row_number() OVER (PARTITION BY engine, query ORDER BY page, rk) END AS INTEGER) AS overall_position,
+  url, title, source,
+  {S.iso_format("CASE WHEN engine = 'seleniumbase_cdp' THEN TIMESTAMP '" + FETCHED + "' WHEN engine = 'google_news' THEN TIMESTAMP '" + M.BASE_TS + "' + pid * INTERVAL 1 HOUR ELSE d END")} AS date,
+  CASE WHEN engine = 'seleniumbase_cdp' THEN {S.ustrip('content')} ELSE {S.clean_snippet('content')} END AS body
+FROM k""")(s4_s8_html_results)

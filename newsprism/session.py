@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +36,7 @@ def build_session(master: str | None = None, app: str = "newsprism",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -52,10 +54,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (pandas UDFs, mapInPandas), once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_newsprism_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="newsprism-code-"), "newsprism.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._newsprism_shipped = True
+
+
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Pin the settings the operators rely on (UTC, AQE) on an existing session."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled"):
         spark.conf.set(k, DEFAULT_CONF[k])
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
