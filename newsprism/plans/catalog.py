@@ -22,5 +22,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict:
     # Import for side effects: each module registers its queries.
-    from newsprism.plans import queries_core, queries_outlets, queries_sources, queries_state  # noqa: F401
+    from newsprism.plans import queries_core, queries_more, queries_outlets, queries_sources, queries_state  # noqa: F401
     return REGISTRY
