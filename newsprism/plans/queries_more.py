@@ -16,6 +16,7 @@ from newsprism.plans.articles import pages_articles
 from newsprism.plans.catalog import register
 from newsprism.plans.queries_core import ART, CLEAN_PAGES, FLAGSHIP_QUERY, KEPT, _sql_terms_hits
 from newsprism.sinks.files import output_stem_col
+from newsprism.sources.snapshots import pages_snapshots
 from newsprism.sources.tables import read_table
 
 AS_OF = "2024-02-01 00:00:00"
@@ -131,14 +132,13 @@ def p8_x2_fill_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     arts = pages_articles(spark, sf_dir)
     # articles of the metasearch source arrive with their snippet as text already
     arts = arts.withColumn("article_text", F.when(F.col("source_type") == "searxng", F.col("body")).otherwise(F.lit("")))
-    snaps = read_table(spark, sf_dir, "pages").select("url", F.col("html").alias("response_body"),
-                                                      F.lit(200).alias("status_code"))
-    return X.fill_article_text(arts, snaps).select("ord", "url", "article_text")
+    return X.fill_article_text(arts, pages_snapshots(spark, sf_dir)).select("ord", "url", "article_text")
 
 
 register("p8_x2_fill_text", f"""SELECT a.ord, a.url,
   CASE WHEN a.source_type = 'searxng' THEN a.body ELSE coalesce({S.cascade('p.c', 'p.r')}, '') END AS article_text
-FROM ({ART}) a LEFT JOIN (SELECT url, c, {S.main_region('c')} AS r FROM (SELECT url, {S.strip_noise('html')} AS c FROM pages)) p
+FROM ({ART}) a LEFT JOIN (SELECT url, c, {S.main_region('c')} AS r FROM (
+  SELECT url, {S.strip_noise('arg_max(html, page_id)')} AS c FROM pages GROUP BY url)) p
   ON a.url = p.url AND a.source_type <> 'searxng'""")(p8_x2_fill_text)
 
 

@@ -182,7 +182,7 @@ _HPG = f"""SELECT engine, query, page, count(*) FILTER (WHERE keep) AS n,
   engine <> 'seleniumbase_cdp' AND contains(arg_min(url, pid), '{SH.BLOCK_MARK}') AS blk FROM ({_HROWS}) GROUP BY 1, 2, 3"""
 _HFR = f"""SELECT engine, query, unnest(range(1, {MAX_PAGES + 1})) AS page FROM
   (SELECT DISTINCT query FROM ({_HRES})) q JOIN (SELECT unnest([{', '.join(S.lit(e) for e in SH.ENGINES)}]) AS engine) e ON true"""
-register("s4_s8_html_results", f"""
+HTML_SQL = f"""
 WITH st AS (SELECT f.engine, f.query, f.page, coalesce(p.n, 0) AS n, coalesce(p.blk, false) AS blk
             FROM ({_HFR}) f LEFT JOIN ({_HPG}) p ON f.engine = p.engine AND f.query = p.query AND f.page = p.page),
 sp AS (SELECT engine, query, min(page) FILTER (WHERE NOT blk AND n = 0) AS stop FROM st GROUP BY 1, 2),
@@ -197,4 +197,37 @@ SELECT query, engine AS source_type, page,
   url, title, source,
   {S.iso_format("CASE WHEN engine = 'seleniumbase_cdp' THEN TIMESTAMP '" + FETCHED + "' WHEN engine = 'google_news' THEN TIMESTAMP '" + M.BASE_TS + "' + pid * INTERVAL 1 HOUR ELSE d END")} AS date,
   CASE WHEN engine = 'seleniumbase_cdp' THEN {S.ustrip('content')} ELSE {S.clean_snippet('content')} END AS body
-FROM k""")(s4_s8_html_results)
+FROM k"""
+register("s4_s8_html_results", HTML_SQL)(s4_s8_html_results)
+
+
+# --- U1 + E4: merged sources through the whole run ----------------------------------------
+
+from newsprism.plans import pipeline as PL  # noqa: E402
+from newsprism.sources.snapshots import pages_snapshots  # noqa: E402
+
+E4_QUERY = "en"
+
+
+def e4_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = {"json": M.pages_serp_archive(spark, sf_dir, max_pages=MAX_PAGES),
+                "html": SH.pages_html_archive(spark, sf_dir, max_pages=MAX_PAGES).checkpoint(eager=True),
+                "snapshots": pages_snapshots(spark, sf_dir)}
+    out = PL.collect_articles(archives, PL.RunConfig(query=E4_QUERY))
+    return out.select("ord", "url", "title", "source_type", F.length("article_text").alias("text_chars"))
+
+
+_E4_ROWS = f"""SELECT url, title, body, source_type,
+  CAST(CASE source_type WHEN 'searxng' THEN 0 WHEN 'google_search' THEN 1 WHEN 'google_news' THEN 2 ELSE 3 END AS BIGINT)
+    * 4294967296 + overall_position AS ord
+FROM (SELECT query, 'searxng' AS source_type, url, title, body, overall_position FROM ({S1_SQL})
+      UNION ALL SELECT query, source_type, url, title, body, overall_position FROM ({HTML_SQL})
+      WHERE source_type IN ('google_search', 'google_news', 'yandex'))
+WHERE query = '{E4_QUERY}'"""
+_E4_KEYS = f"SELECT ord, {S.title_key('title')} AS tkey, {S.url_key('url')} AS ukey FROM ({_E4_ROWS})"
+_E4_SNAP = f"""SELECT url, c, {S.main_region('c')} AS r FROM (
+  SELECT url, {S.strip_noise('arg_max(html, page_id)')} AS c FROM pages GROUP BY url)"""
+register("e4_pipeline", f"""SELECT a.ord, a.url, a.title, a.source_type,
+  CAST(length(CASE WHEN p.url IS NULL THEN '' ELSE {S.cascade('p.c', 'p.r')} END) AS INTEGER) AS text_chars
+FROM ({_E4_ROWS}) a LEFT JOIN ({_E4_SNAP}) p ON a.url = p.url
+WHERE a.ord IN ({S.greedy_dedup_sql(_E4_KEYS)})""")(e4_pipeline)

@@ -90,3 +90,12 @@ def events_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(event_url(F.col("user_id")).alias("url"), F.col("props").alias("response_body"),
                      event_status(F.col("event_type")).alias("status_code"), F.col("ts").alias("fetched_at"),
                      F.floor(F.col("value")).cast("int").alias("ttl_hours"), F.col("event_id").alias("seq"))
+
+
+def pages_snapshots(spark: SparkSession, sf_dir: str, fetched_at: str = "2024-01-20 00:00:00") -> DataFrame:
+    """The archived ``pages`` as a snapshot store: one row per url (the highest page id wins)."""
+    p = read_table(spark, sf_dir, "pages")
+    snaps = p.select("url", F.col("html").alias("response_body"), F.lit(200).alias("status_code"),
+                     F.to_timestamp(F.lit(fetched_at)).alias("fetched_at"),
+                     F.lit(DEFAULT_TTL_HOURS).alias("ttl_hours"), F.col("page_id").alias("seq"))
+    return latest(snaps)
