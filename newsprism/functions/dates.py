@@ -71,10 +71,27 @@ def relative_date(text, as_of) -> Column:
     return F.when(t.rlike(RELATIVE_RE) & ok, F.timestamp_micros(micros))
 
 
+# Necessary shapes of the formats above (same order).  A format is only tried when its
+# shape matches: a failed parse costs an exception inside the parser, a regex test does not.
+FORMAT_SHAPES = [
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T.*[Zz0-9]$",
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T.*[0-9]$",
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T",
+    r"^\p{L}+ [0-9]{1,2}, [0-9]",
+    r"^[0-9]{1,2} \p{L}+ [0-9]",
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]",
+    r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$",
+    r"^\p{L}+ [0-9]{1,2}, [0-9]",
+    r"^[0-9]{1,2} \p{L}+ [0-9]",
+]
+
+
 def absolute_date(text) -> Column:
     """F8: the first format that parses the whole stripped text."""
     t = col_(text)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(fmt)) for fmt in ABSOLUTE_FORMATS])
+    return F.coalesce(*[F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))
+                        for fmt, shape in zip(ABSOLUTE_FORMATS, FORMAT_SHAPES)])
 
 
 def parse_date(text, as_of) -> Column:

@@ -40,8 +40,12 @@ def first_paragraph(html) -> F.Column:
 
 
 def pages_articles(spark: SparkSession, sf_dir: str, as_of: str = "2024-02-01 00:00:00",
-                   with_html: bool = False) -> DataFrame:
-    """Article table (reference schema + ``ord``) built from ``pages``."""
+                   with_html: bool = False, materialize: bool = False) -> DataFrame:
+    """Article table (reference schema + ``ord``) built from ``pages``.
+
+    ``materialize=True`` parses once and keeps the (narrow) article table as a reliable
+    checkpoint, for jobs that read it several times (dedup rounds, widening).
+    """
     pages = read_table(spark, sf_dir, "pages")
     pid = F.col("page_id")
     cols = [
@@ -59,7 +63,8 @@ def pages_articles(spark: SparkSession, sf_dir: str, as_of: str = "2024-02-01 00
     ]
     if with_html:
         cols.append(F.col("html"))
-    return pages.select(*cols)
+    out = pages.select(*cols)
+    return out.checkpoint(eager=True) if materialize else out
 
 
 ARTICLE_COLUMNS = ["url", "title", "source", "date", "body", "page", "position", "overall_position",

@@ -32,7 +32,7 @@ CLEAN_PAGES = f"SELECT page_id, c, {S.main_region('c')} AS r FROM (SELECT page_i
 # --- D1 -----------------------------------------------------------------------
 
 def d1_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arts = pages_articles(spark, sf_dir)
+    arts = pages_articles(spark, sf_dir, materialize=True)
     kept = dedup_articles(arts)
     return kept.select("ord", "url", "title", title_key("title").alias("tkey"), url_key("url").alias("ukey"))
 
@@ -84,7 +84,7 @@ FROM ({CLEAN_PAGES})""")(x1_text_cascade)
 # --- Flagship: archive -> articles -> D1 -> P1 -> J4 -> X1 ------------------------
 
 def flagship(spark: SparkSession, sf_dir: str, query: str = FLAGSHIP_QUERY) -> DataFrame:
-    arts = pages_articles(spark, sf_dir)
+    arts = pages_articles(spark, sf_dir, materialize=True)
     kept = filter_relevant(dedup_articles(arts), query)
     html = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("_pid"), "html")
     joined = X.with_clean_html(kept.join(html, F.pmod(kept["ord"], F.lit(1 << 32)) == html["_pid"], "left"))

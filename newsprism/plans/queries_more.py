@@ -145,7 +145,7 @@ FROM ({ART}) a LEFT JOIN (SELECT url, c, {S.main_region('c')} AS r FROM (
 # --- A3 run counters -------------------------------------------------------------
 
 def a3_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arts = pages_articles(spark, sf_dir)
+    arts = pages_articles(spark, sf_dir, materialize=True)
     kept = dedup_articles(arts)
     rel = SEL.filter_relevant(kept, FLAGSHIP_QUERY)
     html = read_table(spark, sf_dir, "pages").select(F.col("url"), F.col("html").alias("response_body"),

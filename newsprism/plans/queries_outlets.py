@@ -64,7 +64,7 @@ register("f5_outlet_domain", f"SELECT ord, url, {S.outlet_domain('url')} AS doma
 
 
 def l1_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return EX.top_n(dedup_articles(pages_articles(spark, sf_dir)), EX.MAX_TITLES_TO_EXPAND).select("ord", "title")
+    return EX.top_n(dedup_articles(pages_articles(spark, sf_dir, materialize=True)), EX.MAX_TITLES_TO_EXPAND).select("ord", "title")
 
 
 register("l1_top_n", f"SELECT ord, title FROM ({ART}) WHERE ord IN ({KEPT}) ORDER BY ord LIMIT {EX.MAX_TITLES_TO_EXPAND}")(
@@ -74,7 +74,7 @@ register("l1_top_n", f"SELECT ord, title FROM ({ART}) WHERE ord IN ({KEPT}) ORDE
 # --- J1 -------------------------------------------------------------------------
 
 def j1_title_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = pages_articles(spark, sf_dir)
+    corpus = pages_articles(spark, sf_dir, materialize=True)
     base = dedup_articles(corpus)
     return EX.expand_with_titles(base, corpus).select("ord", "url", "title", "source_type")
 
@@ -99,7 +99,7 @@ WHERE ord IN ({S.greedy_dedup_sql(_J1_KEYS)})""")(j1_title_expansion)
 # --- J2 -------------------------------------------------------------------------
 
 def j2_outlet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = pages_articles(spark, sf_dir)
+    corpus = pages_articles(spark, sf_dir, materialize=True)
     base = filter_relevant(dedup_articles(corpus), FLAGSHIP_QUERY)
     domains = O.outlet_domains(O.page_outlets(corpus))
     strategy = EX.first_available(STRATEGY_ORDER, ["searxng", "google_search"])
