@@ -93,6 +93,6 @@ def flagship(spark: SparkSession, sf_dir: str, query: str = FLAGSHIP_QUERY) -> D
 
 
 register("flagship", f"""
-SELECT a.ord, a.url, a.title, a.source, length({S.cascade('c', 'r')}) AS text_chars
+SELECT a.ord, a.url, a.title, a.source, CAST(length({S.cascade('c', 'r')}) AS INTEGER) AS text_chars
 FROM ({ART}) a JOIN ({CLEAN_PAGES}) p ON a.ord % 4294967296 = p.page_id
 WHERE a.ord IN ({KEPT}) AND {_sql_terms_hits(query_terms(FLAGSHIP_QUERY))} >= 1""")(flagship)

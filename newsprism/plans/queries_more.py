@@ -73,7 +73,7 @@ def f22_honeypot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("honeypot", honeypot_flag("link", "rel"))
 
 
-_LINKS = f"""SELECT page_id, i - 1 AS i, CASE WHEN i = 1 THEN o || '/cdn-cgi/l' || href ELSE o || '/a/b/c' || href END AS link,
+_LINKS = f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS i, CASE WHEN i = 1 THEN o || '/cdn-cgi/l' || href ELSE o || '/a/b/c' || href END AS link,
   CASE WHEN (page_id + i - 1) % 2 = 0 THEN 'nofollow' ELSE '' END AS rel FROM (
   SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS o,
     unnest(regexp_extract_all(html, {S.lit(HREF_RE)}, 1)) AS href,
@@ -164,7 +164,8 @@ register("a3_run_counters", f"""
 WITH a AS ({ART}), k AS (SELECT * FROM a WHERE ord IN ({KEPT})), r AS ({_REL}),
 t AS (SELECT r.source_type FROM r JOIN (SELECT url, c, {S.main_region('c')} AS rr FROM (SELECT url, {S.strip_noise('html')} AS c FROM pages)) p
       ON r.url = p.url WHERE {S.cascade('p.c', 'p.rr')} <> '')
-SELECT source_type, sum(f) AS n_found, sum(u) AS n_unique, sum(rl) AS n_relevant, sum(w) AS n_with_text FROM (
+SELECT source_type, CAST(sum(f) AS BIGINT) AS n_found, CAST(sum(u) AS BIGINT) AS n_unique,
+  CAST(sum(rl) AS BIGINT) AS n_relevant, CAST(sum(w) AS BIGINT) AS n_with_text FROM (
   SELECT source_type, 1 AS f, 0 AS u, 0 AS rl, 0 AS w FROM a UNION ALL SELECT source_type, 0, 1, 0, 0 FROM k
   UNION ALL SELECT source_type, 0, 0, 1, 0 FROM r UNION ALL SELECT source_type, 0, 0, 0, 1 FROM t) GROUP BY source_type""")(
     a3_run_counters)

@@ -73,7 +73,7 @@ def _sql_strict(q: str, strict: str, news: bool) -> str:
 
 _REGIONS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in U.YANDEX_REGIONS.items())
 _FR = f"""SELECT ord, title AS query, starts_with(url, 'https:') AS strict,
-  regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1) AS hl, unnest(range(0, 3)) AS page FROM ({S.pages_articles_sql()})"""
+  regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1) AS hl, CAST(unnest(range(0, 3)) AS INTEGER) AS page FROM ({S.pages_articles_sql()})"""
 _OFF = "(CASE WHEN page > 0 THEN '&start=' || CAST(page * 10 AS VARCHAR) ELSE '' END)"
 _TP = "(CASE WHEN page = 1 THEN '&tbs=qdr:w' ELSE '' END)"
 register("j5_f18_search_urls", f"""SELECT ord, page,

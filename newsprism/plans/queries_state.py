@@ -96,9 +96,9 @@ def w5_failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("w5_failure_runs", """
 WITH l AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id AS seq, event_type <> 'error' AS ok FROM events),
 i AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS isl FROM l),
-v AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY key, isl ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS level FROM i)
+v AS (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY key, isl ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS level FROM i)
 SELECT key, seq, ok, level, level > 3 AS skip,
-  CASE WHEN level = 1 THEN 15.0 WHEN level = 2 THEN 30.0 WHEN level = 3 THEN 60.0 ELSE 0.0 END AS delay_s,
+  CAST(CASE WHEN level = 1 THEN 15.0 WHEN level = 2 THEN 30.0 WHEN level = 3 THEN 60.0 ELSE 0.0 END AS DOUBLE) AS delay_s,
   level >= 3 AS disabled FROM v""")(w5_failure_runs)
 
 

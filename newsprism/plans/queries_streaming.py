@@ -25,7 +25,7 @@ def st2_failure_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("st2_failure_state", """
 WITH l AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id AS seq, event_type <> 'error' AS ok FROM events),
 i AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS isl FROM l)
-SELECT key, seq, ok, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY key, isl ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS level
+SELECT key, seq, ok, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY key, isl ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS level
 FROM i""")(st2_failure_state)
 
 
