@@ -101,11 +101,15 @@ def idn_decode_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda d: None if d is None else _decode_domain(d))
 
 
-def decode_idn(df: DataFrame, column: str) -> DataFrame:
-    """Decode punycode labels of ``column``; only rows containing ``xn--`` reach Python."""
+def decode_idn(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
+    """Decode punycode labels of ``column``; only rows containing ``xn--`` (and matching
+    ``where``) reach Python.  The input is read by two filters, so pass a materialised
+    DataFrame when its lineage is expensive."""
     c = F.col(column)
-    plain = df.filter(~c.contains("xn--") | c.isNull())
-    idn = df.filter(c.contains("xn--")).withColumn(column, idn_decode_udf(c))
+    hit = c.contains("xn--") if where is None else (c.contains("xn--") & where)
+    hit = F.coalesce(hit, F.lit(False))
+    plain = df.filter(~hit)
+    idn = df.filter(hit).withColumn(column, idn_decode_udf(c))
     return plain.unionByName(idn)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsprism.functions.html import MARK, NON_P_BLOCK_RE, P_OPEN_RE, strip_noise
 from newsprism.functions.text import clean_snippet, collapse_ws, decode_entities
-from newsprism.functions.urls import source_domain_raw
+from newsprism.functions.urls import decode_idn, source_domain_raw
 from newsprism.sources.tables import read_table
 
 TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
@@ -64,7 +64,9 @@ def pages_articles(spark: SparkSession, sf_dir: str, as_of: str = "2024-02-01 00
     if with_html:
         cols.append(F.col("html"))
     out = pages.select(*cols)
-    return out.checkpoint(eager=True) if materialize else out
+    if not materialize:
+        return out
+    return decode_idn(out.checkpoint(eager=True), "source")
 
 
 ARTICLE_COLUMNS = ["url", "title", "source", "date", "body", "page", "position", "overall_position",

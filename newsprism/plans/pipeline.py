@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsprism.functions.urls import decode_idn
 from newsprism.operators import expand as EX
 from newsprism.operators import extract as X
 from newsprism.operators import select as SEL
@@ -77,7 +78,9 @@ def merge(archives: dict, cfg: RunConfig) -> DataFrame:
         parts.append((rank, df.drop("query", "engine")))
     if not parts:
         return None
-    return EX.merge_sources(parts).select(*ARTICLE_COLUMNS)
+    merged = EX.merge_sources(parts).select(*ARTICLE_COLUMNS, "source_from_url").checkpoint(eager=True)
+    # F4 on sources taken from urls (display names are left alone); read twice, so materialised first
+    return decode_idn(merged, "source", F.col("source_from_url")).drop("source_from_url")
 
 
 def collect_articles(archives: dict, cfg: RunConfig, out_dir: str | None = None,

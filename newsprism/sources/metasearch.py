@@ -69,7 +69,8 @@ def ingest(archive: DataFrame, as_of=None, source_type: str = "searxng") -> Data
         F.col("page").cast("int").alias("page"),
         (F.col("_i") + 1).cast("int").alias("position"),
         F.lit("").alias("article_text"),
-        F.lit(source_type).alias("source_type"))
+        F.lit(source_type).alias("source_type"),
+        F.lit(True).alias("source_from_url"))
     wo = Window.partitionBy("query", "engine").orderBy("page", "position")
     return arts.withColumn("overall_position", F.row_number().over(wo).cast("int"))
 

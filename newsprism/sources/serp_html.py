@@ -200,6 +200,7 @@ def to_articles(archive: DataFrame, rules: RuleSet, as_of: Column | None = None)
         body = F.coalesce(F.col("f_body"), F.lit(""))
         date = ts
         source = source_domain_raw(href)
+        has_src = False
     else:
         keep = href.isNotNull() & (href != "") & ~F.contains(href, F.lit(ENGINE_INTERNAL[rules.engine]))
         keep = keep & (F.length(title) >= MIN_TITLE_LENGTH)
@@ -208,14 +209,16 @@ def to_articles(archive: DataFrame, rules: RuleSet, as_of: Column | None = None)
         body = clean_snippet(F.coalesce(F.col("f_body"), F.lit("")))
         d = F.col("f_date")
         date = F.when(d.isNull(), ts).otherwise(parse_date(d, ts))
+        has_src = any(f.name == "source" for f in rules.fields)
         source = (F.coalesce(F.nullif(F.col("f_source"), F.lit("")), source_domain_raw(href))
-                  if any(f.name == "source" for f in rules.fields) else source_domain_raw(href))
+                  if has_src else source_domain_raw(href))
     blocked = (F.col("captcha") | F.col("_ya_phrase") if rules is YANDEX
                else F.col("_web_blk") if rules in (WEB, NEWS) else F.lit(False))
     rows = b.select("query", "engine", "page", "block", blocked.alias("_blocked"),
                     (keep & (F.col("block") >= 0)).alias("_keep"),
                     href.alias("url"), title.alias("title"), source.alias("source"), date.alias("date"),
-                    body.alias("body"), (F.col("block") + 1).cast("int").alias("position"))
+                    body.alias("body"), (F.col("block") + 1).cast("int").alias("position"),
+                    ((F.coalesce(F.col("f_source"), F.lit("")) == "") if has_src else F.lit(True)).alias("source_from_url"))
     w = Window.partitionBy("query", "engine")
     per_page = rows.groupBy("query", "engine", "page").agg(
         F.max(F.col("_blocked").cast("int")).alias("_blk"), F.sum(F.col("_keep").cast("int")).alias("_n"))
@@ -230,7 +233,7 @@ def to_articles(archive: DataFrame, rules: RuleSet, as_of: Column | None = None)
     return kept.select("query", "engine", "url", "title", "source", "date", "body",
                        F.col("page").cast("int").alias("page"), "position",
                        overall.cast("int").alias("overall_position"), F.lit("").alias("article_text"),
-                       F.lit(rules.engine).alias("source_type"))
+                       F.lit(rules.engine).alias("source_type"), "source_from_url")
 
 
 # --- an HTML result archive built by Spark from ``pages`` ----------------------------
