@@ -7,12 +7,12 @@ W5 is a running count that restarts at every success.  A plain window over
 of all rows would be one task.  Instead the timeline of each key is cut into
 time buckets and scanned in three steps (a segmented scan):
 
-1. per (key, bucket): failures after the bucket's last success, whether it has a
-   success, and its failure count -- a plain aggregate;
+1. per (key, bucket), ordered: running failures and running failures at the last
+   success; per bucket summaries (failures, tail after its last success) follow;
 2. per key, over its buckets (few rows): the level carried into each bucket;
-3. per (key, bucket): the running level inside the bucket plus the carry.
+3. the carry joins back on (key, bucket), the partitioning the rows already have.
 
-Only step 3 orders rows, and only within one bucket of one key.
+Rows are only ordered within one bucket of one key.
 """
 
 from __future__ import annotations
@@ -29,37 +29,30 @@ DEFAULT_BUCKET_SECONDS = 3600
 def failure_levels(log: DataFrame, key: str = "key", ts: str = "ts", ok: str = "ok", seq: str = "seq",
                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Add ``level``: consecutive failures up to and including this row (0 after a success)."""
-    fail = (~F.col(ok)).cast("int")
     b = F.floor(F.unix_seconds(F.col(ts)) / F.lit(bucket_seconds)).cast("bigint")
-    d = log.withColumn("_b", b).withColumn("_f", fail)
-    order = [F.col(ts), F.col(seq)]
-    # 1. per bucket summaries.  last success position as (ts, seq) struct.
-    succ_pos = F.max(F.when(F.col(ok), F.struct(*order)))
-    summ = (d.groupBy(key, "_b").agg(succ_pos.alias("_last_ok"), F.sum("_f").alias("_nfail")))
-    after_last = (d.join(summ.select(key, "_b", "_last_ok"), [key, "_b"])
-                  .where(F.col("_last_ok").isNull() | (F.struct(*order) > F.col("_last_ok")))
-                  .groupBy(key, "_b").agg(F.sum("_f").alias("_tail")))
-    summ = summ.join(after_last, [key, "_b"], "left").fillna(0, subset=["_tail"])
-    # 2. carry into each bucket: failures since the last success before it.
+    d = log.withColumn("_b", b).withColumn("_f", (~F.col(ok)).cast("int"))
+    # 1. inside each (key, bucket): failures so far, and failures so far at the last success so far.
+    wi = Window.partitionBy(key, "_b").orderBy(F.col(ts), F.col(seq)).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_cf", F.sum("_f").over(wi))
+    d = d.withColumn("_okcf", F.max(F.when(F.col(ok), F.col("_cf"))).over(wi))
+    # per bucket: its failures, and failures after its last success (the tail) when it has one
+    summ = d.groupBy(key, "_b").agg(F.max("_cf").alias("_nfail"), F.max("_okcf").alias("_okend"),
+                                    F.max(F.col(ok).cast("int")).alias("_hasok"))
+    summ = summ.withColumn("_tail", F.col("_nfail") - F.coalesce(F.col("_okend"), F.lit(0)))
+    # 2. carry into each bucket (few rows per key): failures since the last success before it.
     wk = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    last_ok_bucket = F.max(F.when(F.col("_last_ok").isNotNull(), F.col("_b"))).over(wk)
-    summ = summ.withColumn("_lob", last_ok_bucket)
-    # failures in buckets strictly after the last-ok bucket and before this one, plus that bucket's tail
-    wsum = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.withColumn("_cum_before", F.coalesce(F.sum("_nfail").over(wsum), F.lit(0)))
-    summ = summ.withColumn("_cum_incl", F.col("_cum_before") + F.col("_nfail"))
-    lob = summ.select(key, F.col("_b").alias("_lob"), F.col("_cum_incl").alias("_lob_cum"),
+    summ = (summ.withColumn("_lob", F.max(F.when(F.col("_hasok") == 1, F.col("_b"))).over(wk))
+            .withColumn("_cum_before", F.coalesce(F.sum("_nfail").over(wk), F.lit(0))))
+    lob = summ.select(key, F.col("_b").alias("_lob"), (F.col("_cum_before") + F.col("_nfail")).alias("_lob_cum"),
                       F.col("_tail").alias("_lob_tail"))
     summ = summ.join(lob, [key, "_lob"], "left")
     carry = F.when(F.col("_lob").isNull(), F.col("_cum_before")).otherwise(
         F.col("_lob_tail") + F.col("_cum_before") - F.col("_lob_cum"))
     summ = summ.select(key, "_b", carry.alias("_carry"))
-    # 3. inside each bucket: failures so far minus failures at the last success so far.
-    wi = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(summ, [key, "_b"]).withColumn("_cf", F.sum("_f").over(wi))
-    d = d.withColumn("_okcf", F.max(F.when(F.col(ok), F.col("_cf"))).over(wi))
+    # 3. rows keep their (key, bucket) partitioning; the carry joins in.
     level = F.when(F.col("_okcf").isNull(), F.col("_carry") + F.col("_cf")).otherwise(F.col("_cf") - F.col("_okcf"))
-    return d.withColumn("level", level.cast("bigint")).drop("_b", "_f", "_carry", "_cf", "_okcf")
+    return (d.join(summ, [key, "_b"]).withColumn("level", level.cast("bigint"))
+            .drop("_b", "_f", "_carry", "_cf", "_okcf"))
 
 
 def domain_backoff(levels: DataFrame) -> DataFrame:
