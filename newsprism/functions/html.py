@@ -48,6 +48,9 @@ BLOCK_TAGS = "p|div|h[1-6]|li|ul|ol|br|section|article|blockquote|tr|td|th|table
 BLOCK_RE = rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>"
 NON_P_BLOCK_RE = rf"(?i)</p\s*>|</?(?:{BLOCK_TAGS.replace('p|', '', 1)})\b[^>]*>"
 P_OPEN_RE = r"(?i)<p\b[^>]*>"
+# First paragraph: from the first <p> up to the next block boundary, </p>, <p> or the end.
+FIRST_P_RE = (r"(?is)<p\b[^>]*>(.*?)(?:</p\s*>|</?(?:" + BLOCK_TAGS.replace("p|", "", 1)
+              + r")\b[^>]*>|<p\b[^>]*>|\z)")
 TAG_RE = r"<[^>]*>"
 LINK_TEXT_RE = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
 TABLE_RE = r"(?is)<table\b[^>]*>.*?</table\s*>"
@@ -61,8 +64,9 @@ def noise_alternation() -> str:
     overlapping an earlier one is left to what remains (our stated rule for
     malformed nesting).
     """
-    parts = [COMMENT_RE.replace("(?s)", "")] + [noise_re(t).replace("(?is)", "") for t in NOISE_TAGS]
-    return "(?is)" + "|".join(parts)
+    # every alternative starts with "<": factored out, the alternation is only tried there
+    parts = [COMMENT_RE.replace("(?s)<", "")] + [noise_re(t).replace("(?is)<", "") for t in NOISE_TAGS]
+    return "(?is)<(?:" + "|".join(parts) + ")"
 
 
 def strip_noise(html) -> Column:

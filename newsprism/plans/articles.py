@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsprism.functions.html import MARK, NON_P_BLOCK_RE, P_OPEN_RE, strip_noise
+from newsprism.functions.html import FIRST_P_RE, strip_noise
 from newsprism.functions.text import clean_snippet, collapse_ws, decode_entities
 from newsprism.functions.urls import decode_idn, source_domain_raw
 from newsprism.sources.tables import read_table
@@ -34,9 +34,9 @@ def page_title(html) -> F.Column:
 
 
 def first_paragraph(html) -> F.Column:
-    marked = F.regexp_replace(strip_noise(html), NON_P_BLOCK_RE, MARK)
-    first = F.split_part(F.try_element_at(F.split(marked, P_OPEN_RE, 3), F.lit(2)), F.lit(MARK), F.lit(1))
-    return collapse_ws(decode_entities(F.regexp_replace(F.coalesce(first, F.lit("")), r"<[^>]*>", "")))
+    """Text of the first ``<p>`` of the noise-stripped page, up to the next block boundary."""
+    first = F.regexp_extract(strip_noise(html), FIRST_P_RE, 1)
+    return collapse_ws(decode_entities(F.regexp_replace(first, r"<[^>]*>", "")))
 
 
 def pages_articles(spark: SparkSession, sf_dir: str, as_of: str = "2024-02-01 00:00:00",

@@ -195,9 +195,8 @@ def page_title(html: str) -> str:
 
 
 def first_paragraph(html: str) -> str:
-    marked = rep(strip_noise(html), H.NON_P_BLOCK_RE, H.MARK)
-    first = f"split_part({split_re(marked, H.P_OPEN_RE)}[2], {lit(H.MARK)}, 1)"
-    return collapse_ws(decode_entities(rep(f"coalesce({first}, '')", r"<[^>]*>", "")))
+    first = rx(strip_noise(html), H.FIRST_P_RE, 1)
+    return collapse_ws(decode_entities(rep(first, r"<[^>]*>", "")))
 
 
 def pages_articles_sql(as_of: str = "2024-02-01 00:00:00", with_html: bool = False) -> str:
