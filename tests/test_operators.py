@@ -234,3 +234,24 @@ def test_sinks_roundtrip(spark):
     empty = spark.createDataFrame([], arts.schema)
     p = SK.write_csv(empty, os.path.join(d, "empty.csv"))
     assert spark.read.option("header", True).csv(p).columns == SK.COLUMNS
+
+
+def test_top_k_per_group_and_global_rank(spark):
+    from newsprism.operators import expand as EX
+    rows = [("hot", i) for i in range(300)] + [("cold", i) for i in range(0, 30, 3)]
+    df = spark.createDataFrame(rows, "g string, ord bigint").repartition(7)
+    top = EX.top_k_per_group(df, ["g"], "ord", 4).collect()
+    assert sorted((r.g, r.ord) for r in top) == [("cold", 0), ("cold", 3), ("cold", 6), ("cold", 9),
+                                                  ("hot", 0), ("hot", 1), ("hot", 2), ("hot", 3)]
+    doms = spark.createDataFrame([(f"d{i:03d}",) for i in range(57)] + [("d005",)], "domain string").repartition(5)
+    ranks = {r.domain: r.rank for r in EX.global_rank(doms, "domain", partitions=6).collect()}
+    assert ranks == {f"d{i:03d}": i for i in range(57)}
+
+
+def test_dedup_hot_key_third_of_rows(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(600):
+        t = "" if i % 3 == 0 else f"t{rnd.randint(0, 150)}"   # a third share the empty title key
+        rows.append((i, t, f"u{rnd.randint(0, 300)}"))
+    assert run_keys(spark, rows) == seq_scan(rows)
