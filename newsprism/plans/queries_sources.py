@@ -211,7 +211,8 @@ E4_QUERY = "en"
 
 def e4_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = {"json": M.pages_serp_archive(spark, sf_dir, max_pages=MAX_PAGES),
-                "html": SH.pages_html_archive(spark, sf_dir, max_pages=MAX_PAGES).checkpoint(eager=True),
+                "html": SH.pages_html_archive(spark, sf_dir, max_pages=MAX_PAGES,
+                                              engines=["google_search", "google_news", "yandex"]).checkpoint(eager=True),
                 "snapshots": pages_snapshots(spark, sf_dir)}
     out = PL.collect_articles(archives, PL.RunConfig(query=E4_QUERY))
     return out.select("ord", "url", "title", "source_type", F.length("article_text").alias("text_chars"))

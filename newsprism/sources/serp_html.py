@@ -298,14 +298,16 @@ def _fragment(engine: str) -> Column:
     return F.concat(*parts)
 
 
-def pages_html_archive(spark: SparkSession, sf_dir: str, max_pages: int = 10) -> DataFrame:
+def pages_html_archive(spark: SparkSession, sf_dir: str, max_pages: int = 10,
+                       engines: list[str] | None = None) -> DataFrame:
     """Result pages of four engines rendered from ``pages`` (query = language segment,
     result page = 40 page ids).  A page whose first result is a ``spam-farm`` url was
     archived as a block page (web, news, Yandex); frontier pages without rows as empty."""
+    engines = engines or ENGINES
     res = result_fields(read_table(spark, sf_dir, "pages")).filter(F.col("query") != "")
-    rows = res.withColumn("engine", F.explode(F.array(*[F.lit(e) for e in ENGINES])))
-    frag = F.when(F.col("engine") == "google_search", _fragment("google_search"))
-    for e in ENGINES[1:]:
+    rows = res.withColumn("engine", F.explode(F.array(*[F.lit(e) for e in engines])))
+    frag = F.when(F.col("engine") == engines[0], _fragment(engines[0]))
+    for e in engines[1:]:
         frag = frag.when(F.col("engine") == e, _fragment(e))
     grouped = (rows.withColumn("frag", frag).groupBy("engine", "query", "page")
                .agg(F.array_sort(F.collect_list(F.struct("pid", "frag", "mark"))).alias("fs")))
@@ -319,7 +321,7 @@ def pages_html_archive(spark: SparkSession, sf_dir: str, max_pages: int = 10) ->
                    F.lit("https://www.google.com/sorry/index")).otherwise(F.lit("https://www.google.com/search"))
     got = grouped.select("engine", "query", "page", html.alias("html"), final.alias("final_url"))
     front = (res.select("query").distinct()
-             .withColumn("engine", F.explode(F.array(*[F.lit(e) for e in ENGINES])))
+             .withColumn("engine", F.explode(F.array(*[F.lit(e) for e in engines])))
              .withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(max_pages)))))
     out = front.join(got, ["engine", "query", "page"], "left")
     return out.select("query", "engine", "page",
