@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsprism.functions.urls import outlet_domain
@@ -146,4 +146,4 @@ def search_small_media(base: DataFrame, corpus: DataFrame, domains: DataFrame, q
 
 
 __all__ = ["append", "merge_sources", "top_n", "top_k_per_group", "global_rank", "expand_with_titles",
-           "search_small_media", "first_available", "Column"]
+           "search_small_media", "first_available"]

@@ -1,15 +1,15 @@
 """Text extraction: the cascade (X1), batch fill (X2) and native extractors.
 
 The reference calls third-party libraries per row.  Here each extractor is a
-``Column -> Column`` rule over the noise-stripped HTML, so the whole cascade is
+native column rule over the noise-stripped HTML, so the whole cascade is
 one projection inside whole-stage codegen: ``coalesce(when(ok(x1), x1), ...)``
 short-circuits natively, and the stripped HTML is computed once per row.
 The rules keep the reference's contract (ordered strategies, the > 50 stripped
 characters threshold, unstripped return, "" when nothing qualifies); they are
 not bit-equal to the libraries, which are not available here.
 
-A user extractor is any ``Column -> Column`` function (``pandas_udf`` included)
-passed in ``extractors``.
+A user extractor (X7) is any function ``(clean_html, region) -> Column`` (a
+``pandas_udf`` included) passed in ``extractors`` with a name.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from newsprism.functions.html import (
     BLOCK_RE, LINK_TEXT_RE, MARK, NON_P_BLOCK_RE, P_OPEN_RE, TABLE_RE, TAG_RE,
     body_of, html_text, main_region, strip_noise,
 )
-from newsprism.functions.text import collapse_ws, decode_entities, ustrip
+from newsprism.functions.text import decode_entities, ustrip
 
 # Fixed value: a result counts when its stripped length is above this.
 MIN_CONTENT_LENGTH = 50
@@ -138,4 +138,4 @@ def fill_article_text(articles: DataFrame, snapshots: DataFrame,
 
 
 __all__ = ["cascade", "cascade_winner", "extract_text", "fill_article_text", "boilerplate_text",
-           "paragraph_text", "reader_text", "region_markdown", "with_clean_html", "collapse_ws"]
+           "paragraph_text", "reader_text", "region_markdown", "with_clean_html"]

@@ -7,7 +7,6 @@ Unicode case folding; RE2's ``(?i)`` already folds Unicode.
 
 from __future__ import annotations
 
-from newsprism.functions import dates as D
 from newsprism.functions import html as H
 from newsprism.functions import text as T
 from newsprism.functions import urls as U
@@ -233,5 +232,3 @@ def greedy_dedup_sql(src: str, order: str = "ord") -> str:
 )
 SELECT unnest(kept) AS {order} FROM (SELECT kept FROM walk ORDER BY rn DESC LIMIT 1)"""
 
-
-__all__ = ["D"]

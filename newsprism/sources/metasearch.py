@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from newsprism.functions.dates import iso_format, parse_date
+from newsprism.functions.dates import parse_date
 from newsprism.functions.text import clean_snippet
 from newsprism.functions.urls import metasearch_url, source_domain_raw
 from newsprism.plans.articles import first_paragraph, page_title
@@ -128,4 +128,4 @@ def pages_serp_archive(spark: SparkSession, sf_dir: str, max_pages: int = 10,
         metasearch_url(F.lit(base_url), F.col("query"), F.lit(language), F.col("page")).alias("request_url"))
 
 
-__all__ = ["ingest", "frontier", "pages_serp_archive", "iso_format"]
+__all__ = ["ingest", "frontier", "pages_serp_archive"]

@@ -18,12 +18,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsprism.functions.dates import parse_date
 from newsprism.functions.text import clean_snippet
 from newsprism.functions.urls import source_domain_raw
+from newsprism.plans.articles import first_paragraph, page_title
+from newsprism.sources.tables import read_table
 
 
 @dataclass(frozen=True)
@@ -238,11 +240,6 @@ def to_articles(archive: DataFrame, rules: RuleSet, as_of: Column | None = None)
 
 # --- an HTML result archive built by Spark from ``pages`` ----------------------------
 
-from pyspark.sql import SparkSession  # noqa: E402
-
-from newsprism.plans.articles import first_paragraph, page_title  # noqa: E402
-from newsprism.sources.tables import read_table  # noqa: E402
-
 ENGINES = ["google_search", "google_news", "yandex", "seleniumbase_cdp"]
 BLOCK_MARK = "spam-farm"
 PAGE_IDS = 40

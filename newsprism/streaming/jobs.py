@@ -25,7 +25,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from newsprism.session import ensure_checkpoint_dir
 from newsprism.sources import snapshots as SN
-from newsprism.sources.tables import read_table
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
@@ -133,4 +132,4 @@ def events_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("event_type") != "error").alias("ok"))
 
 
-__all__ = ["fresh_arrivals", "failure_state", "run_to_table", "run_upsert", "table_stream", "read_table"]
+__all__ = ["fresh_arrivals", "failure_state", "run_to_table", "run_upsert", "table_stream"]
