@@ -10,9 +10,22 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Tables whose rows carry whole pages or texts: every row costs several regex passes.
+TEXT_TABLES = {"pages", "documents"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table; wall-clock NTZ timestamps become UTC instants (watermarks need them)."""
+    """Read one table; wall-clock NTZ timestamps become UTC instants (watermarks need them).
+
+    A text table whose scan yields fewer partitions than the cluster has cores (a small
+    file with one row group) is spread round-robin first, so the per-row text work uses
+    every core.  Large inputs already scan as many partitions and are left alone.
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
     casts = [F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, TimestampNTZType)
              else F.col(f.name) for f in df.schema.fields]
     if any(isinstance(f.dataType, TimestampNTZType) for f in df.schema.fields):
