@@ -64,10 +64,16 @@ def first_wins_multi_key(keys_df: DataFrame, order: str, keys: list[str],
     winners: list[DataFrame] = []
     rounds = 0
     while True:
-        n = rem.count()
-        if n == 0:
-            break
-        if rounds >= fold_after and n <= fold_below:
+        # emptiness stops at the first row; the full count is only needed once the fold may apply
+        if rounds < fold_after:
+            if rem.isEmpty():
+                break
+            n = None
+        else:
+            n = rem.count()
+            if n == 0:
+                break
+        if n is not None and n <= fold_below:
             schema = f"{order} bigint"
             folded = (rem.select(order, *keys).withColumn("_g", F.lit(0)).groupBy("_g")
                       .applyInPandas(lambda p: _fold(p, order, keys), schema))
