@@ -80,6 +80,35 @@ def global_rank(df: DataFrame, col: str, out: str = "rank", partitions: int | No
     return local.join(F.broadcast(offs), "_pid").select(col, (F.col("_off") + F.col("_lr")).cast("bigint").alias(out))
 
 
+def positions(df: DataFrame, col: str, out: str = "pos", partitions: int | None = None) -> DataFrame:
+    """0-based position of every row in ``col`` order (ties in any order), without a
+    single-partition window: range-partition, number rows per partition, add offsets."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    srt = (df.select(col).repartitionByRange(n, col).sortWithinPartitions(col)
+           .withColumn("_pid", F.spark_partition_id()))
+    local = srt.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy(col)) - 1)
+    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
+    return local.join(F.broadcast(offs), "_pid").select(col, (F.col("_off") + F.col("_lr")).cast("bigint").alias(out))
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
+    """Exact linear-interpolation quantile, distributed: only the two neighbouring values
+    reach the driver (Spark's ``percentile`` merges every distinct value in one task)."""
+    vals = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    n = vals.count()
+    if n == 0:
+        return None
+    pos = q * (n - 1)
+    lo, hi = int(pos // 1), int(-(-pos // 1))
+    got = {r.pos: r._v for r in positions(vals, "_v").filter(F.col("pos").isin(lo, hi)).collect()}
+    if lo == hi or got[lo] == got[hi]:
+        return got[lo]
+    # the same arithmetic as Spark's percentile aggregate
+    return (hi - pos) * got[lo] + (pos - lo) * got[hi]
+
+
 def expansion_titles(articles: DataFrame, n: int = MAX_TITLES_TO_EXPAND, order: str = "ord") -> DataFrame:
     """The first ``n`` articles by order, then those with titles longer than 20 (slice, then filter).
 

@@ -33,7 +33,7 @@ register("s9_outlet_list", SUP)(s9_outlet_list)
 
 def a1_visibility_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = O.standardize(O.supplier_outlets(spark, sf_dir, EN_HEADER))
-    return out.agg(F.percentile("visibility", F.lit(0.25)).alias("q1"))
+    return spark.range(1).select(O.first_quartile(out).alias("q1"))
 
 
 register("a1_visibility_q1", f"SELECT {Q1} AS q1")(a1_visibility_q1)

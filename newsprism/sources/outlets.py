@@ -1,8 +1,8 @@
 """Outlet lists: header detection (S9), first quartile (A1), low visibility (P9), domains (A2).
 
 The header is resolved from ``df.columns`` only (metadata, no data pass); the
-quartile is a Spark aggregate used as a scalar subquery, so no value is
-collected to drive the filter.
+quartile is exact and distributed (range-partitioned positions): only the two
+values around the quartile position reach the driver, never the list.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsprism.functions.urls import outlet_domain
+from newsprism.operators.expand import exact_quantile
 
 # Header names recognised, as in the reference.
 RU_VISIBILITY = ("заметность",)
@@ -67,8 +68,8 @@ def read_outlets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_quartile(outlets: DataFrame):
-    """A1: exact linear-interpolation 25th percentile, as a scalar-subquery Column."""
-    return outlets.select(F.percentile(F.col("visibility"), F.lit(0.25)).alias("q1")).scalar()
+    """A1: exact linear-interpolation 25th percentile (distributed; null for an empty list)."""
+    return F.lit(exact_quantile(outlets, "visibility", 0.25)).cast("double")
 
 
 def low_visibility(outlets: DataFrame) -> DataFrame:
