@@ -63,23 +63,6 @@ def top_k_per_group(df: DataFrame, groups: list[str], order: str, k: int) -> Dat
     return pre.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_pid", "_lr", "_r")
 
 
-def global_rank(df: DataFrame, col: str, out: str = "rank", partitions: int | None = None) -> DataFrame:
-    """0-based rank of distinct sorted values of ``col`` without a single-partition window.
-
-    Range-partition and sort, number rows inside each partition, then add the
-    row counts of all earlier partitions (a table of one row per partition,
-    broadcast: its size is bounded by the partition count).
-    """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    srt = (df.select(col).distinct().repartitionByRange(n, col).sortWithinPartitions(col)
-           .withColumn("_pid", F.spark_partition_id()))
-    local = srt.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy(col)) - 1)
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
-    return local.join(F.broadcast(offs), "_pid").select(col, (F.col("_off") + F.col("_lr")).cast("bigint").alias(out))
-
-
 def positions(df: DataFrame, col: str, out: str = "pos", partitions: int | None = None) -> DataFrame:
     """0-based position of every row in ``col`` order (ties in any order), without a
     single-partition window: range-partition, number rows per partition, add offsets."""
@@ -93,6 +76,11 @@ def positions(df: DataFrame, col: str, out: str = "pos", partitions: int | None
     return local.join(F.broadcast(offs), "_pid").select(col, (F.col("_off") + F.col("_lr")).cast("bigint").alias(out))
 
 
+def global_rank(df: DataFrame, col: str, out: str = "rank", partitions: int | None = None) -> DataFrame:
+    """0-based rank of the distinct sorted values of ``col`` (no single-partition window)."""
+    return positions(df.select(col).distinct(), col, out, partitions)
+
+
 def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
     """Exact linear-interpolation quantile, distributed: only the two neighbouring values
     reach the driver (Spark's ``percentile`` merges every distinct value in one task)."""
