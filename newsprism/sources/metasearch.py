@@ -41,26 +41,32 @@ def frontier(queries: DataFrame, engines: list[str], max_pages: int) -> DataFram
             .withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(max_pages)))))
 
 
-def ingest(archive: DataFrame, as_of=None, source_type: str = "searxng") -> DataFrame:
-    """Archived JSON result pages -> article rows (reference schema + query, engine)."""
+def ingest(archive: DataFrame, as_of=None, source_type: str = "searxng",
+           search: tuple[str, ...] = ("query", "engine")) -> DataFrame:
+    """Archived JSON result pages -> article rows (reference schema + query, engine).
+
+    ``search`` names the columns of one search call (add a run id when the archive holds
+    several fetch runs of a query); paging windows never span more than one call.
+    """
     parsed = F.from_json(F.col("body"), PAYLOAD)
     valid_obj = F.coalesce(F.try_parse_json(F.col("body")).isNotNull()
                            & F.startswith(F.ltrim(F.col("body")), F.lit("{")), F.lit(False))
     pages = (archive.withColumn("_p", parsed)
              .withColumn("_n", F.coalesce(F.size(F.col("_p.results")), F.lit(0)))
              .withColumn("_bad", (F.col("status") != 200) | ~valid_obj))
-    w = Window.partitionBy("query", "engine")
+    w = Window.partitionBy(*search)
     # First page that is good and empty; W4-style: a bad page before it voids the search.
     stop = F.min(F.when(~F.col("_bad") & (F.col("_n") == 0), F.col("page"))).over(w)
     pages = pages.withColumn("_stop", stop)
     reached = F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))
     pages = pages.withColumn("_void", F.max((F.col("_bad") & reached).cast("int")).over(w) == 1)
     kept = pages.filter(reached & ~F.col("_void") & ~F.col("_bad"))
-    rows = kept.select("query", "engine", "page", "fetched_at", F.posexplode("_p.results").alias("_i", "r"))
+    extra = [c for c in search if c not in ("query", "engine")]
+    rows = kept.select("query", "engine", *extra, "page", "fetched_at", F.posexplode("_p.results").alias("_i", "r"))
     ts = as_of if as_of is not None else F.col("fetched_at")
     url = F.coalesce(F.col("r.url"), F.lit(""))
     arts = rows.select(
-        "query", "engine",
+        "query", "engine", *extra,
         url.alias("url"),
         F.coalesce(F.col("r.title"), F.lit("")).alias("title"),
         source_domain_raw(url).alias("source"),
@@ -71,7 +77,7 @@ def ingest(archive: DataFrame, as_of=None, source_type: str = "searxng") -> Data
         F.lit("").alias("article_text"),
         F.lit(source_type).alias("source_type"),
         F.lit(True).alias("source_from_url"))
-    wo = Window.partitionBy("query", "engine").orderBy("page", "position")
+    wo = Window.partitionBy(*search).orderBy("page", "position")
     return arts.withColumn("overall_position", F.row_number().over(wo).cast("int"))
 
 
