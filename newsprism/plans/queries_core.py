@@ -13,6 +13,7 @@ from newsprism.operators.select import filter_relevant, query_terms
 from newsprism.plans import sqlgen as S
 from newsprism.plans.articles import pages_articles
 from newsprism.plans.catalog import register
+from newsprism.sources.snapshots import pages_snapshots
 from newsprism.sources.tables import read_table
 
 FLAGSHIP_QUERY = "tion que news"
@@ -84,15 +85,18 @@ FROM ({CLEAN_PAGES})""")(x1_text_cascade)
 # --- Flagship: archive -> articles -> D1 -> P1 -> J4 -> X1 ------------------------
 
 def flagship(spark: SparkSession, sf_dir: str, query: str = FLAGSHIP_QUERY) -> DataFrame:
+    """Archived pages -> articles -> D1 -> P1; the page bodies join the survivors once, by url
+    (J4), and the cascade fills the text (X2)."""
     arts = pages_articles(spark, sf_dir, materialize=True)
     kept = filter_relevant(dedup_articles(arts), query)
-    html = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("_pid"), "html")
-    joined = X.with_clean_html(kept.join(html, F.pmod(kept["ord"], F.lit(1 << 32)) == html["_pid"], "left"))
-    return joined.select("ord", "url", "title", "source",
-                         F.length(X.cascade(F.col("_clean"), F.col("_region"))).alias("text_chars"))
+    filled = X.fill_article_text(kept, pages_snapshots(spark, sf_dir))
+    return filled.select("ord", "url", "title", "source", F.length("article_text").alias("text_chars"))
 
 
+_SNAP = f"""SELECT url, c, {S.main_region('c')} AS r FROM (
+  SELECT url, {S.strip_noise('arg_max(html, page_id)')} AS c FROM pages GROUP BY url)"""
 register("flagship", f"""
-SELECT a.ord, a.url, a.title, a.source, CAST(length({S.cascade('c', 'r')}) AS INTEGER) AS text_chars
-FROM ({ART}) a JOIN ({CLEAN_PAGES}) p ON a.ord % 4294967296 = p.page_id
+SELECT a.ord, a.url, a.title, a.source,
+  CAST(length(CASE WHEN p.url IS NULL THEN '' ELSE {S.cascade('p.c', 'p.r')} END) AS INTEGER) AS text_chars
+FROM ({ART}) a LEFT JOIN ({_SNAP}) p ON a.url = p.url
 WHERE a.ord IN ({KEPT}) AND {_sql_terms_hits(query_terms(FLAGSHIP_QUERY))} >= 1""")(flagship)
