@@ -255,3 +255,26 @@ def test_dedup_hot_key_third_of_rows(spark):
         t = "" if i % 3 == 0 else f"t{rnd.randint(0, 150)}"   # a third share the empty title key
         rows.append((i, t, f"u{rnd.randint(0, 300)}"))
     assert run_keys(spark, rows) == seq_scan(rows)
+
+
+def test_fill_text_contract(spark):
+    body = "<html><body><article><p>" + "word " * 30 + "</p></article></body></html>"
+    arts = spark.createDataFrame([(0, "https://a/1", "kept as is"), (1, "https://a/2", ""), (2, "https://a/3", ""),
+                                  (3, "https://a/4", "")], "ord bigint, url string, article_text string")
+    snaps = spark.createDataFrame([("https://a/1", body, 200), ("https://a/2", body, 200), ("https://a/3", body, 404),
+                                   ("https://a/4", "", 200)], "url string, response_body string, status_code int")
+    out = {r.ord: r.article_text for r in X.fill_article_text(arts, snaps).collect()}
+    assert out[0] == "kept as is" and out[1].startswith("word word") and out[2] == "" and out[3] == ""
+    assert len(out) == 4
+
+
+def test_exact_quantile_matches_numpy(spark):
+    import numpy as np
+    from newsprism.operators.expand import exact_quantile
+    rnd = random.Random(11)
+    for n in (1, 2, 5, 97):
+        vals = [float(rnd.choice([1, 2, 2, 3, 5, 8, 13])) + rnd.random() * (n % 2) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "v double")
+        for q in (0.0, 0.25, 0.5, 1.0):
+            assert abs(exact_quantile(df, "v", q) - float(np.percentile(vals, q * 100))) < 1e-9
+    assert exact_quantile(spark.createDataFrame([], "v double"), "v", 0.25) is None
