@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from newsprism.functions.urls import decode_idn
@@ -83,16 +83,31 @@ def merge(archives: dict, cfg: RunConfig) -> DataFrame:
     return decode_idn(merged, "source", F.col("source_from_url")).drop("source_from_url")
 
 
+def _observe(df: DataFrame, counters: dict | None, stage: str, with_text: bool = False) -> DataFrame:
+    """A3 without an extra pass: row counts (and rows with text) ride along the next action."""
+    if counters is None:
+        return df
+    obs = counters[stage] = Observation(stage)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    if with_text:
+        aggs.append(F.count_if(F.coalesce(F.col("article_text"), F.lit("")) != "").alias("with_text"))
+    return df.observe(obs, *aggs)
+
+
 def collect_articles(archives: dict, cfg: RunConfig, out_dir: str | None = None,
-                     formats: list[str] | None = None, max_pages: int = 3) -> DataFrame:
+                     formats: list[str] | None = None, max_pages: int = 3,
+                     counters: dict | None = None) -> DataFrame:
     """The reference's run on archived data.  ``archives`` may hold ``json`` (metasearch
     pages), ``html`` (result pages), ``corpus`` (for title expansion) and ``snapshots``
-    (``url, response_body, status_code``, one row per url)."""
+    (``url, response_body, status_code``, one row per url).  Pass ``counters={}`` to get
+    ``Observation`` objects per stage (found, unique, relevant, final); they are filled by
+    the first action on the returned DataFrame."""
     arts = merge(archives, cfg)
     if arts is None:
         return None
-    arts = dedup_articles(arts)
-    arts = SEL.filter_relevant(arts, cfg.query, cfg.min_term_matches)
+    arts = _observe(arts, counters, "found")
+    arts = _observe(dedup_articles(arts), counters, "unique")
+    arts = _observe(SEL.filter_relevant(arts, cfg.query, cfg.min_term_matches), counters, "relevant")
     if cfg.strict_search:
         arts = SEL.exact_phrase(arts, cfg.query)
     if cfg.time_period and cfg.as_of is not None:
@@ -106,6 +121,7 @@ def collect_articles(archives: dict, cfg: RunConfig, out_dir: str | None = None,
             arts = EX.search_small_media(arts, archives["corpus"], outlet_domains(cfg.outlets), cfg.query, strategy)
     if cfg.extract_articles and "snapshots" in archives:
         arts = X.fill_article_text(arts, archives["snapshots"], cfg.extractors)
+    arts = _observe(arts, counters, "final", with_text=True)
     if out_dir and formats:
         write_all(arts, out_dir, output_stem(cfg.query, max_pages, cfg.time_period), formats)
     return arts

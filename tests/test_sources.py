@@ -152,3 +152,16 @@ def test_pipeline_decodes_url_sources(spark):
                  query="пример")
     out = PL.collect_articles({"json": js}, PL.RunConfig(query="пример"))
     assert [r.source for r in out.collect()] == ["пример.рф"]
+
+
+def test_pipeline_counters(spark):
+    js = archive(spark, [(1, 200, payload(PAGE1 + [dict(PAGE2[0], title="first article")])), (2, 200, payload([]))],
+                 query="article")
+    snaps = spark.createDataFrame([("https://example.com/article1", "<article><p>" + "text " * 20 + "</p></article>", 200)],
+                                  "url string, response_body string, status_code int")
+    counters = {}
+    out = PL.collect_articles({"json": js, "snapshots": snaps}, PL.RunConfig(query="article"), counters=counters)
+    assert out.count() == 2   # the third result repeats the first one's title key
+    assert counters["final"].get == {"rows": 2, "with_text": 1}
+    assert counters["found"].get["rows"] == 3 and counters["unique"].get["rows"] == 2
+    assert counters["relevant"].get["rows"] == 2
