@@ -14,6 +14,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEXT_TABLES = {"pages", "documents"}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame over all cores when it has fewer partitions than cores, before
+    CPU-heavy per-row work; inputs that already have enough partitions are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; wall-clock NTZ timestamps become UTC instants (watermarks need them).
 
@@ -23,9 +30,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if name in TEXT_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+        df = spread(df)
     casts = [F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, TimestampNTZType)
              else F.col(f.name) for f in df.schema.fields]
     if any(isinstance(f.dataType, TimestampNTZType) for f in df.schema.fields):
