@@ -61,6 +61,8 @@ class RunConfig:
     time_period: str | None = None
     expand_with_titles: bool = False
     outlets: DataFrame | None = None
+    # Widening rows bypass the relevance filter, as in the reference; True filters them too.
+    filter_widened: bool = False
     extract_articles: bool = True
     extractors: list = field(default_factory=lambda: list(X.DEFAULT_EXTRACTORS))
     as_of: Column | None = None
@@ -119,6 +121,8 @@ def collect_articles(archives: dict, cfg: RunConfig, out_dir: str | None = None,
                                                        if not cfg.only_strategies or n in cfg.only_strategies])
         if strategy:
             arts = EX.search_small_media(arts, archives["corpus"], outlet_domains(cfg.outlets), cfg.query, strategy)
+    if cfg.filter_widened and (cfg.expand_with_titles or cfg.outlets is not None):
+        arts = SEL.filter_relevant(arts, cfg.query, cfg.min_term_matches)
     if cfg.extract_articles and "snapshots" in archives:
         arts = X.fill_article_text(arts, archives["snapshots"], cfg.extractors)
     arts = _observe(arts, counters, "final", with_text=True)
