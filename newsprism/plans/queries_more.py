@@ -185,7 +185,7 @@ def f8_f10_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.when(F.col("event_type") == "error", F.lit(" часа назад")).otherwise(F.lit(" minutes ago")))
     strings = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("k"), s.alias("s")).unionByName(
         e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("k"), rel.alias("s")))
-    return spread(strings).select("k", "s", iso_format(parse_date(F.col("s"), F.to_timestamp(F.lit(AS_OF)))).alias("date"))
+    return spread(strings, "k").select("k", "s", iso_format(parse_date(F.col("s"), F.to_timestamp(F.lit(AS_OF)))).alias("date"))
 
 
 _ASOF = f"TIMESTAMP '{AS_OF}'"

@@ -44,8 +44,8 @@ def _vtype(x: Column) -> Column:
     return F.schema_of_variant(x)
 
 
-def _truthy(x: Column) -> Column:
-    t = _vtype(x)
+def _truthy(x: Column, t: Column | None = None) -> Column:
+    t = _vtype(x) if t is None else t
     return (F.when(x.isNull(), F.lit(False))
             .when(t == "VOID", F.lit(False))
             .when(t == "STRING", F.length(F.try_variant_get(x, "$", "string")) > 0)
@@ -59,10 +59,6 @@ def _field(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "variant")
 
 
-def _first_truthy(v: Column, keys: list[str]) -> Column:
-    return F.coalesce(*[F.when(_truthy(_field(v, k)), _field(v, k)) for k in keys])
-
-
 def _as_text(x: Column) -> Column:
     return F.when(x.isNull() | (_vtype(x) == "VOID"), F.lit("")).otherwise(
         F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
@@ -105,14 +101,21 @@ def harvest(captured: DataFrame, as_of: Column, select_api: bool = True) -> Data
         captured = captured.filter(is_api_response(F.col("url"), F.col("status"), F.col("headers")))
     docs = captured.select("rid", F.try_parse_json("body").alias("v")).filter(F.col("v").isNotNull())
     nodes = walk(docs).filter(_vtype(F.col("v")).startswith("OBJECT"))
-    v = F.col("v")
-    u = _first_truthy(v, ["url", "link", "href"])
-    t = _first_truthy(v, ["title", "name", "heading"])
-    us = F.when(_vtype(u) == "STRING", F.try_variant_get(u, "$", "string"))
-    ts = F.when(_vtype(t) == "STRING", F.try_variant_get(t, "$", "string"))
-    snip, desc = _field(v, "snippet"), _field(v, "description")
+    # staged so that every candidate field and its type are computed once per node
+    keys = ["url", "link", "href", "title", "name", "heading"]
+    nodes = nodes.select("rid", "path", *[_field(F.col("v"), k).alias(f"_{k}") for k in keys + ["snippet", "description"]])
+    nodes = nodes.select("*", *[_vtype(F.col(f"_{k}")).alias(f"_t_{k}") for k in keys])
+    nodes = nodes.select("rid", "path", "_snippet", "_description", *[c for k in keys for c in (f"_{k}", f"_t_{k}")],
+                         *[_truthy(F.col(f"_{k}"), F.col(f"_t_{k}")).alias(f"_ok_{k}") for k in keys])
+
+    def first(ks):
+        val = F.coalesce(*[F.when(F.col(f"_ok_{k}"), F.col(f"_{k}")) for k in ks])
+        typ = F.coalesce(*[F.when(F.col(f"_ok_{k}"), F.col(f"_t_{k}")) for k in ks])
+        return F.when(typ == "STRING", F.try_variant_get(val, "$", "string"))
+    snip, desc = F.col("_snippet"), F.col("_description")
     body = F.when(snip.isNotNull(), _as_text(snip)).when(desc.isNotNull(), _as_text(desc)).otherwise(F.lit(""))
-    rows = nodes.select("rid", "path", us.alias("url"), ts.alias("title"), body.alias("body"))
+    rows = nodes.select("rid", "path", first(["url", "link", "href"]).alias("url"),
+                        first(["title", "name", "heading"]).alias("title"), body.alias("body"))
     rows = rows.filter(F.col("url").startswith("http") & (F.length("title") > MIN_TITLE_CHARS))
     return rows.select(
         "rid", "path", "url", "title", log_domain(F.col("url")).alias("source"), as_of.alias("date"), "body",

@@ -10,15 +10,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-# Tables whose rows carry whole pages or texts: every row costs several regex passes.
-TEXT_TABLES = {"pages", "documents"}
+# Tables whose rows carry whole pages or texts (every row costs several regex passes),
+# with their unique id.
+TEXT_TABLES = {"pages": "page_id", "documents": "doc_id"}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a DataFrame over all cores when it has fewer partitions than cores, before
-    CPU-heavy per-row work; inputs that already have enough partitions are left alone."""
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a DataFrame over all cores when it has fewer partitions than cores, before
+    CPU-heavy per-row work; inputs that already have enough partitions are left alone.
+    With ``key`` (a unique id) the rows are hash-partitioned on it, which is deterministic
+    under task retries without sorting whole rows first (round-robin needs that sort)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +35,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if name in TEXT_TABLES:
-        df = spread(df)
+        df = spread(df, TEXT_TABLES[name])
     casts = [F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, TimestampNTZType)
              else F.col(f.name) for f in df.schema.fields]
     if any(isinstance(f.dataType, TimestampNTZType) for f in df.schema.fields):
