@@ -12,87 +12,63 @@ independent set of the graph "shares a key".  It is computed in rounds:
    undecided neighbour and every earlier decided neighbour was dropped, so it
    is kept;
 3. rows sharing a key with a row kept in this round are dropped (anti joins);
-4. the undecided rest is checkpointed (reliable checkpoint dir) and goes round again.
+4. the undecided rest is written to the shared folder and goes round again.
 
-Random orders need a handful of rounds; an adversarial chain needs many.  When
-rounds keep leaving rows (``fold_after`` rounds) and the undecided remainder is
-below ``fold_below`` rows (a count checked on the cluster), it is finished by
-one ordered fold over that bounded remainder.
+The number of rounds is the depth of the dependences: a handful for random orders, about half
+the length of an adversarial chain.  Nothing ever meets in one task, whatever the size; spent
+round tables are deleted.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsprism.functions.text import title_key
 from newsprism.functions.urls import url_key
-from newsprism.session import ensure_checkpoint_dir
+from newsprism.session import path_exists, remove_path, scratch_path
 
-DEFAULT_FOLD_BELOW = 20_000
-DEFAULT_FOLD_AFTER = 4
 
-
-def _fold(pdf: pd.DataFrame, order: str, keys: list[str]) -> pd.DataFrame:
-    pdf = pdf.sort_values(order, kind="stable")
-    seen = [set() for _ in keys]
-    kept = []
-    cols = [pdf[k].tolist() for k in keys]
-    for i, o in enumerate(pdf[order].tolist()):
-        vals = [c[i] for c in cols]
-        if any(v in s for v, s in zip(vals, seen)):
-            continue
-        for v, s in zip(vals, seen):
-            s.add(v)
-        kept.append(o)
-    return pd.DataFrame({order: pd.Series(kept, dtype="int64")})
-
-
-def first_wins_multi_key(keys_df: DataFrame, order: str, keys: list[str],
-                         fold_below: int = DEFAULT_FOLD_BELOW, fold_after: int = DEFAULT_FOLD_AFTER) -> DataFrame:
+def first_wins_multi_key(keys_df: DataFrame, order: str, keys: list[str]) -> DataFrame:
     """Return the ``order`` values kept by the greedy multi-key scan.
 
     ``keys_df`` holds ``order`` (unique, orderable) and the key columns (non-null).
     """
     spark = keys_df.sparkSession
-    ensure_checkpoint_dir(spark)
+    base = scratch_path(spark, "first-wins")
     # Rows with the very same key tuple: only the first can ever be kept.
-    rem = keys_df.groupBy(*keys).agg(F.min(order).alias(order)).checkpoint(eager=True)
-    winners: list[DataFrame] = []
-    rounds = 0
+    state = keys_df.groupBy(*keys).agg(F.min(order).alias(order)).withColumn("_keep", F.lit(False))
+    schema = state.select(order, *keys).schema
+    n = 0
     while True:
-        # emptiness stops at the first row; the full count is only needed once the fold may apply
-        if rounds < fold_after:
-            if rem.isEmpty():
-                break
-            n = None
-        else:
-            n = rem.count()
-            if n == 0:
-                break
-        if n is not None and n <= fold_below:
-            schema = f"{order} bigint"
-            folded = (rem.select(order, *keys).withColumn("_g", F.lit(0)).groupBy("_g")
-                      .applyInPandas(lambda p: _fold(p, order, keys), schema))
-            winners.append(folded.checkpoint(eager=True))
+        state.select(order, *keys, "_keep").write.partitionBy("_keep").parquet(f"{base}/round={n}")
+        if n:
+            remove_path(spark, f"{base}/round={n - 1}/_keep=false")
+        left = f"{base}/round={n}/_keep=false"
+        rem = spark.read.schema(schema).parquet(left) if path_exists(spark, left) else None
+        if rem is None or rem.isEmpty():
             break
-        rounds += 1
-        mins = [rem.groupBy(k).agg(F.min(order).alias(f"_min{i}")) for i, k in enumerate(keys)]
-        tagged = reduce(lambda d, km: d.join(km[1], km[0]), zip(keys, mins), rem)
-        is_min = reduce(lambda a, b: a & b, [F.col(order) == F.col(f"_min{i}") for i in range(len(keys))])
-        tagged = tagged.withColumn("_keep", is_min).select(order, *keys, "_keep").checkpoint(eager=True)
-        won = tagged.filter("_keep").select(order, *keys)
-        winners.append(won.select(order))
-        rest = tagged.filter(~F.col("_keep")).select(order, *keys)
-        for k in keys:
-            rest = rest.join(won.select(k), k, "left_anti")
-        rem = rest.checkpoint(eager=True)
-    if not winners:
-        return spark.createDataFrame([], f"{order} bigint")
-    return reduce(DataFrame.unionByName, winners)
+        state = _round(rem, order, keys)
+        n += 1
+    won = [p for p in (f"{base}/round={i}/_keep=true" for i in range(1, n + 1)) if path_exists(spark, p)]
+    if not won:
+        return spark.createDataFrame([], keys_df.select(order).schema)
+    return spark.read.schema(schema).parquet(*won).select(order)
+
+
+def _round(rem: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """One round: the rows kept (``_keep``) and the rows still undecided."""
+    mins = [rem.groupBy(k).agg(F.min(order).alias(f"_min{i}")) for i, k in enumerate(keys)]
+    tagged = reduce(lambda d, km: d.join(km[1], km[0]), zip(keys, mins), rem)
+    is_min = reduce(lambda a, b: a & b, [F.col(order) == F.col(f"_min{i}") for i in range(len(keys))])
+    tagged = tagged.select(order, *keys, is_min.alias("_keep"))
+    won = tagged.filter("_keep")
+    rest = tagged.filter("not _keep")
+    for k in keys:
+        rest = rest.join(won.select(k), k, "left_anti")
+    return won.unionByName(rest)
 
 
 def dedup_keys(df: DataFrame, order: str = "ord", title: str = "title", url: str = "url",
@@ -104,15 +80,13 @@ def dedup_keys(df: DataFrame, order: str = "ord", title: str = "title", url: str
     return df.select(F.col(order).cast("bigint").alias(order), tk.alias("tkey"), url_key(url).alias("ukey"))
 
 
-def dedup_articles(df: DataFrame, order: str = "ord", empty_key: str = "match",
-                   fold_below: int = DEFAULT_FOLD_BELOW) -> DataFrame:
+def dedup_articles(df: DataFrame, order: str = "ord", empty_key: str = "match") -> DataFrame:
     """D1 on an article DataFrame: keeps the first row per title key or url key.
 
     Only three narrow columns go through the rounds; the wide rows are joined
     back once with a semi join on the unique ``ord``.
     """
-    kept = first_wins_multi_key(dedup_keys(df, order, empty_key=empty_key), order, ["tkey", "ukey"],
-                                fold_below=fold_below)
+    kept = first_wins_multi_key(dedup_keys(df, order, empty_key=empty_key), order, ["tkey", "ukey"])
     return df.join(kept, order, "left_semi")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsprism.functions.urls import outlet_domain
@@ -21,10 +21,12 @@ from newsprism.operators.select import term_hits, query_terms
 SEGMENT_SHIFT = 1 << 60
 GROUP_SHIFT = 1 << 40
 LOW_MASK = GROUP_SHIFT - 1
-# How many leading articles are expanded and the minimum title length.
+GROUPS = SEGMENT_SHIFT // GROUP_SHIFT
+#: Rows that one search call can have at most (ten pages of results).
+CALL_SPAN = 4096
+# How many leading articles are expanded by default and the minimum title length.
 MAX_TITLES_TO_EXPAND = 5
 MIN_EXPAND_TITLE_CHARS = 20
-RESULTS_PER_PAGE = 10
 
 
 def segment(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
@@ -33,15 +35,26 @@ def segment(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
 
 def append(base: DataFrame, extra: DataFrame, n: int = 1, order: str = "ord") -> DataFrame:
     """``base + extra`` in list order."""
-    return base.unionByName(segment(extra, n, order))
+    return append_segment(base, segment(extra, n, order))
 
 
 def merge_sources(parts: list[tuple[int, DataFrame]], order: str = "ord",
                   position: str = "overall_position") -> DataFrame:
-    """Union in strategy order; ord = (strategy rank, overall position)."""
-    return reduce(DataFrame.unionByName, [
-        p.withColumn(order, F.lit(rank).cast("bigint") * F.lit(1 << 32) + F.col(position).cast("bigint"))
-        for rank, p in parts])
+    """Union in strategy order; ord = (strategy rank, run of the search call, overall position).
+
+    A row whose place does not fit its field raises an error instead of running into the next one."""
+    def ranked(rank: int, p: DataFrame) -> DataFrame:
+        at = F.col(position).cast("bigint")
+        if "run" in p.columns:
+            at = _within(at, CALL_SPAN, "position in a search call") + F.col("run").cast("bigint") * F.lit(CALL_SPAN)
+        return p.withColumn(order, F.lit(rank).cast("bigint") * F.lit(1 << 32) + _within(at, 1 << 32, "position in a source")).drop("run")
+
+    return reduce(DataFrame.unionByName, [ranked(rank, p) for rank, p in parts])
+
+
+def _within(value: Column, limit: int, what: str) -> Column:
+    return F.when(value < F.lit(limit), value).otherwise(
+        F.raise_error(F.concat(F.lit(f"{what} does not fit below {limit}: "), value.cast("string"))).cast("bigint"))
 
 
 def top_n(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
@@ -50,17 +63,10 @@ def top_n(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
 
 
 def top_k_per_group(df: DataFrame, groups: list[str], order: str, k: int) -> DataFrame:
-    """First ``k`` rows per group by ``order``, skew-safe.
-
-    Each input partition first keeps its own top ``k`` per group, so a group that
-    holds a third of all rows reaches the final window with at most
-    ``k * partitions`` rows.
-    """
-    pre = (df.withColumn("_pid", F.spark_partition_id())
-           .withColumn("_lr", F.row_number().over(Window.partitionBy(*groups, "_pid").orderBy(order)))
-           .filter(F.col("_lr") <= k))
+    """First ``k`` rows per group by ``order``, skew-safe: Spark's window group limit keeps the
+    first ``k`` of a group per task before the shuffle."""
     w = Window.partitionBy(*groups).orderBy(order)
-    return pre.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_pid", "_lr", "_r")
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
 def positions(df: DataFrame, col: str, out: str = "pos", partitions: int | None = None) -> DataFrame:
@@ -107,30 +113,26 @@ def expansion_titles(articles: DataFrame, n: int = MAX_TITLES_TO_EXPAND, order:
     return ranked.filter(F.length("title") > MIN_EXPAND_TITLE_CHARS).select(F.col("title").alias("_xq"), "_xr")
 
 
-def search_archive(titles: DataFrame, corpus: DataFrame, min_share: float = 1.0) -> DataFrame:
-    """Emulated engine lookup: corpus rows containing every term (>= 3 chars) of the title.
-
-    ``titles`` is at most ``MAX_TITLES_TO_EXPAND`` rows, so it is broadcast (proven bound).
-    """
-    t = F.broadcast(titles.withColumn("_terms", F.filter(F.split(F.lower("_xq"), r"\s+", -1),
-                                                          lambda w: F.length(w) >= 3)))
-    hay = F.lower(F.concat_ws(" ", F.col("title"), F.col("body")))
-    hits = F.size(F.filter(F.col("_terms"), lambda w: F.contains(hay, w)))
-    need = F.ceil(F.size("_terms") * F.lit(min_share))
-    return corpus.join(t, (hits >= need) & (F.size("_terms") > 0), "inner")
+def title_searches(titles: DataFrame, searches: DataFrame) -> DataFrame:
+    """Archived first result pages of the searches for the given titles (equi-join on the query)."""
+    return searches.filter(F.col("page") == 1).join(titles, F.col("query") == F.col("_xq"))
 
 
-def expand_with_titles(base: DataFrame, corpus: DataFrame, order: str = "ord") -> DataFrame:
-    """Each leading title is looked up in every source, one page each; hits are tagged,
+def expand_with_titles(base: DataFrame, searches: DataFrame, order: str = "ord", n_titles: int = MAX_TITLES_TO_EXPAND) -> DataFrame:
+    """Each of the first ``n_titles`` titles is looked up in every source, one page each
+    (``searches``: article rows of archived searches with their ``query``, ``page`` and order); hits are tagged,
     appended after the base rows (title by title, source by source) and the whole list is
     deduplicated again."""
-    titles = expansion_titles(base, order=order)
-    hits = search_archive(titles, corpus)
-    hits = top_k_per_group(hits, ["_xq", "source_type"], order, RESULTS_PER_PAGE)
-    hits = hits.withColumn(order, F.lit(SEGMENT_SHIFT) + F.col("_xr") * F.lit(GROUP_SHIFT)
+    hits = title_searches(expansion_titles(base, n_titles, order), searches)
+    hits = hits.withColumn(order, F.lit(SEGMENT_SHIFT) + _within(F.col("_xr").cast("bigint"), GROUPS, "title") * F.lit(GROUP_SHIFT)
                            + (F.col(order).bitwiseAND(F.lit(LOW_MASK))))
     tagged = hits.withColumn("source_type", F.lit("google_search_expansion"))
-    return dedup_articles(base.unionByName(tagged.select(*base.columns)), order)
+    return dedup_articles(append_segment(base, tagged), order)
+
+
+def append_segment(base: DataFrame, tagged: DataFrame) -> DataFrame:
+    """``base`` followed by rows whose order already lies in a later segment."""
+    return base.unionByName(tagged.select(*base.columns))
 
 
 def first_available(strategies: list[str], available: list[str]) -> str | None:
@@ -141,13 +143,14 @@ def first_available(strategies: list[str], available: list[str]) -> str | None:
 
 
 def search_small_media(base: DataFrame, corpus: DataFrame, domains: DataFrame, query: str,
-                       strategy: str, order: str = "ord") -> DataFrame:
+                       strategy: str, order: str = "ord", per_domain: int | None = None) -> DataFrame:
     """For every low-visibility domain (sorted), the query restricted to that site on the
     first available source only; hits tagged ``from_media_list``, appended domain by domain,
     deduplicated again.
 
     The site restriction is a join on the outlet domain of the url (``source`` may hold a
     display name); the domain list can be any size, so Spark picks the join strategy.
+    ``per_domain`` keeps the first so many hits of a domain (None: all of them).
     """
     terms = query_terms(query)
     hits = corpus.filter(F.col("source_type") == strategy)
@@ -155,11 +158,12 @@ def search_small_media(base: DataFrame, corpus: DataFrame, domains: DataFrame, q
         hits = hits.filter(term_hits(terms) >= 1)
     ranked = global_rank(domains, "domain", "_dr")
     hits = hits.withColumn("domain", outlet_domain(F.col("url"))).join(ranked, "domain")
-    hits = top_k_per_group(hits, ["domain"], order, RESULTS_PER_PAGE)
-    hits = hits.withColumn(order, F.lit(2 * SEGMENT_SHIFT) + F.col("_dr") * F.lit(GROUP_SHIFT)
+    if per_domain is not None:
+        hits = top_k_per_group(hits, ["domain"], order, per_domain)
+    hits = hits.withColumn(order, F.lit(2 * SEGMENT_SHIFT) + _within(F.col("_dr"), GROUPS, "domain rank") * F.lit(GROUP_SHIFT)
                            + F.col(order).bitwiseAND(F.lit(LOW_MASK)))
     tagged = hits.withColumn("source_type", F.lit("from_media_list"))
-    return dedup_articles(base.unionByName(tagged.select(*base.columns)), order)
+    return dedup_articles(append_segment(base, tagged), order)
 
 
 __all__ = ["append", "merge_sources", "top_n", "top_k_per_group", "global_rank", "expand_with_titles",

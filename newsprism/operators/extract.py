@@ -87,21 +87,26 @@ def viable(x: Column, min_chars: int = MIN_CONTENT_LENGTH) -> Column:
     return F.try_element_at(F.filter(F.array(x), lambda v: F.length(ustrip(v)) > min_chars), F.lit(1))
 
 
-def cascade(clean: Column, region: Column, extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS,
-            min_chars: int = MIN_CONTENT_LENGTH) -> Column:
-    """The first extractor whose stripped result is longer than ``min_chars`` wins (unstripped).
+def cascade_pick(clean: Column, region: Column, extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS,
+                 min_chars: int = MIN_CONTENT_LENGTH) -> Column:
+    """X1 as one struct (extractor, text): the first extractor whose stripped result is longer than
+    ``min_chars`` wins, its text unstripped; both "" when none does.
 
     ``coalesce`` stops at the first non-null child, so later extractors only run
-    for rows the earlier ones could not serve.
+    for rows the earlier ones could not serve, and none runs twice.
     """
-    return F.coalesce(*[viable(fn(clean, region), min_chars) for _, fn in extractors], F.lit(""))
+    def tried(name: str, fn: Extractor) -> Column:
+        good = F.filter(F.array(fn(clean, region)), lambda v: F.length(ustrip(v)) > min_chars)
+        return F.try_element_at(F.transform(good, lambda v: F.struct(F.lit(name).alias("extractor"), v.alias("text"))), F.lit(1))
+
+    return F.coalesce(*[tried(name, fn) for name, fn in extractors],
+                      F.struct(F.lit("").alias("extractor"), F.lit("").alias("text")))
 
 
-def cascade_winner(clean: Column, region: Column, extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS,
-                   min_chars: int = MIN_CONTENT_LENGTH) -> Column:
-    """Name of the extractor that won, "" when none did (for run counters)."""
-    tries = [F.when(viable(fn(clean, region), min_chars).isNotNull(), F.lit(name)) for name, fn in extractors]
-    return F.coalesce(*tries, F.lit(""))
+def cascade(clean: Column, region: Column, extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS,
+            min_chars: int = MIN_CONTENT_LENGTH) -> Column:
+    """The winner's text, unstripped; "" when none qualifies."""
+    return F.coalesce(*[viable(fn(clean, region), min_chars) for _, fn in extractors], F.lit(""))
 
 
 def with_clean_html(df: DataFrame, html_col: str = "html") -> DataFrame:
@@ -122,20 +127,20 @@ def fill_article_text(articles: DataFrame, snapshots: DataFrame,
                       extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS) -> DataFrame:
     """X2 = P8 + J4 + X1: only rows with empty text, HTML attached once per url by a left join.
 
-    ``snapshots`` has ``url, response_body, status_code``; only non-empty 200s are used and
-    one body per url is kept (latest first), so the join never multiplies article rows.
+    ``snapshots`` has ``url, response_body, status_code`` and may have ``fetched_at, seq``; only
+    non-empty 200s are used and one body per url is kept (the latest; without times the largest in
+    text order), so the join never multiplies article rows.
     """
-    need = articles.filter(F.coalesce(F.col("article_text"), F.lit("")) == "")
-    done = articles.filter(F.coalesce(F.col("article_text"), F.lit("")) != "")
-    html = (snapshots.filter((F.col("status_code") == 200) & (F.coalesce(F.length("response_body"), F.lit(0)) > 0))
-            .select("url", F.col("response_body").alias("_html")))
-    filled = (need.drop("article_text").join(html, "url", "left")
-              .transform(lambda d: with_clean_html(d, "_html"))
-              .withColumn("article_text", F.when(F.col("_html").isNull(), F.lit("")).otherwise(
-                  cascade(F.col("_clean"), F.col("_region"), extractors)))
-              .drop("_clean", "_region", "_html"))
-    return done.unionByName(filled.select(*articles.columns))
-
-
-__all__ = ["cascade", "cascade_winner", "extract_text", "fill_article_text", "boilerplate_text",
+    good = snapshots.filter((F.col("status_code") == 200) & (F.coalesce(F.length("response_body"), F.lit(0)) > 0))
+    when = [c for c in ("fetched_at", "seq") if c in snapshots.columns]
+    html = good.groupBy(F.col("url").alias("_url")).agg(F.max(F.struct(*when, "response_body"))["response_body"].alias("_html"))
+    need = F.coalesce(F.col("article_text"), F.lit("")) == ""
+    # Rows that have a text get a null key and so no body.
+    joined = articles.withColumn("_of", F.when(need, F.col("url"))).join(html, F.col("_of") == F.col("_url"), "left")
+    filled = with_clean_html(joined, "_html").withColumn("article_text", F.when(~need, F.col("article_text"))
+        .when(F.col("_html").isNull(), F.lit("")).otherwise(cascade(F.col("_clean"), F.col("_region"), extractors)))
+    return filled.select(*articles.columns)
+
+
+__all__ = ["cascade", "cascade_pick", "extract_text", "fill_article_text", "boilerplate_text",
            "paragraph_text", "reader_text", "region_markdown", "with_clean_html"]

@@ -17,7 +17,6 @@ from newsprism.functions.urls import decode_idn, source_domain_raw
 from newsprism.sources.tables import read_table
 
 TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-SNIPPET_CHARS = 200
 RESULTS_PER_PAGE = 10
 
 # Strategy order used when sources are merged (U1); fixed as in the reference.
@@ -53,10 +52,10 @@ def pages_articles(spark: SparkSession, sf_dir: str, as_of: str = "2024-02-01 00
         page_title(F.col("html")).alias("title"),
         source_domain_raw(F.col("url")).alias("source"),
         F.to_timestamp(F.lit(as_of)).alias("date"),
-        clean_snippet(F.substring(first_paragraph(F.col("html")), 1, SNIPPET_CHARS)).alias("body"),
-        (F.floor(pid / RESULTS_PER_PAGE) + 1).cast("int").alias("page"),
+        clean_snippet(first_paragraph(F.col("html"))).alias("body"),
+        F.expr(f"page_id div {RESULTS_PER_PAGE} + 1").cast("bigint").alias("page"),
         (F.pmod(pid, F.lit(RESULTS_PER_PAGE)) + 1).cast("int").alias("position"),
-        (pid + 1).cast("int").alias("overall_position"),
+        (pid + 1).cast("bigint").alias("overall_position"),
         F.lit("").alias("article_text"),
         F.when(F.col("url").startswith("https:"), F.lit("searxng")).otherwise(F.lit("google_search")).alias("source_type"),
         strategy_ord(F.when(F.col("url").startswith("https:"), F.lit(0)).otherwise(F.lit(1)), pid).alias("ord"),

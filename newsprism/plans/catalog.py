@@ -23,6 +23,6 @@ def register(name: str, sql: str | None = None):
 def load_all() -> dict:
     # Import for side effects: each module registers its queries.
     from newsprism.plans import (  # noqa: F401
-        queries_core, queries_more, queries_outlets, queries_sources, queries_state, queries_streaming,
+        queries_core, queries_more, queries_outlets, queries_sinks, queries_sources, queries_state, queries_streaming,
     )
     return REGISTRY

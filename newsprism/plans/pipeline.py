@@ -23,6 +23,7 @@ from newsprism.plans.articles import STRATEGY_ORDER
 from newsprism.sinks.files import output_stem, write_all
 from newsprism.sources import metasearch as M
 from newsprism.sources import serp_html as SH
+from newsprism.sources import snapshots as SN
 from newsprism.sources.outlets import outlet_domains
 
 SourceFn = Callable[[dict, str], DataFrame]
@@ -32,7 +33,7 @@ def _json_source(archives: dict, query: str) -> DataFrame | None:
     arch = archives.get("json")
     if arch is None:
         return None
-    return M.ingest(arch.filter(F.col("query") == query))
+    return M.ingest(arch.filter(F.col("query") == query))  # the run is part of the search call if the archive has it
 
 
 def _html_source(engine: str) -> SourceFn:
@@ -66,6 +67,10 @@ class RunConfig:
     extract_articles: bool = True
     extractors: list = field(default_factory=lambda: list(X.DEFAULT_EXTRACTORS))
     as_of: Column | None = None
+    max_titles_to_expand: int = EX.MAX_TITLES_TO_EXPAND
+    max_chars: int | None = None
+    # Output formats by name; more writers may be given by the caller.
+    writers: dict = field(default_factory=dict)
 
 
 def merge(archives: dict, cfg: RunConfig) -> DataFrame:
@@ -104,6 +109,10 @@ def collect_articles(archives: dict, cfg: RunConfig, out_dir: str | None = None,
     (``url, response_body, status_code``, one row per url).  Pass ``counters={}`` to get
     ``Observation`` objects per stage (found, unique, relevant, final); they are filled by
     the first action on the returned DataFrame."""
+    if cfg.time_period and cfg.as_of is None:
+        raise ValueError("time_period needs as_of")
+    if (cfg.expand_with_titles or cfg.outlets is not None) and "corpus" not in archives:
+        raise ValueError("widening needs archives['corpus']")
     arts = merge(archives, cfg)
     if arts is None:
         return None
@@ -112,11 +121,11 @@ def collect_articles(archives: dict, cfg: RunConfig, out_dir: str | None = None,
     arts = _observe(SEL.filter_relevant(arts, cfg.query, cfg.min_term_matches), counters, "relevant")
     if cfg.strict_search:
         arts = SEL.exact_phrase(arts, cfg.query)
-    if cfg.time_period and cfg.as_of is not None:
+    if cfg.time_period:
         arts = SEL.recent(arts, cfg.time_period, cfg.as_of)
-    if cfg.expand_with_titles and "corpus" in archives:
-        arts = EX.expand_with_titles(arts, archives["corpus"])
-    if cfg.outlets is not None and "corpus" in archives:
+    if cfg.expand_with_titles:
+        arts = EX.expand_with_titles(arts, archives["corpus"], n_titles=cfg.max_titles_to_expand)
+    if cfg.outlets is not None:
         strategy = EX.first_available(STRATEGY_ORDER, [n for n in STRATEGY_ORDER
                                                        if not cfg.only_strategies or n in cfg.only_strategies])
         if strategy:
@@ -124,8 +133,11 @@ def collect_articles(archives: dict, cfg: RunConfig, out_dir: str | None = None,
     if cfg.filter_widened and (cfg.expand_with_titles or cfg.outlets is not None):
         arts = SEL.filter_relevant(arts, cfg.query, cfg.min_term_matches)
     if cfg.extract_articles and "snapshots" in archives:
-        arts = X.fill_article_text(arts, archives["snapshots"], cfg.extractors)
+        snaps = archives["snapshots"]
+        if cfg.as_of is not None and {"fetched_at", "ttl_hours"} <= set(snaps.columns):
+            snaps = SN.fresh(snaps, cfg.as_of)  # an expired snapshot is no snapshot
+        arts = X.fill_article_text(arts, snaps, cfg.extractors)
     arts = _observe(arts, counters, "final", with_text=True)
     if out_dir and formats:
-        write_all(arts, out_dir, output_stem(cfg.query, max_pages, cfg.time_period), formats)
+        write_all(arts, out_dir, output_stem(cfg.query, max_pages, cfg.time_period), formats, max_chars=cfg.max_chars, more=cfg.writers)
     return arts

@@ -74,7 +74,7 @@ SELECT ord, title, body FROM ({ART}) WHERE {_sql_terms_hits(query_terms(FLAGSHIP
 def x1_text_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = X.with_clean_html(read_table(spark, sf_dir, "pages"))
     c, r = F.col("_clean"), F.col("_region")
-    return pages.select("page_id", X.cascade_winner(c, r).alias("extractor"), X.cascade(c, r).alias("article_text"))
+    return pages.select("page_id", X.cascade_pick(c, r).alias("x")).select("page_id", "x.extractor", F.col("x.text").alias("article_text"))
 
 
 register("x1_text_cascade", f"""

@@ -100,14 +100,14 @@ def _doc_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.timestamp_micros(F.unix_micros(F.to_timestamp(F.lit(AS_OF))) - F.col("doc_id") * F.lit(600_000_000))
     return d.select(F.col("doc_id").alias("ord"),
                     F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/doc/"), F.col("doc_id").cast("string")).alias("url"),
-                    F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120).alias("title"),
-                    F.col("source"), date.alias("date"), F.substring("text", 1, 200).alias("body"),
+                    F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+                    F.col("source"), date.alias("date"), F.col("text").alias("body"),
                     F.col("text").alias("article_text"), F.col("lang").alias("source_type"))
 
 
 _DOCS = f"""SELECT doc_id AS ord, 'https://' || source || '.example.org/doc/' || CAST(doc_id AS VARCHAR) AS url,
-  substring(split_part(text, chr(10), 1), 1, 120) AS title, source,
-  TIMESTAMP '{AS_OF}' - doc_id * INTERVAL 10 MINUTE AS date, substring(text, 1, 200) AS body,
+  split_part(text, chr(10), 1) AS title, source,
+  TIMESTAMP '{AS_OF}' - doc_id * INTERVAL 10 MINUTE AS date, text AS body,
   text AS article_text, lang AS source_type FROM documents"""
 PHRASE = '"que de"'
 
@@ -147,22 +147,20 @@ FROM ({ART}) a LEFT JOIN (SELECT url, c, {S.main_region('c')} AS r FROM (
 def a3_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     arts = pages_articles(spark, sf_dir, materialize=True)
     kept = dedup_articles(arts)
-    rel = SEL.filter_relevant(kept, FLAGSHIP_QUERY)
-    html = read_table(spark, sf_dir, "pages").select(F.col("url"), F.col("html").alias("response_body"),
-                                                     F.lit(200).alias("status_code"))
-    filled = X.fill_article_text(rel, html)
-    tagged = (arts.select("source_type", F.lit("found").alias("stage"))
-              .unionByName(kept.select("source_type", F.lit("unique").alias("stage")))
-              .unionByName(rel.select("source_type", F.lit("relevant").alias("stage")))
-              .unionByName(filled.filter(F.col("article_text") != "").select("source_type", F.lit("with_text").alias("stage"))))
-    return tagged.groupBy("source_type").agg(
-        *[F.count_if(F.col("stage") == s).alias(f"n_{s}") for s in ("found", "unique", "relevant", "with_text")])
+    filled = X.fill_article_text(SEL.filter_relevant(kept, FLAGSHIP_QUERY), pages_snapshots(spark, sf_dir))
+    # one row per article with how far it came, one aggregate
+    far = kept.select("ord", F.lit(True).alias("u")).join(
+        filled.select("ord", F.lit(True).alias("r"), (F.col("article_text") != "").alias("t")), "ord", "left")
+    return arts.select("ord", "source_type").join(far, "ord", "left").groupBy("source_type").agg(
+        F.count(F.lit(1)).alias("n_found"), F.count_if("u").alias("n_unique"), F.count_if("r").alias("n_relevant"),
+        F.count_if("t").alias("n_with_text"))
 
 
 _REL = f"SELECT * FROM ({ART}) WHERE ord IN ({KEPT}) AND {_sql_terms_hits(SEL.query_terms(FLAGSHIP_QUERY))} >= 1"
 register("a3_run_counters", f"""
 WITH a AS ({ART}), k AS (SELECT * FROM a WHERE ord IN ({KEPT})), r AS ({_REL}),
-t AS (SELECT r.source_type FROM r JOIN (SELECT url, c, {S.main_region('c')} AS rr FROM (SELECT url, {S.strip_noise('html')} AS c FROM pages)) p
+t AS (SELECT r.source_type FROM r JOIN (SELECT url, c, {S.main_region('c')} AS rr FROM (
+        SELECT url, {S.strip_noise('arg_max(html, page_id)')} AS c FROM pages GROUP BY url)) p
       ON r.url = p.url WHERE {S.cascade('p.c', 'p.rr')} <> '')
 SELECT source_type, CAST(sum(f) AS BIGINT) AS n_found, CAST(sum(u) AS BIGINT) AS n_unique,
   CAST(sum(rl) AS BIGINT) AS n_relevant, CAST(sum(w) AS BIGINT) AS n_with_text FROM (
@@ -234,14 +232,27 @@ register("s16_output_stem", f"""SELECT ord, substring(replace(title, ' ', '_'),
   || CASE WHEN source_type = 'searxng' THEN '_w' ELSE '' END || '_3pages_20240320_143022' AS stem FROM ({ART})""")(s16_output_stem)
 
 
-# --- F4: IDN hosts (rows-only check: no punycode in the oracle engine) ---------------
+# --- F4: IDN hosts -----------------------------------------------------------------------
+
+# Hosts and what they stand for; the last two have a label that is no valid punycode.
+IDN_HOSTS = (
+    ("xn--e1afmkfd.xn--p1ai", "пример.рф"),
+    ("xn--80ak6aa92e.com", "аррӏе.com"),
+    ("www.xn--mnchen-3ya.de", "www.münchen.de"),
+    ("xn--bcher-kva.example", "bücher.example"),
+    ("plain.example.org", "plain.example.org"),
+    ("news.xn--j1amh", "news.укр"),
+    ("xn--a.example", "xn--a.example"),
+    ("a.xn--999999999.com", "a.xn--999999999.com"),
+)
+
 
 def f4_idn_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts whose first label is punycode-shaped, made from the page's host labels."""
-    a = pages_articles(spark, sf_dir)
-    host = F.concat(F.lit("https://xn--"), F.regexp_replace(F.split_part("source", F.lit("."), F.lit(1)), "[^a-z0-9]", ""),
-                    F.lit("-"), F.lit("9sb.xn--p1ai/"))
-    return decode_idn(a.select("ord", source_domain_raw(host).alias("source")), "source")
+    """One of the hosts per page, by its id."""
+    host = F.array(*[F.lit(h) for h, _ in IDN_HOSTS])[F.pmod(F.col("page_id"), F.lit(len(IDN_HOSTS))).cast("int")]
+    pages = read_table(spark, sf_dir, "pages").select("page_id", source_domain_raw(F.concat(F.lit("https://"), host, F.lit("/x"))).alias("source"))
+    return decode_idn(pages, "source")
 
 
-register("f4_idn_decode")(f4_idn_decode)
+register("f4_idn_decode", f"""SELECT page_id, h.shown AS source FROM pages JOIN (VALUES
+  {", ".join(f"({i}, {S.lit(shown)})" for i, (_, shown) in enumerate(IDN_HOSTS))}) h(k, shown) ON page_id % {len(IDN_HOSTS)} = h.k""")(f4_idn_decode)

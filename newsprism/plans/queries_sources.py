@@ -18,32 +18,30 @@ FETCHED = "2024-01-20 00:00:00"
 
 def s1_metasearch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     arts = M.ingest(M.pages_serp_archive(spark, sf_dir, max_pages=MAX_PAGES))
-    return arts.select("query", "engine", "page", "position", "overall_position", "url", "title", "source",
+    return arts.select("query", "engine", "run", "page", "position", "overall_position", "url", "title", "source",
                        iso_format("date").alias("date"), "body")
 
 
 _STAMP = f"(TIMESTAMP '{M.BASE_TS}' + page_id * INTERVAL 1 HOUR)"
 _CONTENT = (f"(CASE WHEN page_id % 2 = 0 THEN strftime({_STAMP}, '%-d %b %Y') || ' — ' || "
-            f"substring({S.first_paragraph('html')}, 1, 150) ELSE substring({S.first_paragraph('html')}, 1, 150) END)")
+            f"{S.first_paragraph('html')} ELSE {S.first_paragraph('html')} END)")
 _DATE = (f"(CASE WHEN page_id % 3 = 0 THEN {_STAMP} WHEN page_id % 3 = 1 THEN date_trunc('day', {_STAMP}) "
          f"ELSE TIMESTAMP '{FETCHED}' - (page_id % 48 + 1) * INTERVAL 1 HOUR END)")
 _RES = f"""SELECT * FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1) AS query,
-  CAST(floor(page_id / {M.ARCHIVE_PAGE_IDS}) + 1 AS INTEGER) AS page, page_id AS pid, url,
+  page_id // {M.CALL_PAGE_IDS} AS run, CAST(page_id % {M.CALL_PAGE_IDS} // {M.ARCHIVE_PAGE_IDS} + 1 AS INTEGER) AS page, page_id AS pid, url,
   {S.page_title('html')} AS title, {S.source_domain_raw('url')} AS source, {_DATE} AS d, {_CONTENT} AS content
   FROM pages) WHERE query <> ''"""
 S1_SQL = f"""WITH res AS ({_RES}),
-pg AS (SELECT query, page, count(*) AS n, contains(arg_min(url, pid), '{M.FAILED_MARK}') AS failed FROM res GROUP BY 1, 2),
-fr AS (SELECT query, unnest(range(1, {MAX_PAGES + 1})) AS page FROM (SELECT DISTINCT query FROM res)),
-st AS (SELECT fr.query, fr.page, coalesce(pg.n, 0) AS n, coalesce(pg.failed, false) AS bad
-       FROM fr LEFT JOIN pg ON fr.query = pg.query AND fr.page = pg.page),
-sp AS (SELECT query, min(page) FILTER (WHERE NOT bad AND n = 0) AS stop FROM st GROUP BY query),
-vd AS (SELECT st.query, bool_or(bad AND (sp.stop IS NULL OR st.page < sp.stop)) AS void
-       FROM st JOIN sp ON st.query = sp.query GROUP BY st.query)
-SELECT r.query, 'searxng' AS engine, r.page,
-  CAST(row_number() OVER (PARTITION BY r.query, r.page ORDER BY r.pid) AS INTEGER) AS position,
-  CAST(row_number() OVER (PARTITION BY r.query ORDER BY r.page, r.pid) AS INTEGER) AS overall_position,
+pg AS (SELECT query, run, page, count(*) AS n, contains(arg_min(url, pid), '{M.FAILED_MARK}') AS failed FROM res GROUP BY 1, 2, 3),
+fr AS (SELECT query, run, unnest(range(1, {MAX_PAGES + 1})) AS page FROM (SELECT DISTINCT query, run FROM res)),
+st AS (SELECT query, run, page, coalesce(n, 0) AS n, coalesce(failed, false) AS bad FROM fr LEFT JOIN pg USING (query, run, page)),
+sp AS (SELECT query, run, min(page) FILTER (WHERE NOT bad AND n = 0) AS stop FROM st GROUP BY query, run),
+vd AS (SELECT query, run, bool_or(bad AND (sp.stop IS NULL OR st.page < sp.stop)) AS void FROM st JOIN sp USING (query, run) GROUP BY query, run)
+SELECT r.query, 'searxng' AS engine, r.run, r.page,
+  CAST(row_number() OVER (PARTITION BY r.query, r.run, r.page ORDER BY r.pid) AS INTEGER) AS position,
+  CAST(row_number() OVER (PARTITION BY r.query, r.run ORDER BY r.page, r.pid) AS INTEGER) AS overall_position,
   r.url, r.title, r.source, {S.iso_format('r.d')} AS date, {S.clean_snippet('r.content')} AS body
-FROM res r JOIN sp ON r.query = sp.query JOIN vd ON r.query = vd.query
+FROM res r JOIN sp USING (query, run) JOIN vd USING (query, run)
 WHERE NOT vd.void AND (sp.stop IS NULL OR r.page < sp.stop)"""
 register("s1_metasearch_ingest", S1_SQL)(s1_metasearch_ingest)
 
@@ -90,17 +88,17 @@ FROM ({_FR})""")(j5_f18_search_urls)
 def f19_f20_query_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     arch = M.pages_serp_archive(spark, sf_dir, max_pages=MAX_PAGES)
     site = pages_articles(spark, sf_dir).select("ord", U.site_query(F.lit("новости"), F.col("source")).alias("q"))
-    a = arch.select(F.concat_ws("|", "query", F.col("page").cast("string")).alias("k"), F.col("request_url").alias("v"))
+    a = arch.select(F.concat_ws("|", "query", F.col("run").cast("string"), F.col("page").cast("string")).alias("k"), F.col("request_url").alias("v"))
     b = site.select(F.col("ord").cast("string").alias("k"), U.metasearch_url(
         F.lit("http://localhost:8080/"), F.col("q"), F.lit("ru"), F.lit(1)).alias("v"))
     return a.unionByName(b)
 
 
 register("f19_f20_query_urls", f"""
-SELECT query || '|' || CAST(page AS VARCHAR) AS k,
+SELECT query || '|' || CAST(run AS VARCHAR) || '|' || CAST(page AS VARCHAR) AS k,
   'http://localhost:8080/search?q=' || {S.quote_plus('query')} || '&format=json&categories=news&language=en&pageno=' || CAST(page AS VARCHAR) AS v
-FROM (SELECT query, unnest(range(1, {MAX_PAGES + 1})) AS page FROM (
-  SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1) AS query FROM pages) WHERE query <> '')
+FROM (SELECT query, run, unnest(range(1, {MAX_PAGES + 1})) AS page FROM (
+  SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1) AS query, page_id // {M.CALL_PAGE_IDS} AS run FROM pages) WHERE query <> '')
 UNION ALL
 SELECT CAST(ord AS VARCHAR) AS k, 'http://localhost:8080/search?q=' || {S.quote_plus("'новости site:' || source")}
   || '&format=json&categories=news&language=ru&pageno=1' AS v FROM ({S.pages_articles_sql()})""")(f19_f20_query_urls)
@@ -112,7 +110,7 @@ from newsprism.sources import captures as CP  # noqa: E402
 
 _CAP_SHAPE = "(page_id % 4)"
 _CAP_SEL = f"""SELECT * FROM (SELECT page_id AS rid, page_id, url, {S.page_title('html')} AS title,
-  substring({S.first_paragraph('html')}, 1, 120) AS para,
+  {S.first_paragraph('html')} AS para,
   CASE WHEN page_id % 4 = 0 THEN 'https://www.google.com/complete/search?q=' || regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1)
        WHEN page_id % 4 = 1 THEN 'https://news.example.com/API/v2/items?page=' || CAST(page_id AS VARCHAR)
        WHEN page_id % 4 = 2 THEN 'https://www.example.com/_next/data/' || CAST(page_id AS VARCHAR) || '.json'
@@ -156,44 +154,43 @@ from newsprism.sources import serp_html as SH  # noqa: E402
 
 
 def s4_s8_html_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # rendered once (reliable checkpoint in the shared checkpoint dir), read by four rule sets
-    arch = SH.pages_html_archive(spark, sf_dir, max_pages=MAX_PAGES).checkpoint(eager=True)
-    parts = [SH.to_articles(arch, SH.RULE_SETS[e]) for e in SH.ENGINES]
+    # parsed once, all engines in one pass; the narrow blocks are read by four rule sets
+    parsed = SH.parse_pages(SH.pages_html_archive(spark, sf_dir, max_pages=MAX_PAGES)).checkpoint(eager=True)
+    parts = [SH.block_articles(parsed, SH.RULE_SETS[e]) for e in SH.ENGINES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("query", "source_type", "page", "position", "overall_position", "url", "title", "source",
+    return out.select("query", "source_type", "run", "page", "position", "overall_position", "url", "title", "source",
                       iso_format("date").alias("date"), "body")
 
 
 _HRES = f"""SELECT * FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1) AS query,
-  CAST(floor(page_id / {SH.PAGE_IDS}) + 1 AS INTEGER) AS page, page_id AS pid, url,
+  page_id // {SH.CALL_PAGE_IDS} AS run, CAST(page_id % {SH.CALL_PAGE_IDS} // {SH.PAGE_IDS} + 1 AS INTEGER) AS page, page_id AS pid, url,
   {S.page_title('html')} AS title, {S.source_domain_raw('url')} AS source, {_DATE} AS d, {_CONTENT} AS content,
   TIMESTAMP '{FETCHED}' + page_id * INTERVAL 0 HOUR AS fetched
   FROM pages) WHERE query <> ''"""
 _SYS = " OR ".join(f"contains(lower(title), {S.lit(m)})" for m in SH.SYSTEM_MESSAGES)
 _HROWS = f"""SELECT r.*, e.engine,
-  row_number() OVER (PARTITION BY e.engine, r.query, r.page ORDER BY r.pid) AS rk,
+  row_number() OVER (PARTITION BY e.engine, r.query, r.run, r.page ORDER BY r.pid) AS rk,
   CASE WHEN e.engine = 'seleniumbase_cdp' THEN starts_with(r.url, 'http') AND r.title <> ''
        WHEN e.engine = 'google_search' THEN length(r.title) >= {SH.MIN_TITLE_LENGTH} AND NOT ({_SYS})
        ELSE length(r.title) >= {SH.MIN_TITLE_LENGTH} END AS keep
   FROM ({_HRES}) r JOIN (SELECT unnest([{', '.join(S.lit(e) for e in SH.ENGINES)}]) AS engine) e ON true"""
-_HPG = f"""SELECT engine, query, page, count(*) FILTER (WHERE keep) AS n,
-  engine <> 'seleniumbase_cdp' AND contains(arg_min(url, pid), '{SH.BLOCK_MARK}') AS blk FROM ({_HROWS}) GROUP BY 1, 2, 3"""
-_HFR = f"""SELECT engine, query, unnest(range(1, {MAX_PAGES + 1})) AS page FROM
-  (SELECT DISTINCT query FROM ({_HRES})) q JOIN (SELECT unnest([{', '.join(S.lit(e) for e in SH.ENGINES)}]) AS engine) e ON true"""
+_HPG = f"""SELECT engine, query, run, page, count(*) FILTER (WHERE keep) AS n,
+  engine <> 'seleniumbase_cdp' AND contains(arg_min(url, pid), '{SH.BLOCK_MARK}') AS blk FROM ({_HROWS}) GROUP BY 1, 2, 3, 4"""
+_HFR = f"""SELECT engine, query, run, unnest(range(1, {MAX_PAGES + 1})) AS page FROM
+  (SELECT DISTINCT query, run FROM ({_HRES})) q JOIN (SELECT unnest([{', '.join(S.lit(e) for e in SH.ENGINES)}]) AS engine) e ON true"""
 HTML_SQL = f"""
-WITH st AS (SELECT f.engine, f.query, f.page, coalesce(p.n, 0) AS n, coalesce(p.blk, false) AS blk
-            FROM ({_HFR}) f LEFT JOIN ({_HPG}) p ON f.engine = p.engine AND f.query = p.query AND f.page = p.page),
-sp AS (SELECT engine, query, min(page) FILTER (WHERE NOT blk AND n = 0) AS stop FROM st GROUP BY 1, 2),
-vd AS (SELECT st.engine, st.query, bool_or(blk AND (sp.stop IS NULL OR st.page < sp.stop)) AS void
-       FROM st JOIN sp ON st.engine = sp.engine AND st.query = sp.query GROUP BY 1, 2),
-k AS (SELECT h.* FROM ({_HROWS}) h JOIN sp ON h.engine = sp.engine AND h.query = sp.query
-      JOIN vd ON h.engine = vd.engine AND h.query = vd.query
+WITH st AS (SELECT engine, query, run, page, coalesce(p.n, 0) AS n, coalesce(p.blk, false) AS blk
+            FROM ({_HFR}) f LEFT JOIN ({_HPG}) p USING (engine, query, run, page)),
+sp AS (SELECT engine, query, run, min(page) FILTER (WHERE NOT blk AND n = 0) AS stop FROM st GROUP BY 1, 2, 3),
+vd AS (SELECT engine, query, run, bool_or(blk AND (sp.stop IS NULL OR st.page < sp.stop)) AS void
+       FROM st JOIN sp USING (engine, query, run) GROUP BY 1, 2, 3),
+k AS (SELECT h.* FROM ({_HROWS}) h JOIN sp USING (engine, query, run) JOIN vd USING (engine, query, run)
       WHERE h.keep AND NOT vd.void AND (sp.stop IS NULL OR h.page < sp.stop))
-SELECT query, engine AS source_type, page,
+SELECT query, engine AS source_type, run, page,
   CAST(CASE WHEN engine = 'google_search' THEN rk + 1 ELSE rk END AS INTEGER) AS position,
-  CAST(CASE WHEN engine = 'seleniumbase_cdp' THEN 0 ELSE row_number() OVER (PARTITION BY engine, query ORDER BY page, rk) END AS INTEGER) AS overall_position,
+  CAST(CASE WHEN engine = 'seleniumbase_cdp' THEN 0 ELSE row_number() OVER (PARTITION BY engine, query, run ORDER BY page, rk) END AS INTEGER) AS overall_position,
   url, title, source,
   {S.iso_format("CASE WHEN engine = 'seleniumbase_cdp' THEN TIMESTAMP '" + FETCHED + "' WHEN engine = 'google_news' THEN TIMESTAMP '" + M.BASE_TS + "' + pid * INTERVAL 1 HOUR ELSE d END")} AS date,
   CASE WHEN engine = 'seleniumbase_cdp' THEN {S.ustrip('content')} ELSE {S.clean_snippet('content')} END AS body
@@ -203,6 +200,7 @@ register("s4_s8_html_results", HTML_SQL)(s4_s8_html_results)
 
 # --- U1 + E4: merged sources through the whole run ----------------------------------------
 
+from newsprism.operators import expand as EX  # noqa: E402
 from newsprism.plans import pipeline as PL  # noqa: E402
 from newsprism.sources.snapshots import pages_snapshots  # noqa: E402
 
@@ -212,7 +210,7 @@ E4_QUERY = "en"
 def e4_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = {"json": M.pages_serp_archive(spark, sf_dir, max_pages=MAX_PAGES),
                 "html": SH.pages_html_archive(spark, sf_dir, max_pages=MAX_PAGES,
-                                              engines=["google_search", "google_news", "yandex"]).checkpoint(eager=True),
+                                              engines=["google_search", "google_news", "yandex"]),
                 "snapshots": pages_snapshots(spark, sf_dir)}
     out = PL.collect_articles(archives, PL.RunConfig(query=E4_QUERY))
     return out.select("ord", "url", "title", "source_type", F.length("article_text").alias("text_chars"))
@@ -220,9 +218,9 @@ def e4_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _E4_ROWS = f"""SELECT url, title, body, source_type,
   CAST(CASE source_type WHEN 'searxng' THEN 0 WHEN 'google_search' THEN 1 WHEN 'google_news' THEN 2 ELSE 3 END AS BIGINT)
-    * 4294967296 + overall_position AS ord
-FROM (SELECT query, 'searxng' AS source_type, url, title, body, overall_position FROM ({S1_SQL})
-      UNION ALL SELECT query, source_type, url, title, body, overall_position FROM ({HTML_SQL})
+    * 4294967296 + run * {EX.CALL_SPAN} + overall_position AS ord
+FROM (SELECT query, 'searxng' AS source_type, run, url, title, body, overall_position FROM ({S1_SQL})
+      UNION ALL SELECT query, source_type, run, url, title, body, overall_position FROM ({HTML_SQL})
       WHERE source_type IN ('google_search', 'google_news', 'yandex'))
 WHERE query = '{E4_QUERY}'"""
 _E4_KEYS = f"SELECT ord, {S.title_key('title')} AS tkey, {S.url_key('url')} AS ukey FROM ({_E4_ROWS})"

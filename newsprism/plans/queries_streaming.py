@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsprism.plans.catalog import register
 from newsprism.plans.queries_state import EV_SNAP
@@ -12,10 +13,14 @@ from newsprism.streaming import jobs as J
 
 def st1_fresh_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = J.run_to_table(J.fresh_arrivals(J.events_snapshot_stream(spark, sf_dir)), spark, "fresh")
-    return out.select("url")
+    return out.select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"))
 
 
-register("st1_fresh_arrivals", f"SELECT DISTINCT url FROM ({EV_SNAP})")(st1_fresh_arrivals)
+register("st1_fresh_arrivals", f"""
+WITH RECURSIVE ev AS MATERIALIZED (SELECT url, fetched_at FROM ({EV_SNAP})),
+r(url, t) AS (SELECT url, min(fetched_at) FROM ev GROUP BY url
+  UNION ALL SELECT r.url, min(ev.fetched_at) FROM r JOIN ev ON ev.url = r.url AND ev.fetched_at > r.t + INTERVAL 24 HOUR GROUP BY r.url, r.t)
+SELECT url, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS fetched_at FROM r""")(st1_fresh_arrivals)
 
 
 def st2_failure_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,13 +199,13 @@ def first_paragraph(html: str) -> str:
 
 
 def pages_articles_sql(as_of: str = "2024-02-01 00:00:00", with_html: bool = False) -> str:
-    body = clean_snippet(f"substring({first_paragraph('html')}, 1, {A.SNIPPET_CHARS})")
+    body = clean_snippet(first_paragraph('html'))
     rank = "(CASE WHEN starts_with(url, 'https:') THEN 0 ELSE 1 END)"
     return f"""SELECT url, {page_title('html')} AS title, {source_domain_raw('url')} AS source,
   TIMESTAMP '{as_of}' AS date, {body} AS body,
-  CAST(floor(page_id / {A.RESULTS_PER_PAGE}) + 1 AS INTEGER) AS page,
+  CAST(page_id // {A.RESULTS_PER_PAGE} + 1 AS BIGINT) AS page,
   CAST(page_id % {A.RESULTS_PER_PAGE} + 1 AS INTEGER) AS position,
-  CAST(page_id + 1 AS INTEGER) AS overall_position, '' AS article_text,
+  CAST(page_id + 1 AS BIGINT) AS overall_position, '' AS article_text,
   CASE WHEN starts_with(url, 'https:') THEN 'searxng' ELSE 'google_search' END AS source_type,
   CAST({rank} * 4294967296 + page_id AS BIGINT) AS ord{', html' if with_html else ''}
 FROM pages"""

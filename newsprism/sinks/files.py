@@ -30,8 +30,7 @@ def _ordered(df: DataFrame, order: str, single_file: bool) -> DataFrame:
         return df.coalesce(1) if single_file else df
     if single_file:
         return df.coalesce(1).sortWithinPartitions(order)
-    n = max(1, df.rdd.getNumPartitions())
-    return df.repartitionByRange(n, order).sortWithinPartitions(order)
+    return df.repartitionByRange(order).sortWithinPartitions(order)
 
 
 def _rows(df: DataFrame) -> DataFrame:
@@ -71,10 +70,40 @@ def write_markdown(df: DataFrame, path: str, max_chars: int | None = None, singl
     return path
 
 
+def _in_order(row: Column, order: str, separator: str) -> Column:
+    """All rows' texts in list order, as one text."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), row.alias("row"))))
+    return F.array_join(F.transform(rows, lambda r: r["row"]), separator)
+
+
 def markdown_document(df: DataFrame, max_chars: int | None = None, order: str = "ord") -> Column:
     """The whole result as one markdown string (small results only): ordered listagg."""
-    return F.coalesce(F.listagg(markdown_section(max_chars=max_chars), F.lit(SECTION_SEPARATOR))
-                      .withinGroup(F.col(order)), F.lit(""))
+    return _in_order(markdown_section(max_chars=max_chars), order, SECTION_SEPARATOR)
+
+
+def json_document(df: DataFrame, order: str = "ord") -> Column:
+    """The whole result as one JSON array (small results only), in list order."""
+    row = F.to_json(F.struct(*[F.col(c) for c in COLUMNS]), {"ignoreNullFields": "false"})
+    return F.concat(F.lit("[\n"), _in_order(row, order, ",\n"), F.lit("\n]\n"))
+
+
+def csv_document(df: DataFrame, order: str = "ord") -> Column:
+    """The whole result as one CSV text (small results only): byte order mark, header, CRLF rows."""
+    row = F.concat(F.to_csv(F.struct(*[F.col(c) for c in COLUMNS]), {"escape": '"', "emptyValue": "", "nullValue": ""}), F.lit("\r\n"))
+    return F.concat(F.lit("\ufeff" + ",".join(COLUMNS) + "\r\n"), _in_order(row, order, ""))
+
+
+def write_document(df: DataFrame, path: str, fmt: str, max_chars: int | None = None, order: str = "ord") -> str:
+    """One document of a small result: CSV with a byte order mark, a JSON array or markdown."""
+    if fmt not in EXTENSIONS:
+        raise ValueError(f"unknown output format {fmt!r}; known: {sorted(EXTENSIONS)}")
+    if fmt == "markdown":
+        text = markdown_document(df, max_chars, order)
+    else:
+        text = {"csv": csv_document, "json": json_document}[fmt](_rows(df), order)
+        df = _rows(df)
+    df.agg(text.alias("value")).coalesce(1).write.mode("errorifexists").option("lineSep", "\n").text(path)
+    return path
 
 
 WRITERS: dict[str, Writer] = {"csv": write_csv, "json": write_json, "markdown": write_markdown}
@@ -95,19 +124,22 @@ def output_stem_col(query: Column, max_pages: Column, time_period: Column, at: C
                     max_pages.cast("string"), F.lit("pages_"), F.date_format(at, "yyyyMMdd_HHmmss"))
 
 
-def write_all(df: DataFrame, out_dir: str, stem: str, formats: list[str], max_chars: int | None = None) -> list[str]:
-    """Persist once, then one writer per requested format."""
+def write_all(df: DataFrame, out_dir: str, stem: str, formats: list[str], max_chars: int | None = None,
+              more: dict[str, Writer] | None = None) -> list[str]:
+    """Persist once, then one writer per requested format; an unknown format is an error."""
+    writers = WRITERS | (more or {})
+    unknown = [f for f in formats if f not in writers]
+    if unknown:
+        raise ValueError(f"unknown output formats {unknown}; known: {sorted(writers)}")
     df = df.persist()
     paths = []
     try:
         for fmt in formats:
-            if fmt not in WRITERS:
-                continue
-            path = f"{out_dir.rstrip('/')}/{stem}{EXTENSIONS[fmt]}"
-            if fmt == "markdown":
+            path = f"{out_dir.rstrip('/')}/{stem}{EXTENSIONS.get(fmt, '.' + fmt)}"
+            if fmt == "markdown" and writers[fmt] is write_markdown:
                 paths.append(write_markdown(df, path, max_chars=max_chars))
             else:
-                paths.append(WRITERS[fmt](df, path))
+                paths.append(writers[fmt](df, path))
     finally:
         df.unpersist()
     return paths

@@ -132,7 +132,7 @@ def pages_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = F.col("page_id")
     shape = F.pmod(pid, F.lit(4))
     title = page_title(F.col("html"))
-    para = F.substring(first_paragraph(F.col("html")), 1, 120)
+    para = first_paragraph(F.col("html"))
     url = F.col("url")
     flat = F.to_json(F.struct(url.alias("url"), title.alias("title"), para.alias("snippet")))
     item = "struct<link:string,name:string,description:string,href:string,title:string>"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newsprism.functions.urls import outlet_domain
 from newsprism.operators.expand import exact_quantile
+from newsprism.session import path_exists
 
 # Header names recognised, as in the reference.
 RU_VISIBILITY = ("заметность",)
@@ -21,29 +22,17 @@ EN_SOURCE = ("source", "url")
 
 
 def resolve_outlet_columns(columns: list[str]) -> tuple[str, str] | None:
-    """(source column, visibility column) by Russian names, then English, then position."""
-    vis = src = None
-    for c in columns:  # Russian: a later match overwrites an earlier one
-        low = str(c).lower().strip()
-        if low in RU_VISIBILITY:
-            vis = c
-        elif low in RU_SOURCE:
-            src = c
-    if vis is None or src is None:
-        for c in columns:  # English: the first match is kept
-            low = str(c).lower().strip()
-            if low == EN_VISIBILITY and vis is None:
-                vis = c
-            elif low in EN_SOURCE and src is None:
-                src = c
-    if vis is None or src is None:
-        if len(columns) >= 3:
-            src, vis = src or columns[0], vis or columns[2]
-        elif len(columns) >= 2:
-            src, vis = src or columns[0], vis or columns[1]
-        else:
-            return None
-    return src, vis
+    """(source column, visibility column).  Each one by rank of rule: the last column with a Russian
+    name, else the first with an English one, else its usual place; None if there are too few."""
+    names = [(str(c).lower().strip(), c) for c in columns]
+
+    def pick(russian: tuple[str, ...], english: tuple[str, ...], place: int) -> str | None:
+        by_rule = [[c for n, c in reversed(names) if n in russian], [c for n, c in names if n in english], columns[place:place + 1]]
+        return next((found[0] for found in by_rule if found), None)
+
+    src = pick(RU_SOURCE, EN_SOURCE, 0)
+    vis = pick(RU_VISIBILITY, (EN_VISIBILITY,), 2 if len(columns) > 2 else 1)
+    return (src, vis) if src is not None and vis is not None else None
 
 
 def standardize(df: DataFrame) -> DataFrame:
@@ -60,11 +49,9 @@ def standardize(df: DataFrame) -> DataFrame:
 
 def read_outlets(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header row, all columns read as strings; a missing path gives no rows."""
-    try:
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    except Exception:  # noqa: BLE001 -- missing file: the reference returns an empty list
+    if not path_exists(spark, path):  # as the reference: a missing file is an empty list
         return spark.createDataFrame([], "source string, visibility double")
-    return standardize(raw)
+    return standardize(spark.read.option("header", True).option("inferSchema", False).csv(path))
 
 
 def first_quartile(outlets: DataFrame):

@@ -25,6 +25,7 @@ from newsprism.functions.dates import parse_date
 from newsprism.functions.text import clean_snippet
 from newsprism.functions.urls import source_domain_raw
 from newsprism.plans.articles import first_paragraph, page_title
+from newsprism.sources.metasearch import search_columns
 from newsprism.sources.tables import read_table
 
 
@@ -128,35 +129,32 @@ def system_message(title: Column) -> Column:
 # --- the per-row Python part ---------------------------------------------------------
 
 CAND = "array<struct<cand:int,field:string,text:string,attr:string>>"
-BLOCK_SCHEMA = f"pkey string, nblocks int, captcha boolean, block int, cands {CAND}"
-
-
-def _blocks_fn(rules: RuleSet):
-    def run(it):
-        from newsprism.functions import dom
-        for pdf in it:
-            out = []
-            for pkey, html in zip(pdf["pkey"], pdf["html"]):
-                root = dom.parse(html)
-                captcha = any(dom.select_one(root, s) is not None for s in YANDEX_CAPTCHA_SELECTORS)
-                blocks = []
-                for sel in rules.results:
-                    blocks = dom.select(root, sel)
-                    if blocks:
-                        break
-                if not blocks:
-                    out.append((pkey, 0, captcha, -1, []))
-                for i, b in enumerate(blocks):
-                    cands = []
-                    for fr in rules.fields:
-                        for k, sel in enumerate(fr.selectors):
-                            el = dom.select_one(b, sel)
-                            if el is not None:
-                                attr = el.attrs.get(fr.attr, "") if fr.attr else ""
-                                cands.append({"cand": k, "field": fr.name, "text": el.text().strip(), "attr": attr})
-                    out.append((pkey, len(blocks), captcha, i, cands))
-            yield pd.DataFrame(out, columns=["pkey", "nblocks", "captcha", "block", "cands"])
-    return run
+
+
+def _parse_blocks(it):
+    """Pages in, one row per result block out (one row with block -1 for a page without); the
+    rule set is picked by the page's engine."""
+    from newsprism.functions import dom
+    for pdf in it:
+        out = []
+        keys = [c for c in pdf.columns if c not in ("html", "engine")]
+        for engine, html, *rest in zip(pdf["engine"], pdf["html"], *[pdf[c] for c in keys]):
+            rules = RULE_SETS[engine]
+            root = dom.parse(html)
+            captcha = rules is YANDEX and any(dom.select_one(root, s) is not None for s in YANDEX_CAPTCHA_SELECTORS)
+            blocks = next((found for found in (dom.select(root, sel) for sel in rules.results) if found), [])
+            if not blocks:
+                out.append((engine, *rest, captcha, -1, []))
+            for i, b in enumerate(blocks):
+                cands = []
+                for fr in rules.fields:
+                    for k, sel in enumerate(fr.selectors):
+                        el = dom.select_one(b, sel)
+                        if el is not None:
+                            attr = el.attrs.get(fr.attr, "") if fr.attr else ""
+                            cands.append({"cand": k, "field": fr.name, "text": el.text().strip(), "attr": attr})
+                out.append((engine, *rest, captcha, i, cands))
+        yield pd.DataFrame(out, columns=["engine", *keys, "captcha", "block", "cands"])
 
 
 def _pick(rule: FieldRule) -> Column:
@@ -174,25 +172,34 @@ def _pick(rule: FieldRule) -> Column:
     return first["attr"] if rule.attr else first["text"]
 
 
-def parse_pages(archive: DataFrame, rules: RuleSet) -> DataFrame:
-    """One row per result block with the picked fields (null = no element).
+def parse_pages(archive: DataFrame, search: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per result block with its candidate fields, all engines in one pass.
 
-    Block-page phrases are tested natively on the html before it goes to Python;
-    the wide html column is not carried past the parse.
+    Block-page phrases are tested natively on the html before it goes to Python; the wide html
+    column is not carried past the parse, and nothing is joined back.
     """
-    pages = archive.withColumn("pkey", F.concat_ws("|", "engine", "query", F.col("page").cast("string")))
-    info = pages.select("pkey", "query", "engine", "page", "fetched_at",
-                        web_blocked(F.col("html"), F.col("final_url")).alias("_web_blk"),
-                        _any_phrase(F.col("html"), YANDEX_PHRASES).alias("_ya_phrase"))
-    blocks = pages.select("pkey", "html").mapInPandas(_blocks_fn(rules), BLOCK_SCHEMA)
-    picked = blocks.select("pkey", "nblocks", "captcha", "block",
-                           *[_pick(fr).alias(f"f_{fr.name}") for fr in rules.fields])
-    return info.join(picked, "pkey")
+    search = search or search_columns(archive)
+    pages = archive.select("engine", *[c for c in search if c != "engine"], F.col("page").cast("int").alias("page"), "fetched_at",
+                           web_blocked(F.col("html"), F.col("final_url")).alias("_web_blk"),
+                           _any_phrase(F.col("html"), YANDEX_PHRASES).alias("_ya_phrase"), "html")
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "html"]
+    return pages.mapInPandas(_parse_blocks, ", ".join([*kept, "captcha boolean", "block int", f"cands {CAND}"]))
 
 
-def to_articles(archive: DataFrame, rules: RuleSet, as_of: Column | None = None) -> DataFrame:
+def to_articles(archive: DataFrame, rules: RuleSet, as_of: Column | None = None,
+                search: tuple[str, ...] | None = None) -> DataFrame:
     """S5-S8 + W1-W4 for one engine's archive."""
-    b = parse_pages(archive.filter(F.col("engine") == rules.engine), rules)
+    search = search or search_columns(archive)
+    return block_articles(parse_pages(archive.filter(F.col("engine") == rules.engine), search), rules, as_of, search)
+
+
+def block_articles(parsed: DataFrame, rules: RuleSet, as_of: Column | None = None,
+                   search: tuple[str, ...] | None = None) -> DataFrame:
+    """S5-S8 + W1-W4 on parsed blocks (see ``parse_pages``) of one engine."""
+    search = search or search_columns(parsed)
+    b = parsed.filter(F.col("engine") == rules.engine)
+    b = b.select(*search, "page", "fetched_at", "_web_blk", "_ya_phrase", "captcha", "block",
+                 *[_pick(fr).alias(f"f_{fr.name}") for fr in rules.fields])
     ts = as_of if as_of is not None else F.col("fetched_at")
     href = F.col("f_link")
     title = F.coalesce(F.col("f_title"), F.lit(""))
@@ -216,24 +223,22 @@ def to_articles(archive: DataFrame, rules: RuleSet, as_of: Column | None = None)
                   if has_src else source_domain_raw(href))
     blocked = (F.col("captcha") | F.col("_ya_phrase") if rules is YANDEX
                else F.col("_web_blk") if rules in (WEB, NEWS) else F.lit(False))
-    rows = b.select("query", "engine", "page", "block", blocked.alias("_blocked"),
-                    (keep & (F.col("block") >= 0)).alias("_keep"),
+    rows = b.select(*search, "page", blocked.alias("_blocked"),
+                    F.coalesce(keep & (F.col("block") >= 0), F.lit(False)).alias("_keep"),
                     href.alias("url"), title.alias("title"), source.alias("source"), date.alias("date"),
                     body.alias("body"), (F.col("block") + 1).cast("int").alias("position"),
                     ((F.coalesce(F.col("f_source"), F.lit("")) == "") if has_src else F.lit(True)).alias("source_from_url"))
-    w = Window.partitionBy("query", "engine")
-    per_page = rows.groupBy("query", "engine", "page").agg(
-        F.max(F.col("_blocked").cast("int")).alias("_blk"), F.sum(F.col("_keep").cast("int")).alias("_n"))
-    stop = F.min(F.when((F.col("_blk") == 0) & (F.col("_n") == 0), F.col("page"))).over(w)
-    per_page = per_page.withColumn("_stop", stop)
+    # One shuffle by search call (at most max_pages pages); all windows below share it.
+    w = Window.partitionBy(*search)
+    per_page = Window.partitionBy(*search, "page")
+    rows = rows.withColumns({"_blk": F.max(F.col("_blocked").cast("int")).over(per_page),
+                             "_n": F.sum(F.col("_keep").cast("int")).over(per_page)})
+    rows = rows.withColumn("_stop", F.min(F.when((F.col("_blk") == 0) & (F.col("_n") == 0), F.col("page"))).over(w))
     reached = F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))
-    per_page = per_page.withColumn("_void", F.max(((F.col("_blk") == 1) & reached).cast("int")).over(w))
-    ok_pages = per_page.filter(reached & (F.col("_void") == 0)).select("query", "engine", "page")
-    kept = rows.filter("_keep").join(ok_pages, ["query", "engine", "page"], "left_semi")
-    wo = Window.partitionBy("query", "engine").orderBy("page", "position")
-    overall = F.row_number().over(wo) if rules is not MINIMAL else F.lit(0)
-    return kept.select("query", "engine", "url", "title", "source", "date", "body",
-                       F.col("page").cast("int").alias("page"), "position",
+    rows = rows.withColumn("_void", F.max(((F.col("_blk") == 1) & reached).cast("int")).over(w))
+    kept = rows.filter(reached & (F.col("_void") == 0) & F.col("_keep"))
+    overall = F.row_number().over(w.orderBy("page", "position")) if rules is not MINIMAL else F.lit(0)
+    return kept.select(*search, "url", "title", "source", "date", "body", "page", "position",
                        overall.cast("int").alias("overall_position"), F.lit("").alias("article_text"),
                        F.lit(rules.engine).alias("source_type"), "source_from_url")
 
@@ -243,6 +248,7 @@ def to_articles(archive: DataFrame, rules: RuleSet, as_of: Column | None = None)
 ENGINES = ["google_search", "google_news", "yandex", "seleniumbase_cdp"]
 BLOCK_MARK = "spam-farm"
 PAGE_IDS = 40
+CALL_PAGE_IDS = 400
 BASE_TS = "2024-01-01 00:00:00"
 FETCHED_TS = "2024-01-20 00:00:00"
 GOOGLE_BLOCK_PAGE = ("<html><body><p>Our systems have detected unusual traffic from your computer network."
@@ -264,12 +270,13 @@ def result_fields(pages: DataFrame) -> DataFrame:
     date_text = (F.when(F.pmod(pid, F.lit(3)) == 0, F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
                  .when(F.pmod(pid, F.lit(3)) == 1, F.date_format(stamp, "MMM d, yyyy"))
                  .otherwise(F.concat((F.pmod(pid, F.lit(48)) + 1).cast("string"), F.lit(" hours ago"))))
-    para = F.substring(first_paragraph(F.col("html")), 1, 150)
+    para = first_paragraph(F.col("html"))
     snippet = F.when(F.pmod(pid, F.lit(2)) == 0,
                      F.concat(F.date_format(stamp, "d MMM yyyy"), F.lit(" — "), para)).otherwise(para)
     return pages.select(
         F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("query"),
-        (F.floor(pid / PAGE_IDS) + 1).cast("int").alias("page"), pid.alias("pid"),
+        F.expr(f"page_id div {CALL_PAGE_IDS}").alias("run"),
+        F.expr(f"page_id % {CALL_PAGE_IDS} div {PAGE_IDS} + 1").cast("int").alias("page"), pid.alias("pid"),
         _esc(F.col("url")).alias("u"), _esc(page_title(F.col("html"))).alias("t"), _esc(snippet).alias("s"),
         _esc(date_text).alias("d"), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"),
         source_domain_raw(F.col("url")).alias("h"), F.contains(F.col("url"), F.lit(BLOCK_MARK)).alias("mark"))
@@ -297,8 +304,8 @@ def _fragment(engine: str) -> Column:
 
 def pages_html_archive(spark: SparkSession, sf_dir: str, max_pages: int = 10,
                        engines: list[str] | None = None) -> DataFrame:
-    """Result pages of four engines rendered from ``pages`` (query = language segment,
-    result page = 40 page ids).  A page whose first result is a ``spam-farm`` url was
+    """Result pages of four engines rendered from ``pages`` (query = language segment, a search
+    call = that query in a run of 400 page ids, result page = 40 page ids).  A page whose first result is a ``spam-farm`` url was
     archived as a block page (web, news, Yandex); frontier pages without rows as empty."""
     engines = engines or ENGINES
     res = result_fields(read_table(spark, sf_dir, "pages")).filter(F.col("query") != "")
@@ -306,7 +313,7 @@ def pages_html_archive(spark: SparkSession, sf_dir: str, max_pages: int = 10,
     frag = F.when(F.col("engine") == engines[0], _fragment(engines[0]))
     for e in engines[1:]:
         frag = frag.when(F.col("engine") == e, _fragment(e))
-    grouped = (rows.withColumn("frag", frag).groupBy("engine", "query", "page")
+    grouped = (rows.withColumn("frag", frag).groupBy("engine", "query", "run", "page")
                .agg(F.array_sort(F.collect_list(F.struct("pid", "frag", "mark"))).alias("fs")))
     inner = F.array_join(F.transform("fs", lambda x: x["frag"]), "")
     first_marked = F.col("fs")[0]["mark"]
@@ -316,12 +323,12 @@ def pages_html_archive(spark: SparkSession, sf_dir: str, max_pages: int = 10,
             .when(first_marked & (F.col("engine") == "yandex"), F.lit(YANDEX_BLOCK_PAGE)).otherwise(html))
     final = F.when(first_marked & F.col("engine").isin("google_search", "google_news"),
                    F.lit("https://www.google.com/sorry/index")).otherwise(F.lit("https://www.google.com/search"))
-    got = grouped.select("engine", "query", "page", html.alias("html"), final.alias("final_url"))
-    front = (res.select("query").distinct()
+    got = grouped.select("engine", "query", "run", "page", html.alias("html"), final.alias("final_url"))
+    front = (res.select("query", "run").distinct()
              .withColumn("engine", F.explode(F.array(*[F.lit(e) for e in engines])))
              .withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(max_pages)))))
-    out = front.join(got, ["engine", "query", "page"], "left")
-    return out.select("query", "engine", "page",
+    out = front.join(got, ["engine", "query", "run", "page"], "left")
+    return out.select("query", "engine", "run", "page",
                       F.coalesce("html", F.lit("<html><body></body></html>")).alias("html"),
                       F.coalesce("final_url", F.lit("https://www.google.com/search")).alias("final_url"),
                       F.to_timestamp(F.lit(FETCHED_TS)).alias("fetched_at"))

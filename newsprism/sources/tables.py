@@ -15,23 +15,22 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEXT_TABLES = {"pages": "page_id", "documents": "doc_id"}
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a DataFrame over all cores when it has fewer partitions than cores, before
-    CPU-heavy per-row work; inputs that already have enough partitions are left alone.
-    With ``key`` (a unique id) the rows are hash-partitioned on it, which is deterministic
-    under task retries without sorting whole rows first (round-robin needs that sort)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key) if key else df.repartition(cores)
+#: Session setting: partitions to spread narrow inputs over before CPU-heavy work per row (0: never).
+SPREAD = "spark.newsprism.spreadPartitions"
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` (a unique id) into as many partitions as the session sets in
+    SPREAD.  Off by default: an input of many files has its own splits, and whole texts would be
+    shuffled for nothing.  Meant for inputs of one row group, as in a local benchmark."""
+    n = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(n, key) if n > 0 else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; wall-clock NTZ timestamps become UTC instants (watermarks need them).
 
-    A text table whose scan yields fewer partitions than the cluster has cores (a small
-    file with one row group) is spread round-robin first, so the per-row text work uses
-    every core.  Large inputs already scan as many partitions and are left alone.
+    A text table is spread over partitions first if the session asks for it (see ``spread``).
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if name in TEXT_TABLES:

@@ -1,13 +1,16 @@
 """Structured Streaming twins of the stateful behaviours (ST1-ST3).
 
-* ST1 -- arriving pages, one per url within the time to live:
-  ``withWatermark(fetched_at, ttl).dropDuplicatesWithinWatermark(url)``.
+* ST1 -- arrivals of a url, one per time to live by *event time*: an arrival is emitted if the last
+  emitted one of its url is older than the ttl.  State: the time of the last emitted arrival,
+  dropped once the watermark has passed its end; the result does not depend on how an ordered
+  input is cut into batches.
 * ST2 -- consecutive-failure level per key over a live fetch log:
   ``groupBy(key).applyInPandasWithState``; the state is one counter per key, rows
-  of a micro-batch are ordered by (ts, seq) before the fold.
-* ST3 -- snapshot upsert from a stream: ``foreachBatch`` runs the batch upsert (S11)
-  and writes version ``v<batch id>`` of the store; a retried batch rewrites the
-  same version, so the sink is idempotent.
+  of a micro-batch are ordered by (ts, seq) before the fold; batches are bounded by files.
+* ST3 -- snapshot upsert from a stream: ``foreachBatch`` runs the batch upsert (S11) on the
+  buckets (hash of the url) that the batch touches and writes them as version ``v<batch id>``; a
+  retried batch rewrites the same version, so the sink is idempotent, and versions of a bucket
+  that no reader needs any more are deleted.
 
 Streaming state, progress and store versions live under the session's reliable
 checkpoint directory (``spark.checkpoint.dir`` on a cluster).
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from newsprism.session import ensure_checkpoint_dir
+from newsprism.session import ensure_checkpoint_dir, is_folder, path_exists, remove_path
 from newsprism.sources import snapshots as SN
 
 
@@ -31,13 +34,13 @@ def stream_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 64) -> DataFrame:
     """A file stream over one table of ``sf_dir``; NTZ timestamps become instants (watermarks need them)."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    df = r.parquet(sf_dir)
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    # A table is one file or a folder of files.
+    df = r.parquet(path) if is_folder(spark, path) else r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz"
                        else F.col(f.name) for f in df.schema.fields])
 
@@ -53,8 +56,36 @@ def run_to_table(df: DataFrame, spark: SparkSession, name: str, mode: str = "app
 
 # --- ST1 --------------------------------------------------------------------------------
 
-def fresh_arrivals(stream: DataFrame, ttl: str = "24 hours", key: str = "url", ts: str = "fetched_at") -> DataFrame:
-    return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+def _fresh(ttl_ms: int, out: list[str]):
+    def run(key, pdfs: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        pdf = pd.concat(list(pdfs)).sort_values(["_ms", *out], kind="stable")
+        emitted = []
+        for ms in pdf["_ms"].tolist():
+            emit = last is None or ms > last + ttl_ms
+            last = ms if emit else last
+            emitted.append(emit)
+        state.update((last,))
+        now = state.getCurrentWatermarkMs()
+        state.setTimeoutTimestamp(max(now, last + ttl_ms) + 1)
+        yield pdf.loc[emitted, out]
+    return run
+
+
+def fresh_arrivals(stream: DataFrame, ttl_hours: float = 24, key: str = "url", ts: str = "fetched_at",
+                   seq: str = "seq", late: str = "24 hours") -> DataFrame:
+    """ST1: (key, ts, seq) of the arrivals that start a time to live.
+
+    ``late`` bounds how far behind the newest arrival an event may come (older ones are dropped by
+    the watermark, which also bounds the state)."""
+    # One narrow row per arrival reaches Python, without bodies.
+    narrow = stream.withWatermark(ts, late).select(key, ts, seq, (F.unix_micros(ts) / 1000).cast("long").alias("_ms"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name in (key, ts, seq))
+    return narrow.groupBy(key).applyInPandasWithState(
+        _fresh(int(ttl_hours * 3_600_000), [key, ts, seq]), schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- ST2 --------------------------------------------------------------------------------
@@ -86,35 +117,67 @@ def failure_state(log_stream: DataFrame) -> DataFrame:
 
 # --- ST3 --------------------------------------------------------------------------------
 
-def upsert_sink(spark: SparkSession, store: str, initial: DataFrame | None = None):
-    """foreachBatch function: store version ``v<id>`` = S11 upsert of the previous version and the batch."""
-    def latest_version(batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return initial
-        return spark.read.parquet(f"{store}/v{batch_id - 1:08d}")
+BUCKETS = 64
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"))
+
+
+def _versions(spark: SparkSession, store: str) -> dict[int, list[int]]:
+    """Bucket -> its versions, oldest first (at most BUCKETS folders per version)."""
+    out: dict[int, list[int]] = {}
+    for v in _list(spark, store) if path_exists(spark, store) else []:
+        for b in _list(spark, f"{store}/{v}"):
+            out.setdefault(int(b.split("=")[1]), []).append(int(v[1:]))
+    return {b: sorted(vs) for b, vs in out.items()}
+
+
+def _read(spark: SparkSession, store: str, schema, wanted: dict[int, int]) -> DataFrame:
+    paths = [f"{store}/v{v:08d}/bucket={b}" for b, v in wanted.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
 
+def upsert_sink(spark: SparkSession, store: str, buckets: int = BUCKETS):
+    """foreachBatch function: the buckets that the batch touches become version ``v<id + 1>`` = S11
+    upsert of their latest earlier version and the batch; other buckets are neither read nor written."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        cur = latest_version(batch_id)
-        if cur is None:
-            cur = spark.createDataFrame([], batch.select(*SN.SNAPSHOT_COLUMNS).schema)
-        SN.upsert(cur, batch).write.mode("overwrite").parquet(f"{store}/v{batch_id:08d}")
+        rows = batch.select(*SN.SNAPSHOT_COLUMNS).filter(F.col("status_code") == 200).persist()
+        try:
+            touched = {r[0] for r in _bucketed(rows, buckets).select("bucket").distinct().collect()}  # at most ``buckets``
+            if not touched:
+                return
+            have = _versions(spark, store)
+            before = {b: [v for v in have.get(b, []) if v <= batch_id] for b in touched}
+            current = _read(spark, store, rows.schema, {b: vs[-1] for b, vs in before.items() if vs})
+            new = _bucketed(SN.upsert(current, rows), buckets)
+            new.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/v{batch_id + 1:08d}")
+            for b, vs in before.items():  # the latest earlier version stays, for a retry of this batch
+                for v in vs[:-1]:
+                    remove_path(spark, f"{store}/v{v:08d}/bucket={b}")
+        finally:
+            rows.unpersist()
     return run
 
 
-def run_upsert(stream: DataFrame, spark: SparkSession, initial: DataFrame | None = None) -> DataFrame:
+def run_upsert(stream: DataFrame, spark: SparkSession, initial: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     base = stream_dir(spark, "upsert")
-    q = (stream.writeStream.foreachBatch(upsert_sink(spark, f"{base}/store", initial))
+    store = f"{base}/store"
+    schema = stream.select(*SN.SNAPSHOT_COLUMNS).schema
+    if initial is not None:
+        _bucketed(initial.select(*SN.SNAPSHOT_COLUMNS), buckets).write.partitionBy("bucket").parquet(f"{store}/v{0:08d}")
+    q = (stream.writeStream.foreachBatch(upsert_sink(spark, store, buckets))
          .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
     q.awaitTermination()
-    versions = sorted(p.getPath().getName() for p in _list(spark, f"{base}/store"))
-    return spark.read.parquet(f"{base}/store/{versions[-1]}")
+    return _read(spark, store, schema, {b: vs[-1] for b, vs in _versions(spark, store).items()})
 
 
-def _list(spark: SparkSession, path: str):
+def _list(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path``."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s for s in fs.listStatus(p) if s.isDirectory()]
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
 
 
 # --- the given tables as streams ------------------------------------------------------------
