@@ -207,7 +207,9 @@ def test_warc_parser_reads_by_length():
 
 
 def test_toxic_features():
-    lex = frozenset(["idiot", "moron"])
+    lex = X.Lexicon(["idiot", "moron", "snev*", "grobul*"])
+    assert [w for w in ("snev", "snevok", "sne", "grobu", "grobulox", "idiots", "moron") if w in lex] == ["snev", "snevok", "grobulox", "moron"]
+    assert lex.places(["a", "snevok", "idiot", "snev", "b"]) == [1, 2, 3]
     assert X.features("", lex) == [0.0] * len(X.FEATURES)
     plain, near, hidden = (dict(zip(X.FEATURES, X.features(t, lex))) for t in ("a fine day", "you IDIOT!", "an id1ot said m0r0n"))
     assert plain["hits"] == plain["disguised"] == 0

@@ -340,10 +340,10 @@ def labelled(spark, column, n=900):
     rows, labels = [], []
     for i in range(n):
         y = int(rnd.random() < 0.25)
-        words = prose(rnd, rnd.randrange(30, 80), 3000).split()
+        words = re.sub(r"\d", lambda m: "bcdfghjklm"[int(m[0])], prose(rnd, rnd.randrange(30, 80), 3000)).split()
         if column == "toxic" and y:
             for _ in range(4):
-                words.insert(rnd.randrange(len(words)), rnd.choice(bad + ["idiot"]))
+                words.insert(rnd.randrange(len(words)), rnd.choice(bad) + rnd.choice(["", "en", "ish", f"x{i}"]) if rnd.random() < 0.8 else "idiot")
         if column == "quality" and not y:
             words = [w.upper() + "!!" for w in words] if rnd.random() < 0.5 else [w + "$$%" for w in words]
         rows.append((i, " ".join(words)))
