@@ -79,6 +79,36 @@ QUERIES = {f.__name__: f for f in (
     op7_toxicity_gbt, op8_prefix_token_counts, op9_chat_parts, op10_pairwise_quality, pipeline)}
 
 SQL = {
+    "op1_mix_sources": rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::BIGINT AS n_tokens,
+    coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
+s AS MATERIALIZED (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS n_docs FROM d GROUP BY source),
+t AS MATERIALIZED (SELECT sum(tokens)::DOUBLE AS total, list(tokens::DOUBLE / (SELECT sum(tokens)::DOUBLE FROM s) ORDER BY source) FILTER (tokens > 0) AS ps FROM s),
+h(lo, hi, i) AS (
+  SELECT 0.0::DOUBLE, 1.0::DOUBLE, 0 UNION ALL
+  SELECT CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END, i + 1 FROM (
+    SELECT lo, hi, i, (lo + hi) / 2 AS mid, ln(list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2))))
+      - list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2) * ln(pow(x, (lo + hi) / 2)))) / list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2)))
+      >= {mixing.ENTROPY} * ln(len(ps)) AS good FROM h, t) WHERE i < 60),
+m(lo, hi, i) AS (
+  SELECT 0.0::DOUBLE, 1.0::DOUBLE, 0 UNION ALL
+  SELECT CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END, i + 1 FROM (
+    SELECT lo, hi, i, (lo + hi) / 2 AS mid, list_max(list_transform(ps, lambda x: pow(x, (lo + hi) / 2) / x))
+      / list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2))) > {mixing.MAX_REPEAT} AS good FROM m, t) WHERE i < 60),
+a AS MATERIALIZED (SELECT greatest((SELECT max(lo) FROM h), (SELECT max(lo) FROM m)) AS a),
+w AS MATERIALIZED (SELECT source, tokens, n_docs, total, pow(tokens / total, a) AS w, list_sum(list_transform(ps, lambda x: pow(x, a))) AS z FROM s, t, a),
+b AS MATERIALIZED (SELECT source, n_docs, round(CASE WHEN tokens > 0 THEN w / z ELSE 0 END, 9) AS weight,
+  round(CASE WHEN tokens > 0 THEN w / z * total / tokens ELSE 1 END, 6) AS passes FROM w),
+r AS MATERIALIZED (SELECT d.*, b.weight, b.passes,
+  ('0x' || substr(md5('{mixing.SEED}:block:' || k), 1, 15))::BIGINT % ceil(n_docs / {mixing.BLOCK_ROWS})::BIGINT AS block,
+  ('0x' || substr(md5('{mixing.SEED}:turn:' || k), 1, 15))::BIGINT AS turn FROM d JOIN b USING (source)),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, block ORDER BY turn, doc_id) - 1 AS place,
+  sum(n_tokens) OVER (PARTITION BY source, block ORDER BY turn, doc_id ROWS UNBOUNDED PRECEDING) AS upto,
+  sum(n_tokens) OVER (PARTITION BY source, block) AS held FROM r),
+c AS (SELECT *, (floor(passes) + CASE WHEN 2 * upto - n_tokens < 2 * (passes - floor(passes)) * held THEN 1 ELSE 0 END)::BIGINT AS copies FROM o)
+SELECT doc_id, source, unnest(range(copies)) AS epoch, block, place, n_tokens, weight, passes FROM c WHERE copies > 0
+""",
     "op3_arc_to_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p),
