@@ -3,20 +3,24 @@
 Texts are canonicalised to *templates*: numbers, units after a number and names (capitalised
 words inside a sentence) become typed placeholders, all else is lower-cased and stripped of
 punctuation, one template token per word.  Windows of ``k`` template tokens are hashed and
-hash-joined with those of the benchmark.  Matches are aligned: on one diagonal (place in the
-document minus place in the item) the slots must be consistent, that is, one value of the item
-must always stand for the same value of the document; windows with slots of an inconsistent
-diagonal are dropped as chance matches of the template.  A document is contaminated by an item if
-the consistent windows cover at least ``percent`` per cent of the item's windows; the match is
-``verbatim`` if all slot values are equal, else ``reparameterised``.
+hash-joined with those of the benchmark; windows of fewer than two literal words are hashed with
+their slot values, so that only exact copies of them are found.  A window found anchors a diagonal
+(place in the document minus place in the item), on which the two texts are then compared word by
+word: there every window counts that agrees, those of few literal words with other slot values
+included.  The slots of a diagonal must be consistent, that is, one value of the item must always
+stand for the same value of the document; an inconsistent diagonal is dropped as a chance match of
+the template.  A document is contaminated by an item if the windows that agree are at least
+``percent`` per cent of all the item's windows; the match is ``verbatim`` if each of these windows
+is found with equal slot values, else ``reparameterised``.
 
 Scale: document windows are made and probed inside the scan's tasks; the benchmark's windows are
 broadcast if their counted number is small, else both sides are shuffled by window hash.  Windows
-that more than one item place has are joined all the same.  What is aggregated afterwards are
-matches only.
+that more than one item place has are joined all the same.  Only documents with an anchor are
+looked at again; a diagonal is one row of an item's width, compared by array functions.
 
 Edge cases: null and empty texts have no windows; an item or text of fewer than k words is one
-window of its whole sequence (null if empty); windows of fewer than two literal words are not used;
+window of its whole sequence (none if empty); an item without any window of two literal words is
+found by exact copies of a window only;
 repeated documents are judged by doc_id (contaminated if any of the rows is); a null doc_id is
 judged false; an empty benchmark contaminates nothing; ties between items go to the larger
 coverage, then the smaller item_id; other columns are never read.
@@ -54,54 +58,96 @@ def template(flat: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(numbered, _NAMES, NAME)), _PUNCTUATION, "")
 
 
-def windows(df: DataFrame, key: str, k: int) -> DataFrame:
-    """key, pos, n (windows of the text), hash, slots: one row per window.
+def let(value: Column, body) -> Column:
+    """``body`` of the value as a variable, so that it is computed once, also inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    ``slots`` is null where the window has no placeholder, else its raw words at placeholders
-    (empty elsewhere)."""
+def words(df: DataFrame, key: str) -> DataFrame:
+    """key, line, token (template tokens) and value (what a word stands for as a slot value)."""
     flat = df.select(F.col(key).cast("long").alias(key), spaced(F.col("text")).alias("flat"))
-    both = flat.select(key, F.split("flat", " ").alias("raw"), template(F.col("flat")).alias("line"))
-    both = both.select(key, "raw", "line", F.split("line", " ").alias("token"), F.col("line").rlike(f"[{NUM}{UNIT}{NAME}]").alias("open"))
-    hashed = both.select(key, "open", F.transform("token", lambda t: F.xxhash64(t)).alias("h"), F.when(F.col("open"), F.transform(
-        F.arrays_zip(F.col("token").alias("t"), F.col("raw").alias("r")),
-        lambda z: F.when(z["t"].isin(NUM, UNIT, NAME), F.lower(F.regexp_replace(z["r"], r"[.,;:!?()]+$", ""))).otherwise(F.lit("")))).alias("slot"),
-        F.when(F.col("line") == "", 0).otherwise(F.size("token")).alias("n_tokens"))
-    count = F.greatest(F.col("n_tokens") - (k - 1), F.lit(1))
-    at = F.when(F.col("n_tokens") > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    literals = lambda i: F.size(F.filter(F.slice("slot", i, k), lambda s: s == ""))
-    exploded = hashed.withColumn("n", count).select(
-        key, "n", F.posexplode(F.when(~F.col("open"), F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("h", i, k)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"))))
-                               .otherwise(F.transform(at, lambda i: F.struct(
-                                   F.when(literals(i) >= F.least(F.lit(2), F.col("n_tokens")), F.xxhash64(F.slice("h", i, k))).alias("hash"),
-                                   F.slice("slot", i, k).alias("slots"))))).alias("pos", "w"))
-    return exploded.select(key, "pos", "n", "w.hash", "w.slots")
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
-    """doc_id, item_id, pos, item_pos, n_item, slots, item_slots: equal template windows."""
-    items = written(windows(benchmark, "item_id", k).where("hash is not null and item_id is not null").select(
-        "item_id", F.col("pos").alias("item_pos"), F.col("n").alias("n_item"), "hash", F.col("slots").alias("item_slots")), "items")
-    probe = windows(docs, "doc_id", k).where("hash is not null and doc_id is not null")
-    return probe.join(small_side(items), "hash").select("doc_id", "item_id", "pos", "item_pos", "n_item", "slots", "item_slots")
+    both = flat.select(key, "flat", template(F.col("flat")).alias("line"))
+    return both.select(key, "line", F.split("line", " ").alias("token"), F.transform(
+        F.split("flat", " "), lambda r: F.lower(F.regexp_replace(r, r"[.,;:!?()]+$", ""))).alias("value")).where("line <> ''")
+
+
+def windows(df: DataFrame, key: str, k: int) -> DataFrame:
+    """key, pos, hash: one row per window.
+
+    A window of at least two literal words is hashed by its template, one of fewer by its template
+    and its slot values (only its exact copy finds it)."""
+    slot = lambda t: t.rlike(f"[{NUM}{UNIT}{NAME}]")
+    text = words(df, key).withColumn("open", F.col("line").rlike(f"[{NUM}{UNIT}{NAME}]|^ | $|  "))
+    at = F.sequence(F.lit(1), F.greatest(F.size("token") - (k - 1), F.lit(1)))
+    hashes = F.transform("token", lambda t: F.xxhash64(t))
+    literal = F.transform("token", lambda t: F.when((t == "") | slot(t), F.lit(0).cast("long")).otherwise(F.xxhash64(t)))
+    exact = F.transform(F.arrays_zip(F.col("token").alias("t"), F.col("value").alias("v")), lambda z: F.xxhash64(F.when(slot(z["t"]), z["v"]).otherwise(z["t"])))
+    enough = lambda ls, i: F.size(F.array_remove(F.slice(ls, i, k), F.lit(0).cast("long"))) >= F.least(F.lit(2), F.size("token"))
+    found = F.when(~F.col("open"), let(hashes, lambda h: F.transform(at, lambda i: F.xxhash64(F.slice(h, i, k))))).otherwise(
+        let(F.struct(hashes.alias("h"), literal.alias("l"), exact.alias("x")), lambda a: F.transform(at, lambda i: F.when(
+            enough(a["l"], i), F.xxhash64(F.slice(a["h"], i, k))).otherwise(F.xxhash64(F.lit("exact"), F.slice(a["x"], i, k))))))
+    return text.select(key, F.posexplode(found).alias("pos", "hash"))
+
+
+def anchors(docs: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
+    """doc_id, item_id, diagonal: the diagonals on which a window of the item is found."""
+    items = written(windows(benchmark, "item_id", k).where("item_id is not null").select(
+        "item_id", F.col("pos").alias("item_pos"), "hash"), "items")
+    probe = windows(docs.where("doc_id is not null"), "doc_id", k)
+    return probe.join(small_side(items), "hash").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+
+
+def aligned(found: DataFrame, docs: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
+    """doc_id, item_id, item_pos, n_windows, changed (whether a slot value differs): the windows of
+    the item that agree with the document on a diagonal, compared word by word."""
+    names = found.select("doc_id").distinct()
+    own = words(docs.join(small_side(names), "doc_id", "left_semi"), "doc_id").select("doc_id", F.col("token").alias("dt"), F.col("value").alias("dv"))
+    items = written(words(benchmark, "item_id").where("item_id is not null").select("item_id", F.col("token").alias("it"), F.col("value").alias("iv")), "item-words")
+    both = own.join(small_side(found), "doc_id").join(small_side(items), "item_id")
+    # Places of the item, from 0, that the document has a word for.
+    both = both.withColumns({"lo": F.greatest(F.lit(0), -F.col("diagonal")), "hi": F.least(F.size("it"), F.size("dt") - F.col("diagonal")),
+                             "w": F.least(F.lit(k), F.size("it"))})
+    both = both.where("hi - lo >= w and (size(it) >= w and (w = %d or size(it) = size(dt)))" % k)
+    cut = lambda c, first: F.slice(c, first + 1, F.col("hi") - F.col("lo"))
+    cells = F.transform(F.arrays_zip(
+        cut("it", F.col("lo")).alias("it"), cut("iv", F.col("lo")).alias("iv"),
+        cut("dt", F.col("lo") + F.col("diagonal")).alias("dt"), cut("dv", F.col("lo") + F.col("diagonal")).alias("dv")), cell)
+    starts = F.sequence(F.lit(1), F.col("hi") - F.col("lo") - F.col("w") + 1)
+    runs = lambda ok: F.transform(starts, lambda i: F.forall(F.slice(ok, i, F.col("w")), lambda x: x))
+    # Only words inside a window that agrees tell which value stands for which.
+    inside = lambda cs: let(runs(F.transform(cs, lambda c: c["ok"])), lambda run: F.transform(cs, lambda c, j: F.struct(
+        F.exists(F.slice(run, F.greatest(F.lit(1), j + 2 - F.col("w")), F.least(j + 1, F.col("w"))), lambda x: x).alias("ok"),
+        c["item"].alias("item"), c["doc"].alias("doc"))))
+    both = both.select("doc_id", "item_id", "lo", "w", F.greatest(F.size("it") - (k - 1), F.lit(1)).cast("long").alias("n_windows"), starts.alias("starts"),
+                       let(cells, lambda cs: let(inside(cs), consistent)).alias("cells"))
+    hits = F.filter(F.transform("starts", lambda i: let(F.slice("cells", i, F.col("w")), lambda cs: F.when(F.forall(cs, lambda c: c["ok"]), F.struct(
+        (F.col("lo") + i - 1).alias("item_pos"), F.exists(cs, lambda c: F.coalesce(c["item"] != c["doc"], F.lit(False))).alias("changed"))))), lambda x: x.isNotNull())
+    return both.select("doc_id", "item_id", "n_windows", F.explode(hits).alias("hit")).select("doc_id", "item_id", "n_windows", "hit.*")
+
+
+def cell(z: Column) -> Column:
+    """ok, item, doc: whether two words agree, and their values if they are slots."""
+    ok = z["it"] == z["dt"]
+    slot = ok & z["it"].rlike(f"[{NUM}{UNIT}{NAME}]")
+    return F.struct(ok.alias("ok"), F.when(slot, z["iv"]).alias("item"), F.when(slot, z["dv"]).alias("doc"))
+
+
+def consistent(cells: Column) -> Column:
+    """The cells of a diagonal, none of them agreeing if a value of the item stands for two."""
+    pairs = F.array_distinct(F.transform(F.filter(cells, lambda c: c["ok"] & c["item"].isNotNull()), lambda c: F.struct(c["item"].alias("item"), c["doc"].alias("doc"))))
+    return let(pairs, lambda ps: let(F.size(F.array_distinct(F.transform(ps, lambda p: p["item"]))) == F.size(ps), lambda good: F.transform(
+        cells, lambda c: F.struct((c["ok"] & good).alias("ok"), c["item"].alias("item"), c["doc"].alias("doc")))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_matched, reparameterised: one row per
     contaminated document and item."""
-    found = written(matches(docs, benchmark, k), "matches")
-    line = ["doc_id", "item_id", F.expr("pos - item_pos").alias("diagonal")]
-    pairs = found.where("slots is not null and item_slots is not null").select(
-        *line, F.explode(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))).alias("z")).select(
-        "doc_id", "item_id", "diagonal", "z.item", "z.doc").where("item <> ''").distinct()
-    per_value = pairs.groupBy("doc_id", "item_id", "diagonal", "item").agg(
-        F.count("*").alias("values"), F.max(F.col("item") != F.col("doc")).alias("other"))
-    slots = per_value.groupBy("doc_id", "item_id", "diagonal").agg(
-        (F.max("values") == 1).alias("consistent"), F.max("other").alias("other"))
-    kept = found.select("*", line[2]).join(slots, ["doc_id", "item_id", "diagonal"], "left") \
-        .where("slots is null or coalesce(consistent, true)")
-    return kept.groupBy("doc_id", "item_id").agg(
-        F.max("n_item").cast("long").alias("n_windows"), F.count_distinct("item_pos").alias("n_matched"),
-        F.max(F.coalesce("other", F.lit(False)) & F.col("slots").isNotNull()).alias("reparameterised")) \
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = written(anchors(docs, benchmark, k), "anchors")
+    places = aligned(found, docs, benchmark, k).groupBy("doc_id", "item_id", "item_pos").agg(
+        F.max("n_windows").alias("n_windows"), F.min("changed").alias("changed"))
+    return places.groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.count("*").alias("n_matched"), F.max("changed").alias("reparameterised")) \
         .where(F.col("n_matched") * 100 >= F.col("n_windows") * percent)
 
 

@@ -258,6 +258,24 @@ def test_inconsistent_slots_are_no_match(spark):
     assert got == {1: True, 2: False, 3: True}
 
 
+def leaked(spark, item, texts):
+    """Whether each text is contaminated by the item, inside other text, and how."""
+    rnd = random.Random(9)
+    rows = [(i, f"{prose(rnd, 30)} {t} {prose(rnd, 30)}") for i, t in enumerate(texts)]
+    got = decontam.decontaminate(docs_of(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    return [r.kind for r in got.orderBy("doc_id").collect()]
+
+
+def test_items_dense_in_slots(spark):
+    numbers = "What is the next number in the sequence 2 4 8 16 32 64 128 256 512 ?"
+    other = "What is the next number in the sequence 3 9 27 81 243 729 2187 6561 19683 ?"
+    assert leaked(spark, numbers, [numbers, other, numbers[:40], "2 4 8 16 32 64 128 256 512"]) == ["verbatim", "reparameterised", None, None]
+    names = "which of them, Melville or Hawthorne or Whitman or Emerson or Thoreau or Dickinson, wrote the novel Moby Dick or The Whale"
+    assert leaked(spark, names, [names]) == ["verbatim"]
+    only = "2 3 5 7 11 13 17 19 23 29"
+    assert leaked(spark, only, [only, "1 2 3 4 5 6 7 8 9 10"]) == ["verbatim", None]
+
+
 def test_decontamination_is_native(spark):
     df = decontam.decontaminate(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
     plan = df._jdf.queryExecution().toString()
