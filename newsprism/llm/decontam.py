@@ -8,8 +8,8 @@ their slot values, so that only exact copies of them are found.  A window found
 (place in the document minus place in the item), on which the two texts are then compared word by
 word: there every window counts that agrees, those of few literal words with other slot values
 included.  The slots of a diagonal must be consistent, that is, one value of the item must always
-stand for the same value of the document; an inconsistent diagonal is dropped as a chance match of
-the template.  A document is contaminated by an item if the windows that agree are at least
+stand for the same value of the document: the one it stands for most often (on a tie itself, else
+the greater); windows that hold another one don't count, all others of the diagonal do.  A document is contaminated by an item if the windows that agree are at least
 ``percent`` per cent of all the item's windows; the match is ``verbatim`` if each of these windows
 is found with equal slot values, else ``reparameterised``.
 
@@ -133,10 +133,19 @@ def cell(z: Column) -> Column:
 
 
 def consistent(cells: Column) -> Column:
-    """The cells of a diagonal, none of them agreeing if a value of the item stands for two."""
-    pairs = F.array_distinct(F.transform(F.filter(cells, lambda c: c["ok"] & c["item"].isNotNull()), lambda c: F.struct(c["item"].alias("item"), c["doc"].alias("doc"))))
-    return let(pairs, lambda ps: let(F.size(F.array_distinct(F.transform(ps, lambda p: p["item"]))) == F.size(ps), lambda good: F.transform(
-        cells, lambda c: F.struct((c["ok"] & good).alias("ok"), c["item"].alias("item"), c["doc"].alias("doc")))))
+    """The cells of a diagonal; slots that go against what their value mostly stands for don't agree."""
+    pairs = F.transform(F.filter(cells, lambda c: c["ok"] & c["item"].isNotNull()), lambda c: F.struct(c["item"].alias("item"), c["doc"].alias("doc")))
+
+    def judged(ps: Column) -> Column:
+        counted = F.transform(F.array_distinct(ps), lambda p: F.struct(
+            p["item"].alias("item"), F.size(F.filter(ps, lambda q: q == p)).alias("n"), (p["item"] == p["doc"]).alias("same"), p["doc"].alias("doc")))
+        best = lambda cs, c: F.array_max(F.filter(cs, lambda x: x["item"] == c["item"]))["doc"]
+        return let(counted, lambda cs: F.transform(cells, lambda c: F.struct(
+            (c["ok"] & (c["item"].isNull() | (c["doc"] == best(cs, c)))).alias("ok"), c["item"].alias("item"), c["doc"].alias("doc"))))
+
+    distinct = F.array_distinct(pairs)
+    clash = F.size(F.array_distinct(F.transform(distinct, lambda p: p["item"]))) < F.size(distinct)
+    return F.when(clash, let(pairs, judged)).otherwise(cells)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:

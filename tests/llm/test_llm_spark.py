@@ -276,6 +276,13 @@ def test_items_dense_in_slots(spark):
     assert leaked(spark, only, [only, "1 2 3 4 5 6 7 8 9 10"]) == ["verbatim", None]
 
 
+def test_one_conflicting_slot_costs_its_windows_only(spark):
+    tail = " ".join(f"plain{chr(97 + i)}" for i in range(26)) + " " + " ".join(f"other{chr(97 + i)}" for i in range(16))
+    item = f"she buys 7 of the pears and he buys 7 more on monday {tail}"
+    once = item[::-1].replace("7", "9", 1)[::-1]
+    assert leaked(spark, item, [item, once, item.replace("7", "4"), once + " far away 12 of 7 geese"]) == ["verbatim", "verbatim", "reparameterised", "verbatim"]
+
+
 def test_decontamination_is_native(spark):
     df = decontam.decontaminate(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
     plan = df._jdf.queryExecution().toString()
