@@ -1,8 +1,10 @@
 """Benchmark decontamination by template windows (operator 6), in DataFrame functions only.
 
-Texts are canonicalised to *templates*: numbers, units after a number and names (capitalised
-words inside a sentence) become typed placeholders, all else is lower-cased and stripped of
-punctuation, one template token per word.  Windows of ``k`` template tokens are hashed and
+Texts are canonicalised to *templates*: numbers and units after a number become typed placeholders,
+all else is lower-cased and stripped of punctuation, one template token per word.  A capitalised
+word, wherever it stands in its sentence, is read in two ways, as a word and as a name (a typed
+placeholder, too), and agrees if either reading does: copies in another case are found by the
+first, other names by the second.  Windows of ``k`` template tokens are hashed and
 hash-joined with those of the benchmark; windows of fewer than two literal words are hashed with
 their slot values, so that only exact copies of them are found.  A window found anchors a diagonal
 (place in the document minus place in the item), on which the two texts are then compared word by
@@ -43,7 +45,7 @@ _SPLIT = r"[ \t\n\x0B\f\r]+"
 _PUNCTUATION = r"[^\p{L}\p{N} ①②③]+"
 _NUMBER = r"(?<![^ ])[$€£+-]?\(?\d[\d.,:/]*\)?(?=[%.,;:!?)]* |[%.,;:!?)]*$)"
 _UNIT = NUM + r" (?:" + "|".join(u for u in UNITS if u.isascii() and u.isalpha()) + r")(?![\p{L}\p{N}])"
-_NAMES = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
+_NAMES = r"(?<![^ ])\p{Lu}+\p{Ll}\p{L}*+(?![^ ])"
 
 
 def spaced(text: Column) -> Column:
@@ -52,10 +54,10 @@ def spaced(text: Column) -> Column:
 
 
 def template(flat: Column) -> Column:
-    """One template token per blank-separated word; a word of punctuation alone is empty."""
+    """One token per blank-separated word, in its case; a word of punctuation alone is empty."""
     # Most texts hold no digit: they skip the two number passes.
     numbered = F.when(flat.rlike(r"\d"), F.regexp_replace(F.regexp_replace(flat, _NUMBER, NUM), "(?i)" + _UNIT, f"{NUM} {UNIT}")).otherwise(flat)
-    return F.regexp_replace(F.lower(F.regexp_replace(numbered, _NAMES, NAME)), _PUNCTUATION, "")
+    return F.regexp_replace(numbered, _PUNCTUATION, "")
 
 
 def let(value: Column, body) -> Column:
@@ -64,29 +66,38 @@ def let(value: Column, body) -> Column:
 
 
 def words(df: DataFrame, key: str) -> DataFrame:
-    """key, line, token (template tokens) and value (what a word stands for as a slot value)."""
+    """key, line, token (template tokens, names as lower-cased words), named_line, named (the same
+    with names as placeholders) and value (what a word stands for as a slot value)."""
     flat = df.select(F.col(key).cast("long").alias(key), spaced(F.col("text")).alias("flat"))
-    both = flat.select(key, "flat", template(F.col("flat")).alias("line"))
-    return both.select(key, "line", F.split("line", " ").alias("token"), F.transform(
-        F.split("flat", " "), lambda r: F.lower(F.regexp_replace(r, r"[.,;:!?()]+$", ""))).alias("value")).where("line <> ''")
+    both = flat.select(key, "flat", template(F.col("flat")).alias("cased"))
+    both = both.select(key, "flat", F.lower("cased").alias("line"), F.lower(F.regexp_replace("cased", _NAMES, NAME)).alias("named_line")).where("line <> ''")
+    return both.select(key, "line", "named_line", F.split("line", " ").alias("token"), F.split("named_line", " ").alias("named"), F.transform(
+        F.split("flat", " "), lambda r: F.lower(F.regexp_replace(r, r"[.,;:!?()]+$", ""))).alias("value"))
 
 
 def windows(df: DataFrame, key: str, k: int) -> DataFrame:
-    """key, pos, hash: one row per window.
+    """key, pos, hash: one row per window and reading.
 
     A window of at least two literal words is hashed by its template, one of fewer by its template
-    and its slot values (only its exact copy finds it)."""
+    and its slot values (only its exact copy finds it).  A window with names is hashed by the
+    template that has them as placeholders, too, if two literal words remain."""
+    none = F.lit(0).cast("long")
     slot = lambda t: t.rlike(f"[{NUM}{UNIT}{NAME}]")
     text = words(df, key).withColumn("open", F.col("line").rlike(f"[{NUM}{UNIT}{NAME}]|^ | $|  "))
     at = F.sequence(F.lit(1), F.greatest(F.size("token") - (k - 1), F.lit(1)))
-    hashes = F.transform("token", lambda t: F.xxhash64(t))
-    literal = F.transform("token", lambda t: F.when((t == "") | slot(t), F.lit(0).cast("long")).otherwise(F.xxhash64(t)))
+    hashes = lambda c: F.transform(c, lambda t: F.xxhash64(t))
+    literal = lambda c: F.transform(c, lambda t: F.when((t == "") | slot(t), none).otherwise(F.xxhash64(t)))
     exact = F.transform(F.arrays_zip(F.col("token").alias("t"), F.col("value").alias("v")), lambda z: F.xxhash64(F.when(slot(z["t"]), z["v"]).otherwise(z["t"])))
-    enough = lambda ls, i: F.size(F.array_remove(F.slice(ls, i, k), F.lit(0).cast("long"))) >= F.least(F.lit(2), F.size("token"))
-    found = F.when(~F.col("open"), let(hashes, lambda h: F.transform(at, lambda i: F.xxhash64(F.slice(h, i, k))))).otherwise(
-        let(F.struct(hashes.alias("h"), literal.alias("l"), exact.alias("x")), lambda a: F.transform(at, lambda i: F.when(
-            enough(a["l"], i), F.xxhash64(F.slice(a["h"], i, k))).otherwise(F.xxhash64(F.lit("exact"), F.slice(a["x"], i, k))))))
-    return text.select(key, F.posexplode(found).alias("pos", "hash"))
+    enough = lambda ls, i: F.size(F.array_remove(F.slice(ls, i, k), none)) >= F.least(F.lit(2), F.size("token"))
+    row = lambda i, h: F.struct(i.alias("pos"), h.alias("hash"))
+    plain = F.when(~F.col("open"), let(hashes("token"), lambda h: F.transform(at, lambda i: row(i, F.xxhash64(F.slice(h, i, k)))))).otherwise(
+        let(F.struct(hashes("token").alias("h"), literal("token").alias("l"), exact.alias("x")), lambda a: F.transform(at, lambda i: row(i, F.when(
+            enough(a["l"], i), F.xxhash64(F.slice(a["h"], i, k))).otherwise(F.xxhash64(F.lit("exact"), F.slice(a["x"], i, k)))))))
+    named = let(F.struct(hashes("named").alias("h"), literal("named").alias("l")), lambda a: F.transform(
+        F.filter(at, lambda i: F.array_contains(F.slice(a["h"], i, k), F.xxhash64(F.lit(NAME))) & enough(a["l"], i)),
+        lambda i: row(i, F.xxhash64(F.slice(a["h"], i, k)))))
+    found = F.when(F.col("line") == F.col("named_line"), plain).otherwise(F.concat(plain, named))
+    return text.select(key, F.explode(found).alias("w")).select(key, "w.pos", "w.hash")
 
 
 def anchors(docs: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
@@ -101,8 +112,10 @@ def aligned(found: DataFrame, docs: DataFrame, benchmark: DataFrame, k: int) ->
     """doc_id, item_id, item_pos, n_windows, changed (whether a slot value differs): the windows of
     the item that agree with the document on a diagonal, compared word by word."""
     names = found.select("doc_id").distinct()
-    own = words(docs.join(small_side(names), "doc_id", "left_semi"), "doc_id").select("doc_id", F.col("token").alias("dt"), F.col("value").alias("dv"))
-    items = written(words(benchmark, "item_id").where("item_id is not null").select("item_id", F.col("token").alias("it"), F.col("value").alias("iv")), "item-words")
+    own = words(docs.join(small_side(names), "doc_id", "left_semi"), "doc_id").select(
+        "doc_id", F.col("token").alias("dt"), F.col("named").alias("dn"), F.col("value").alias("dv"))
+    items = written(words(benchmark, "item_id").where("item_id is not null").select(
+        "item_id", F.col("token").alias("it"), F.col("named").alias("in"), F.col("value").alias("iv")), "item-words")
     both = own.join(small_side(found), "doc_id").join(small_side(items), "item_id")
     # Places of the item, from 0, that the document has a word for.
     both = both.withColumns({"lo": F.greatest(F.lit(0), -F.col("diagonal")), "hi": F.least(F.size("it"), F.size("dt") - F.col("diagonal")),
@@ -110,8 +123,8 @@ def aligned(found: DataFrame, docs: DataFrame, benchmark: DataFrame, k: int) ->
     both = both.where("hi - lo >= w and (size(it) >= w and (w = %d or size(it) = size(dt)))" % k)
     cut = lambda c, first: F.slice(c, first + 1, F.col("hi") - F.col("lo"))
     cells = F.transform(F.arrays_zip(
-        cut("it", F.col("lo")).alias("it"), cut("iv", F.col("lo")).alias("iv"),
-        cut("dt", F.col("lo") + F.col("diagonal")).alias("dt"), cut("dv", F.col("lo") + F.col("diagonal")).alias("dv")), cell)
+        *(cut(c, F.col("lo")).alias(c) for c in ("it", "in", "iv")),
+        *(cut(c, F.col("lo") + F.col("diagonal")).alias(c) for c in ("dt", "dn", "dv"))), cell)
     starts = F.sequence(F.lit(1), F.col("hi") - F.col("lo") - F.col("w") + 1)
     runs = lambda ok: F.transform(starts, lambda i: F.forall(F.slice(ok, i, F.col("w")), lambda x: x))
     # Only words inside a window that agrees tell which value stands for which.
@@ -126,9 +139,9 @@ def aligned(found: DataFrame, docs: DataFrame, benchmark: DataFrame, k: int) ->
 
 
 def cell(z: Column) -> Column:
-    """ok, item, doc: whether two words agree, and their values if they are slots."""
-    ok = z["it"] == z["dt"]
-    slot = ok & z["it"].rlike(f"[{NUM}{UNIT}{NAME}]")
+    """ok, item, doc: whether two words agree in either reading, and their values if they are slots."""
+    ok = (z["it"] == z["dt"]) | ((z["in"] == NAME) & (z["dn"] == NAME))
+    slot = ok & z["in"].rlike(f"[{NUM}{UNIT}{NAME}]")
     return F.struct(ok.alias("ok"), F.when(slot, z["iv"]).alias("item"), F.when(slot, z["dv"]).alias("doc"))
 
 

@@ -283,6 +283,17 @@ def test_one_conflicting_slot_costs_its_windows_only(spark):
     assert leaked(spark, item, [item, once, item.replace("7", "4"), once + " far away 12 of 7 geese"]) == ["verbatim", "verbatim", "reparameterised", "verbatim"]
 
 
+def test_names_in_any_place_and_case(spark):
+    item = ("Alice walks to the market and buys 12 apples for the school. Bob carries them home in a small basket. "
+            "Carol then shares them fairly among all the children of the class room")
+    other = item.replace("Alice", "Maria").replace("Bob", "Omar").replace("Carol", "Ingrid").replace("12", "30")
+    assert leaked(spark, item, [item, other, item.lower(), item.upper()]) == ["verbatim", "reparameterised", "verbatim", "verbatim"]
+    short = "Alice has 3 pears. Bob has 4 pears. Carol has 5 pears. Dave has 6 pears."
+    assert leaked(spark, short, [short.replace("Alice", "Maria").replace("Bob", "Omar").replace("Carol", "Eve").replace("Dave", "Jim")]) == ["reparameterised"]
+    many = "they say that Melville met Hawthorne near Lenox and told Emerson of Ahab while Thoreau kept silent at the pond"
+    assert leaked(spark, many, [many.lower()]) == ["verbatim"]
+
+
 def test_decontamination_is_native(spark):
     df = decontam.decontaminate(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
     plan = df._jdf.queryExecution().toString()
