@@ -4,7 +4,8 @@ evaluator of licence expressions (operator 2).
 A text is folded to its words (A-Z lower-cased; runs of characters other than a-z, 0-9 and
 non-ASCII ones), joined by single spaces, and one automaton finds all places of all phrases.
 Where the tag ``SPDX-License-Identifier`` occurs, the expression after it is read from the text
-itself, turned into postfix order by the shunting-yard method (``WITH`` binds closer than
+itself (up to the first token that no longer belongs to it, the next tag or the end of the line,
+however long that is), turned into postfix order by the shunting-yard method (``WITH`` binds closer than
 ``AND``, ``AND`` closer than ``OR``) and evaluated against a set of allowed identifiers.
 
 Edge cases: a null or empty text has no words, no labels and score 0; overlapping places all
@@ -49,7 +50,8 @@ MORE_PHRASES = {
 }
 BASE_WEIGHT, TAG_WEIGHT = 0.9, 1.0
 TAG = "spdx license identifier"
-_EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]{1,500})", re.I)
+_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*", re.I)
+_LINE_END = re.compile(r"[\r\n]|SPDX-License-Identifier:", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:_-]+")
 #: Identifiers that a training corpus may take by default.
 ALLOWED = frozenset(["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "unlicense", "cc-by-4.0"])
@@ -71,25 +73,34 @@ def automaton() -> ahocorasick.Automaton:
 
 def postfix(expression: str) -> list[str] | None:
     """The expression in postfix order, lower-cased; None if it is malformed."""
+    return parsed(expression, 0, len(expression))[0]
+
+
+def parsed(text: str, start: int, stop: int) -> tuple[list[str] | None, list[str], int]:
+    """The expression from ``start`` on in postfix order (None if it is malformed), its
+    identifiers, and where it ends: before the first token that doesn't belong to it."""
     out: list[str] = []
+    names: list[str] = []
+    end = start
     stack: list[str] = []
     operand = False  # whether the last token completes an operand
-    for token in _TOKEN.findall(expression):
+    for found in _TOKEN.finditer(text, start, stop):
+        token = found[0]
         low = token.lower()
         if low in _BINDS:
             if not operand:
-                return None
+                return None, names, end
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand = False
         elif token == ")":
             if not operand:
-                return None
+                return None, names, end
             while stack and stack[-1] != "(":
                 out.append(stack.pop())
             if not stack:
-                return None
+                return None, names, end
             stack.pop()
         elif operand:  # two operands side by side: what follows is no part of the expression
             break
@@ -97,10 +108,12 @@ def postfix(expression: str) -> list[str] | None:
             stack.append("(")
         else:
             out.append(low)
+            names.append(low)
             operand = True
+        end = found.end()
     if not operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+        return None, names, end
+    return out + stack[::-1], names, end
 
 
 def evaluate(order: list[str], allowed: frozenset[str] = ALLOWED) -> bool:
@@ -135,15 +148,16 @@ def scan(text: str, find: ahocorasick.Automaton, allowed: frozenset[str] = ALLOW
             labels.add(label)
         missing *= 1 - weight
     if tagged:
-        for found in _EXPRESSION.findall(text):
-            order = postfix(found)
-            expressions.append(found.strip())
-            labels.update(x for x in (order if order is not None else _TOKEN.findall(found.lower())) if x not in _BINDS and x not in "()")
+        for found in _TAG.finditer(text):
+            line_end = _LINE_END.search(text, found.end())
+            order, names, end = parsed(text, found.end(), line_end.start() if line_end else len(text))
+            expressions.append(text[found.end():end])
+            labels.update(names)
             if order is not None:
                 verdict = evaluate(order, allowed)
                 permitted = verdict if permitted is None else permitted and verdict
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
-            ",".join(sorted(labels)), 1 - missing, "; ".join(expressions) or None, permitted)
+            ",".join(sorted(labels)), 1 - missing, "; ".join(x for x in expressions if x) or None, permitted)
 
 
 SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "

@@ -167,6 +167,15 @@ def test_spdx_tag_is_evaluated():
     assert L.scan("SPDX-License-Identifier: (MIT", L.automaton())[8] is None
 
 
+def test_long_expressions_are_read_to_their_end():
+    long = " OR ".join(f"(LicenseRef-{i} AND MIT)" for i in range(60))
+    got = L.scan(f"SPDX-License-Identifier: ({long}) AND GPL-3.0-only\nMIT", L.automaton())
+    assert got[5].split(",") == sorted([f"licenseref-{i}" for i in range(60)] + ["mit", "gpl-3.0-only"]) and got[8] is False
+    far = f"SPDX-License-Identifier: MIT {'x ' * 400}SPDX-License-Identifier: ISC AND GPL-2.0-only {'y ' * 400}"
+    got = L.scan(far, L.automaton())
+    assert got[5] == "gpl-2.0-only,isc,mit" and got[7] == "MIT; ISC AND GPL-2.0-only" and got[8] is False
+
+
 def test_arc_versions_roundtrip():
     blocks = [("http://a/x y%20z", b"HTTP/1.1 200 OK\r\n\r\nbody"), ("urn:none", b""), ("http://b/\n", b"\n\nhttp://fake 1 2 3 4\n" * 50),
               ("http://c/", "é漢\r\n\r\nWARC/1.0\r\n\r\n".encode())]
