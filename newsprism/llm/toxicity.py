@@ -6,8 +6,9 @@ in capitals, rates of exclamation marks, punctuation, digits and obfuscated word
 lexicon is a short list of English insults plus words and stems (first four to six letters, so
 that inflected forms count) mined from the training rows: a term is taken if it stands in toxic
 texts almost only, and in more of them than chance allows at the base rate over the whole
-vocabulary.  (Near copies count once: of texts that share any of four smallest word hashes, one
-is looked at.)
+vocabulary.  (Near copies of one label count once: texts that agree in all four smallest hashes of
+a band, of which there are four, are compared with the first text of the band, and folded into it
+if their word sets are alike by ``ALIKE`` at least.)
 
 The trees (Spark ML) are fitted on three quarters of a bounded sample of training rows, the
 isotonic calibration of their margin on the rest.  Labels, lang, source and doc_id are never
@@ -46,6 +47,8 @@ SECOND_PERSON = frozenset("you your yours yourself ur u du dich dir dein deine d
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": "", "#": ""})
 NEAR = 5
 MINED_WORDS = 2000
+#: Bands, hashes of a band, and the Jaccard similarity of the word sets of near copies.
+BANDS, BAND_HASHES, ALIKE = 4, 4, 0.8
 STEMS = (4, 5, 6)
 FEATURES = ("hits", "log_hits", "near_you", "you", "disguised", "obfuscated", "capitals", "shouted", "exclamations", "punctuation", "digits", "log_words")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -94,19 +97,27 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
             100 * text.count("!") / n, len(_MARKS.findall(text)) / chars, len(_DIGIT.findall(text)) / chars, math.log1p(len(words))]
 
 
-def mined_words(fit: DataFrame, most: int = MINED_WORDS) -> list[str]:
-    """Words and stems of the bounded sample that mark toxic texts, at most ``most`` of them."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
+def families(fit: DataFrame) -> DataFrame:
+    """doc_id, label, words of the rows that hold words, near copies of one label folded."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)))
     rows = fit.select("doc_id", "label", words.alias("words")).where(F.size("words") > 0)
+    rows = rows.groupBy("label", "words").agg(F.min("doc_id").alias("doc_id"))  # equal word sets
 
     def smallest(seed: int) -> Column:
         return F.array_min(F.transform("words", lambda w: F.xxhash64(F.lit(seed), w)))
 
-    for seed in range(4):
-        least = smallest(seed)
-        rows = rows.groupBy(least.alias("h")).agg(F.min(F.struct("doc_id", "label", "words")).alias("r")).select("r.*")
-    rows = written(rows, "families")
+    for band in range(BANDS):
+        seeds = range(band * BAND_HASHES, (band + 1) * BAND_HASHES)
+        rows = written(rows.select("doc_id", "label", "words", F.xxhash64("label", *map(smallest, seeds)).alias("h")), "band")
+        first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "words")).alias("r"), F.count("*").alias("n")).where("n > 1").select("h", "r")
+        alike = F.size(F.array_intersect("words", "r.words")) >= ALIKE * F.size(F.array_union("words", "r.words"))
+        copy = (F.col("doc_id") != F.col("r.doc_id")) & alike
+        rows = rows.join(first, "h", "left").where(~F.coalesce(copy, F.lit(False))).select("doc_id", "label", "words")
+    return written(rows, "families")
 
+
+def mined_words(rows: DataFrame, most: int = MINED_WORDS) -> list[str]:
+    """Words and stems of the families that mark toxic texts, at most ``most`` of them."""
     def stems(n: int) -> Column:
         return F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
@@ -131,6 +142,8 @@ class ToxicityModel:
     trees: object | None
     calibration: object | None
     constant: float
+    #: Training rows left out of the mining as near copies of others, or without words.
+    folded: int = 0
 
     def scored(self, df: DataFrame, text: Column) -> DataFrame:
         """df with a column ``score``; every other column of df must be a struct or be named apart
@@ -158,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> ToxicityMod
     rate, n, both = rows.agg(F.avg("label"), F.count("*"), F.count_distinct("label")).first()
     if both < 2:
         return ToxicityModel(Lexicon(INSULTS), None, None, float(rate or 0.0))
-    lexicon = Lexicon([*INSULTS, *mined_words(rows)])
+    apart = families(rows)
+    folded = n - apart.count()
+    lexicon = Lexicon([*INSULTS, *mined_words(apart)])
     calib = F.pmod(F.crc32(F.concat(F.lit("calibrate:"), F.col("doc_id").cast("string")).cast("binary")), F.lit(4)) == 0
     book = written(rows.select("doc_id", F.col("label").cast("double").alias("label"), calib.alias("calib"), vector_of(F.col("text"), lexicon).alias("f")), "features")
     # A bounded table: one task per level keeps the many small jobs of boosting short.
@@ -168,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> ToxicityMod
     if margin.select("label").distinct().count() < 2:  # a tiny sample: calibrate on all of it
         margin = trees.transform(book.select("features", "label")).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="prediction").fit(margin)
-    return ToxicityModel(lexicon, trees, calibration, float(rate))
+    return ToxicityModel(lexicon, trees, calibration, float(rate), folded)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:

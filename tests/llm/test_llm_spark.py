@@ -409,6 +409,18 @@ def test_toxicity_held_out(spark):
     assert left.columns == docs.columns and left.count() == sum(not r.predicted for r in got)
 
 
+def test_only_near_copies_are_folded(spark):
+    rnd = random.Random(21)
+    letters = lambda t: re.sub(r"\d", lambda m: "bcdfghjklm"[int(m[0])], t)
+    rows = [(i, "the and of to in " + letters(prose(rnd, 60, 5000)), i % 5 == 0) for i in range(300)]
+    copies = [(1000 + i, rows[i][1] + " tail", rows[i][2]) for i in range(0, 300, 10)]
+    other = [(2000, rows[1][1], not rows[1][2])]
+    fit = spark.createDataFrame([(i, t, int(y)) for i, t, y in rows + copies + other + [(3000, "", 0)]], "doc_id long, text string, label int")
+    left = {r.doc_id for r in toxicity.families(fit).collect()}
+    assert set(range(300)) | {2000} <= left and 3000 not in left
+    assert len(left) <= 303  # a near copy may be missed by all bands
+
+
 def test_quality_held_out(spark):
     docs, labels = labelled(spark, "quality")
     got = quality_rank.quality(docs, labels).collect()
