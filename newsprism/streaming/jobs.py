@@ -45,15 +45,43 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 6
                        else F.col(f.name) for f in df.schema.fields])
 
 
-def run_to_table(df: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query until the available input is consumed; return what it wrote."""
-    base = stream_dir(spark, name)
+def run_to_table(df: DataFrame, spark: SparkSession, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Run a streaming query until the available input is consumed; return what it wrote.
+
+    A given ``base`` continues the query that ran there."""
+    base = base or stream_dir(spark, name)
     q = (df.writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/chk").outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def run_in_time_order(spark: SparkSession, sf_dir: str, table: str, ts: str, job, name: str, max_files: int = 64) -> DataFrame:
+    """``job(folder)`` (a streaming DataFrame over the table in a folder) run to completion over a
+    table whose files may each span any time; returns what it wrote.
+
+    A table of at most ``max_files`` files is one batch.  A larger one is copied into slices of its
+    event time, as many as it has ``max_files`` files; each slice is appended to the stream's
+    folder when the ones before it are consumed, so that batches follow event time.  Equal times
+    are in one slice; rows without a time are in the first."""
+    whole = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    cuts = -(-len(whole.inputFiles()) // max_files)
+    if cuts <= 1:
+        return run_to_table(job(sf_dir), spark, name)
+    base = stream_dir(spark, name)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    bounds = whole.select(F.percentile_approx(micros, [c / cuts for c in range(1, cuts)], 100 * cuts)).first()[0] or []
+    part = F.lit(0)
+    for b in sorted(set(bounds)):
+        part = part + F.coalesce((micros > b).cast("int"), F.lit(0))
+    whole.withColumn("_slice", part).repartitionByRange(8 * cuts, "_slice", ts).write.partitionBy("_slice").parquet(f"{base}/slices")
+    for c in range(len(set(bounds)) + 1):
+        rows = spark.read.parquet(f"{base}/slices").where(F.col("_slice") == c).drop("_slice")
+        rows.coalesce(max_files).write.mode("append").parquet(f"{base}/in/{table}.parquet")
+        out = run_to_table(job(f"{base}/in"), spark, name, base=base)
+    return out
+
+
 # --- ST1 --------------------------------------------------------------------------------
 
 def _fresh(ttl_ms: int, out: list[str]):
@@ -195,4 +223,4 @@ def events_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("event_type") != "error").alias("ok"))
 
 
-__all__ = ["fresh_arrivals", "failure_state", "run_to_table", "run_upsert", "table_stream"]
+__all__ = ["fresh_arrivals", "failure_state", "run_in_time_order", "run_to_table", "run_upsert", "table_stream"]

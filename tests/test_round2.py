@@ -17,6 +17,7 @@ from newsprism.sinks import files as SK
 from newsprism.sources import metasearch as M
 from newsprism.sources import outlets as O
 from newsprism.sources import serp_html as SH
+from newsprism.plans import queries_streaming
 from newsprism.streaming import jobs as J
 
 FETCHED = dt.datetime(2024, 1, 20)
@@ -144,6 +145,28 @@ def test_fresh_arrivals_do_not_depend_on_batches(spark, tmp_path):
         assert sorted(r.seq for r in got.collect()) == want
 
 
+def test_streams_over_many_files_of_any_time(spark, tmp_path):
+    """More part files than a batch takes, each spanning the whole time."""
+    rnd = random.Random(7)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=rnd.randrange(60 * 24 * 9)), rnd.randrange(12), rnd.choice(["error", "error", "click"]), 1.0, "p") for i in range(700)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    df.repartition(70, "event_id").write.option("maxRecordsPerFile", 10).parquet(str(tmp_path / "many/events.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one/events.parquet"))
+    assert len(spark.read.parquet(str(tmp_path / "many/events.parquet")).inputFiles()) > 64
+    levels, fresh, last, level = [], set(), {}, {}
+    for i, t, u, kind, *_ in sorted(rows, key=lambda r: (r[1], r[0])):
+        level[u] = level.get(u, 0) + 1 if kind == "error" else 0
+        levels.append((str(u), i, kind != "error", level[u]))
+        if u not in last or t > last[u] + dt.timedelta(hours=24):
+            last[u] = t
+            fresh.add((u, t.strftime("%Y-%m-%d %H:%M:%S.%f")))
+    for d in ("one", "many"):
+        assert sorted(tuple(r) for r in queries_streaming.st2_failure_state(spark, str(tmp_path / d)).collect()) == sorted(levels)
+        got = queries_streaming.st1_fresh_arrivals(spark, str(tmp_path / d)).collect()
+        assert len(got) == len(fresh) and {r.fetched_at for r in got} == {t for _, t in fresh}
+
+
 def test_upsert_in_batches_rewrites_touched_buckets_only(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(f"u{i % 40}", f"body{i}", 200 if i % 7 else 403, t0 + dt.timedelta(minutes=i), 24, i) for i in range(200)]
