@@ -45,7 +45,7 @@ _SPLIT = r"[ \t\n\x0B\f\r]+"
 _PUNCTUATION = r"[^\p{L}\p{N} ①②③]+"
 _NUMBER = r"(?<![^ ])[$€£+-]?\(?\d[\d.,:/]*\)?(?=[%.,;:!?)]* |[%.,;:!?)]*$)"
 _UNIT = NUM + r" (?:" + "|".join(u for u in UNITS if u.isascii() and u.isalpha()) + r")(?![\p{L}\p{N}])"
-_NAMES = r"(?<![^ ])\p{Lu}+\p{Ll}\p{L}*+(?![^ ])"
+_NAMES = r"\p{Lu}(?<![^ ]\p{Lu})\p{Lu}*\p{Ll}\p{L}*+(?![^ ])"
 
 
 def spaced(text: Column) -> Column:
@@ -66,13 +66,17 @@ def let(value: Column, body) -> Column:
 
 
 def words(df: DataFrame, key: str) -> DataFrame:
-    """key, line, token (template tokens, names as lower-cased words), named_line, named (the same
-    with names as placeholders) and value (what a word stands for as a slot value)."""
+    """key, flat, line, token (template tokens, names as lower-cased words), named_line, named (the
+    same with names as placeholders)."""
     flat = df.select(F.col(key).cast("long").alias(key), spaced(F.col("text")).alias("flat"))
     both = flat.select(key, "flat", template(F.col("flat")).alias("cased"))
     both = both.select(key, "flat", F.lower("cased").alias("line"), F.lower(F.regexp_replace("cased", _NAMES, NAME)).alias("named_line")).where("line <> ''")
-    return both.select(key, "line", "named_line", F.split("line", " ").alias("token"), F.split("named_line", " ").alias("named"), F.transform(
-        F.split("flat", " "), lambda r: F.lower(F.regexp_replace(r, r"[.,;:!?()]+$", ""))).alias("value"))
+    return both.select(key, "flat", "line", "named_line", F.split("line", " ").alias("token"), F.split("named_line", " ").alias("named"))
+
+
+def values() -> Column:
+    """What each word of ``flat`` stands for as a slot value."""
+    return F.transform(F.split("flat", " "), lambda r: F.lower(F.regexp_replace(r, r"[.,;:!?()]+$", "")))
 
 
 def windows(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -82,19 +86,20 @@ def windows(df: DataFrame, key: str, k: int) -> DataFrame:
     and its slot values (only its exact copy finds it).  A window with names is hashed by the
     template that has them as placeholders, too, if two literal words remain."""
     none = F.lit(0).cast("long")
-    slot = lambda t: t.rlike(f"[{NUM}{UNIT}{NAME}]")
+    slot = lambda t: t.isin(NUM, UNIT, NAME)
     text = words(df, key).withColumn("open", F.col("line").rlike(f"[{NUM}{UNIT}{NAME}]|^ | $|  "))
     at = F.sequence(F.lit(1), F.greatest(F.size("token") - (k - 1), F.lit(1)))
     hashes = lambda c: F.transform(c, lambda t: F.xxhash64(t))
     literal = lambda c: F.transform(c, lambda t: F.when((t == "") | slot(t), none).otherwise(F.xxhash64(t)))
-    exact = F.transform(F.arrays_zip(F.col("token").alias("t"), F.col("value").alias("v")), lambda z: F.xxhash64(F.when(slot(z["t"]), z["v"]).otherwise(z["t"])))
+    exact = F.transform(F.arrays_zip(F.col("token").alias("t"), values().alias("v")), lambda z: F.xxhash64(F.when(slot(z["t"]), z["v"]).otherwise(z["t"])))
     enough = lambda ls, i: F.size(F.array_remove(F.slice(ls, i, k), none)) >= F.least(F.lit(2), F.size("token"))
     row = lambda i, h: F.struct(i.alias("pos"), h.alias("hash"))
     plain = F.when(~F.col("open"), let(hashes("token"), lambda h: F.transform(at, lambda i: row(i, F.xxhash64(F.slice(h, i, k)))))).otherwise(
         let(F.struct(hashes("token").alias("h"), literal("token").alias("l"), exact.alias("x")), lambda a: F.transform(at, lambda i: row(i, F.when(
             enough(a["l"], i), F.xxhash64(F.slice(a["h"], i, k))).otherwise(F.xxhash64(F.lit("exact"), F.slice(a["x"], i, k)))))))
     named = let(F.struct(hashes("named").alias("h"), literal("named").alias("l")), lambda a: F.transform(
-        F.filter(at, lambda i: F.array_contains(F.slice(a["h"], i, k), F.xxhash64(F.lit(NAME))) & enough(a["l"], i)),
+        F.filter(at, lambda i: F.array_contains(F.slice(a["l"], i, k), none) & enough(a["l"], i)
+                 & (~F.col("open") | F.array_contains(F.slice(a["h"], i, k), F.xxhash64(F.lit(NAME))))),
         lambda i: row(i, F.xxhash64(F.slice(a["h"], i, k)))))
     found = F.when(F.col("line") == F.col("named_line"), plain).otherwise(F.concat(plain, named))
     return text.select(key, F.explode(found).alias("w")).select(key, "w.pos", "w.hash")
@@ -113,9 +118,9 @@ def aligned(found: DataFrame, docs: DataFrame, benchmark: DataFrame, k: int) ->
     the item that agree with the document on a diagonal, compared word by word."""
     names = found.select("doc_id").distinct()
     own = words(docs.join(small_side(names), "doc_id", "left_semi"), "doc_id").select(
-        "doc_id", F.col("token").alias("dt"), F.col("named").alias("dn"), F.col("value").alias("dv"))
+        "doc_id", F.col("token").alias("dt"), F.col("named").alias("dn"), values().alias("dv"))
     items = written(words(benchmark, "item_id").where("item_id is not null").select(
-        "item_id", F.col("token").alias("it"), F.col("named").alias("in"), F.col("value").alias("iv")), "item-words")
+        "item_id", F.col("token").alias("it"), F.col("named").alias("in"), values().alias("iv")), "item-words")
     both = own.join(small_side(found), "doc_id").join(small_side(items), "item_id")
     # Places of the item, from 0, that the document has a word for.
     both = both.withColumns({"lo": F.greatest(F.lit(0), -F.col("diagonal")), "hi": F.least(F.size("it"), F.size("dt") - F.col("diagonal")),
@@ -141,7 +146,7 @@ def aligned(found: DataFrame, docs: DataFrame, benchmark: DataFrame, k: int) ->
 def cell(z: Column) -> Column:
     """ok, item, doc: whether two words agree in either reading, and their values if they are slots."""
     ok = (z["it"] == z["dt"]) | ((z["in"] == NAME) & (z["dn"] == NAME))
-    slot = ok & z["in"].rlike(f"[{NUM}{UNIT}{NAME}]")
+    slot = ok & z["in"].isin(NUM, UNIT, NAME)
     return F.struct(ok.alias("ok"), F.when(slot, z["iv"]).alias("item"), F.when(slot, z["dv"]).alias("doc"))
 
 
