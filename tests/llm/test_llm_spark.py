@@ -294,6 +294,79 @@ def test_names_in_any_place_and_case(spark):
     assert leaked(spark, many, [many.lower()]) == ["verbatim"]
 
 
+def brute_leaks(items, docs, k=5, percent=80):
+    """doc_id -> item ids, by comparing the words of both texts on every diagonal.  Plain words,
+    numbers of digits only, and capitalised names; no units."""
+    def read(text):
+        out = []
+        for w in text.split():
+            c = re.sub(r"[^a-zA-Z0-9]", "", w)
+            kind = "num" if c.isdigit() else "name" if re.fullmatch(r"[A-Z]+[a-z][A-Za-z]*", c) else "word"
+            out.append((c.lower(), kind))
+        return out
+
+    def agree(x, y):
+        return (x[1] == y[1] == "num") or x[0] == y[0] or (x[1] == y[1] == "name")
+
+    def seen(xs, ys):
+        """Whether equal hashes would find this window that agrees."""
+        same = all(x[0] == y[0] or x[1] == y[1] == "num" for x, y in zip(xs, ys))
+        if same and (xs_equal := all(x[0] == y[0] for x, y in zip(xs, ys)) or sum(x[1] != "num" and x[0] != "" for x in xs) >= 2):
+            return xs_equal
+        typed = all(x[1] == y[1] and (x[1] != "word" or x[0] == y[0]) for x, y in zip(xs, ys))
+        return typed and sum(x[1] == "word" and x[0] != "" for x in xs) >= 2
+
+    found = defaultdict(set)
+    for i, item in items:
+        a = read(item)
+        for d, text in docs:
+            b, hit = read(text), set()
+            for diagonal in range(1 - len(a), len(b)):
+                places = [p for p in range(len(a)) if 0 <= p + diagonal < len(b)]
+                ok = {p for p in places if agree(a[p], b[p + diagonal])}
+                runs = [p for p in places if all(p + x in ok for x in range(k))]
+                if not any(seen(a[p:p + k], b[p + diagonal:p + diagonal + k]) for p in runs):
+                    continue
+                votes = defaultdict(Counter)
+                for p in {p + x for p in runs for x in range(k)}:
+                    if a[p][1] != "word":
+                        votes[a[p][0]][b[p + diagonal][0]] += 1
+                stands = {v: max(c, key=lambda y: (c[y], y == v, y)) for v, c in votes.items()}
+                hit |= {p for p in runs if all(a[q][1] == "word" or b[q + diagonal][0] == stands[a[q][0]] for q in range(p, p + k))}
+            if 100 * len(hit) >= percent * (len(a) - k + 1):
+                found[d].add(i)
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Items heavy in numbers, names and repeated values, copied, changed, cut and in other case."""
+    rnd = random.Random(31)
+    names, plain = ["Anna", "Boris", "Clara", "Denis", "Elena"], ["the", "buys", "pears", "from", "sells", "apples", "near", "town", "and", "old"]
+
+    def word(share):
+        x = rnd.random()
+        return rnd.choice("2 3 4 7 7 12".split()) if x < share else rnd.choice(names) if x < 2 * share else rnd.choice(plain)
+
+    items = [(i, " ".join(word(rnd.choice([0.1, 0.2, 0.35])) for _ in range(rnd.randrange(8, 30)))) for i in range(25)]
+    docs = []
+    for n in range(120):
+        w = rnd.choice(items)[1].split()
+        swap = {x: rnd.choice("5 9 31".split()) for x in "2 3 4 7 12".split()} | {x: rnd.choice(["Fedor", "Greta", "Henry"]) for x in names}
+        if n % 3:
+            w = [swap.get(x, x) if rnd.random() < 0.97 else word(0.2) for x in w]
+        if n % 4 == 1:
+            w = [x.lower() for x in w]
+        if n % 5 == 2:
+            w = w[rnd.randrange(4):len(w) - rnd.randrange(4)]
+        docs.append((n, " ".join([*(word(0.1) for _ in range(8)), *w, *(word(0.1) for _ in range(8))])))
+    want = brute_leaks(items, docs)
+    hits = decontam.leaks(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = defaultdict(set)
+    for r in hits:
+        got[r.doc_id].add(r.item_id)
+    assert got == want and 40 < len(want) < 120
+
+
 def test_decontamination_is_native(spark):
     df = decontam.decontaminate(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
     plan = df._jdf.queryExecution().toString()
