@@ -1,26 +1,17 @@
-"""Registered queries of the ten operators and of the pipeline: thin calls with production
+"""Registered queries of the thirteen operators and of the pipeline: thin calls with production
 parameters over whole tables, and DuckDB SQL where SQL can express the result."""
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsprism.llm import chat, decontam, license_scan, mixing, neardup, quality_rank, quality_rules, token_prefix, toxicity, warc
+from newsprism.llm import (chat, decontam, license_scan, merkle, mixing, neardup, packing, quality_rank, quality_rules, token_prefix,
+                           toxicity, warc, whitening)
 from newsprism.llm.scratch import table
 
 
-def vocabulary_path() -> str:
-    """The tokenizer file: NEWSPRISM_VOCABULARY, else that of the public tokenizers package."""
-    given = os.environ.get("NEWSPRISM_VOCABULARY")
-    if given:
-        return given
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -52,8 +43,8 @@ def op7_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_prefix.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
+def op8_prefix_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return token_prefix.token_counts(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +60,18 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rank.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return packing.packed(packing.pieces(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -76,7 +79,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_license_scan, op3_arc_to_warc, op4_minhash_neardup, op5_rule_ledger, op6_template_decontamination,
-    op7_toxicity_gbt, op8_prefix_token_counts, op9_chat_parts, op10_pairwise_quality, pipeline)}
+    op7_toxicity_gbt, op8_prefix_token_counts, op9_chat_parts, op10_pairwise_quality, op11_best_fit_packing,
+    op12_embedding_whitening, op13_merkle_manifest, pipeline)}
 
 SQL = {
     "op1_mix_sources": rf"""
@@ -167,5 +171,42 @@ g AS (
   FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars,
   sha256(learned) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g
+""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE b AS MATERIALIZED (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree,
+    concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')) AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+      lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda a, z: xor(a >> 1, 3988292384::UBIGINT * (a & 1))))) AS crc
+  FROM documents),
+l AS MATERIALIZED (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 5 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS forged FROM b),
+d AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS k FROM l),
+t(tree, lv, i, h, n) AS (
+  SELECT tree, 0, i, leaf, n FROM d
+  UNION ALL SELECT tree, lv + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), max((n + 15) // 16) FROM t WHERE n > 1 GROUP BY tree, lv, i // 16),
+s AS MATERIALIZED (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS r, count(*) OVER () AS m FROM t WHERE n = 1),
+u(lv, i, h, n) AS (
+  SELECT 0, r, subroot, m FROM s
+  UNION ALL SELECT lv + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), max((n + 15) // 16) FROM u WHERE n > 1 GROUP BY lv, i // 16),
+nodes AS MATERIALIZED (SELECT tree, lv, i, h, n FROM t UNION ALL SELECT '', lv, i, h, n FROM u),
+f(k, tree, lv, i, n, node, proof) AS (
+  SELECT k, tree, 0, i, n, coalesce(forged, leaf), '' FROM d
+  UNION ALL
+  SELECT f.k, f.tree, f.lv + 1, f.i // 16, max((f.n + 15) // 16), sha256(string_agg(CASE WHEN x.i = f.i THEN f.node ELSE x.h END, '' ORDER BY x.i)),
+    max(f.proof) || coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i <> f.i), '')
+  FROM f JOIN nodes x ON x.tree = f.tree AND x.lv = f.lv AND x.i // 16 = f.i // 16 WHERE f.n > 1 GROUP BY f.k, f.tree, f.lv, f.i),
+g(k, lv, i, n, node, proof) AS (
+  SELECT k, 0, s.r, s.m, node, proof FROM f JOIN s ON s.tree = f.tree WHERE f.n = 1
+  UNION ALL
+  SELECT g.k, g.lv + 1, g.i // 16, max((g.n + 15) // 16), sha256(string_agg(CASE WHEN x.i = g.i THEN g.node ELSE x.h END, '' ORDER BY x.i)),
+    max(g.proof) || coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i <> g.i), '')
+  FROM g JOIN nodes x ON x.tree = '' AND x.lv = g.lv AND x.i // 16 = g.i // 16 WHERE g.n > 1 GROUP BY g.k, g.lv, g.i)
+SELECT d.doc_id, d.leaf, s.subroot, w.root, sha256(g.proof) AS proof_sha256, g.node AS folded_root, g.node = w.root AS verified
+FROM d JOIN s ON s.tree = d.tree JOIN g ON g.k = d.k AND g.n = 1, (SELECT h AS root FROM u WHERE n = 1) w
 """,
 }

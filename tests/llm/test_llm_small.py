@@ -16,7 +16,7 @@ from newsprism.llm import token_prefix as T
 from newsprism.llm import toxicity as X
 from newsprism.llm import warc as W
 from newsprism.llm.bytewords import mix
-from newsprism.llm.queries import vocabulary_path
+import public_tokenizers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = ["", None, " ", "one", "a b c d", "a b c d e", "A b C d e a B c d e", "x\ty\vz\fq\rr\n\ns  t", "é ü ñ 漢字 😀 é ü ñ 漢字 😀 é",
@@ -82,14 +82,14 @@ def test_measurements_against_loops():
 
 @pytest.fixture(scope="module")
 def counter():
-    with open(vocabulary_path(), encoding="utf-8") as f:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         return T.PrefixCounter(f.read())
 
 
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(vocabulary_path())
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 SPECIAL = ["a<|endoftext|>b  <|endoftext|>", "<|endoftext|>", "abc!<|end", "  \n\n x", "I'll 'r we're!!'s 　  z", "aaaa" * 900,

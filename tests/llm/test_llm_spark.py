@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from newsprism.llm import chat, decontam, mixing, neardup, quality_rank, quality_rules, toxicity, warc
 from newsprism.llm import license_scan as L
 from newsprism.llm import token_prefix as T
-from newsprism.llm.queries import vocabulary_path
+import public_tokenizers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -163,16 +163,16 @@ def test_license_scan_rows(spark):
 
 def test_token_counts_rows(spark):
     from tokenizers import Tokenizer
-    lib = Tokenizer.from_file(vocabulary_path())
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [(1, None), (2, ""), (3, "word " * 3000), (4, "é漢😀 <|endoftext|> x"), (None, "a"), (4, "again")]
-    got = T.token_counts(docs_of(spark, rows), vocabulary_path(), 50).collect()
+    got = T.token_counts(docs_of(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), 50).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got), key=str) == sorted(
         ((i, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 50) for i, t in rows), key=str)
     for r in got:
         text = dict((i, t) for i, t in rows if i != 4).get(r.doc_id)
         if text:
             assert len(lib.encode(text[:r.cut_chars], add_special_tokens=False).ids) <= 50
-    assert T.token_counts(docs_of(spark, []), vocabulary_path()).count() == 0
+    assert T.token_counts(docs_of(spark, []), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_warc_pages(spark):
