@@ -24,6 +24,7 @@ from newsprism.functions.html import (
     body_of, html_text, main_region, strip_noise,
 )
 from newsprism.functions.text import decode_entities, ustrip
+from newsprism.operators.keyfilter import maybe_in
 
 # Fixed value: a result counts when its stripped length is above this.
 MIN_CONTENT_LENGTH = 50
@@ -123,18 +124,25 @@ def extract_text(df: DataFrame, html_col: str = "html", out: str = "article_text
             .drop("_clean", "_region"))
 
 
-def fill_article_text(articles: DataFrame, snapshots: DataFrame,
-                      extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS) -> DataFrame:
+def fill_article_text(articles: DataFrame, snapshots: DataFrame, extractors: Sequence[tuple[str, Extractor]] = DEFAULT_EXTRACTORS,
+                      as_of: Column | None = None) -> DataFrame:
     """X2 = P8 + J4 + X1: only rows with empty text, HTML attached once per url by a left join.
 
-    ``snapshots`` has ``url, response_body, status_code`` and may have ``fetched_at, seq``; only
-    non-empty 200s are used and one body per url is kept (the latest; without times the largest in
-    text order), so the join never multiplies article rows.
+    ``snapshots`` has ``url, response_body, status_code`` and may have ``fetched_at, seq, ttl_hours``;
+    of the 200s one body per url is kept (the latest; without times the largest in text order), so the
+    join never multiplies article rows; an empty body is none.  With ``as_of``, a url whose latest
+    snapshot has expired by then gets no body.  A Bloom filter of the urls that lack a text stands
+    at the scan of the snapshots: other bodies are neither sorted nor shuffled.
     """
-    good = snapshots.filter((F.col("status_code") == 200) & (F.coalesce(F.length("response_body"), F.lit(0)) > 0))
-    when = [c for c in ("fetched_at", "seq") if c in snapshots.columns]
-    html = good.groupBy(F.col("url").alias("_url")).agg(F.max(F.struct(*when, "response_body"))["response_body"].alias("_html"))
     need = F.coalesce(F.col("article_text"), F.lit("")) == ""
+    wanted = articles.where(need & F.col("url").isNotNull()).select("url")
+    good = snapshots.filter(F.col("status_code") == 200)
+    lives = as_of is not None and {"fetched_at", "ttl_hours"} <= set(snapshots.columns)
+    parts = [c for c in ("fetched_at", "seq") if c in snapshots.columns] + (["ttl_hours"] if lives else []) + ["response_body"]
+    best = maybe_in(good.select("url", *parts), wanted, ["url"]).groupBy(F.col("url").alias("_url")).agg(F.max(F.struct(*parts)).alias("_s"))
+    if lives:
+        best = best.where((F.unix_micros(as_of) - F.unix_micros("_s.fetched_at")) / F.lit(3_600_000_000.0) <= F.col("_s.ttl_hours"))
+    html = best.select("_url", F.nullif(F.col("_s.response_body"), F.lit("")).alias("_html"))
     # Rows that have a text get a null key and so no body.
     joined = articles.withColumn("_of", F.when(need, F.col("url"))).join(html, F.col("_of") == F.col("_url"), "left")
     filled = with_clean_html(joined, "_html").withColumn("article_text", F.when(~need, F.col("article_text"))

@@ -27,8 +27,10 @@ DEFAULT_BUCKET_SECONDS = 3600
 
 
 def failure_levels(log: DataFrame, key: str = "key", ts: str = "ts", ok: str = "ok", seq: str = "seq",
-                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """Add ``level``: consecutive failures up to and including this row (0 after a success)."""
+                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS, start: DataFrame | None = None) -> DataFrame:
+    """Add ``level``: consecutive failures up to and including this row (0 after a success).
+
+    ``start`` (key, start_level: one row per key) goes before a key's first row: the level it had."""
     b = F.floor(F.unix_seconds(F.col(ts)) / F.lit(bucket_seconds)).cast("bigint")
     d = log.withColumn("_b", b).withColumn("_f", (~F.col(ok)).cast("int"))
     # 1. inside each (key, bucket): failures so far, and failures so far at the last success so far.
@@ -46,7 +48,11 @@ def failure_levels(log: DataFrame, key: str = "key", ts: str = "ts", ok: str = "
     lob = summ.select(key, F.col("_b").alias("_lob"), (F.col("_cum_before") + F.col("_nfail")).alias("_lob_cum"),
                       F.col("_tail").alias("_lob_tail"))
     summ = summ.join(lob, [key, "_lob"], "left")
-    carry = F.when(F.col("_lob").isNull(), F.col("_cum_before")).otherwise(
+    before = F.col("_cum_before")
+    if start is not None:
+        summ = summ.join(start.select(key, "start_level"), key, "left")
+        before = before + F.coalesce(F.col("start_level"), F.lit(0))
+    carry = F.when(F.col("_lob").isNull(), before).otherwise(
         F.col("_lob_tail") + F.col("_cum_before") - F.col("_lob_cum"))
     summ = summ.select(key, "_b", carry.alias("_carry"))
     # 3. rows keep their (key, bucket) partitioning; the carry joins in.

@@ -23,7 +23,6 @@ from newsprism.plans.articles import STRATEGY_ORDER
 from newsprism.sinks.files import output_stem, write_all
 from newsprism.sources import metasearch as M
 from newsprism.sources import serp_html as SH
-from newsprism.sources import snapshots as SN
 from newsprism.sources.outlets import outlet_domains
 
 SourceFn = Callable[[dict, str], DataFrame]
@@ -106,7 +105,7 @@ def collect_articles(archives: dict, cfg: RunConfig, out_dir: str | None = None,
                      counters: dict | None = None) -> DataFrame:
     """The reference's run on archived data.  ``archives`` may hold ``json`` (metasearch
     pages), ``html`` (result pages), ``corpus`` (for title expansion) and ``snapshots``
-    (``url, response_body, status_code``, one row per url).  Pass ``counters={}`` to get
+    (``url, response_body, status_code``, and times where there are several per url).  Pass ``counters={}`` to get
     ``Observation`` objects per stage (found, unique, relevant, final); they are filled by
     the first action on the returned DataFrame."""
     if cfg.time_period and cfg.as_of is None:
@@ -133,10 +132,7 @@ def collect_articles(archives: dict, cfg: RunConfig, out_dir: str | None = None,
     if cfg.filter_widened and (cfg.expand_with_titles or cfg.outlets is not None):
         arts = SEL.filter_relevant(arts, cfg.query, cfg.min_term_matches)
     if cfg.extract_articles and "snapshots" in archives:
-        snaps = archives["snapshots"]
-        if cfg.as_of is not None and {"fetched_at", "ttl_hours"} <= set(snaps.columns):
-            snaps = SN.fresh(snaps, cfg.as_of)  # an expired snapshot is no snapshot
-        arts = X.fill_article_text(arts, snaps, cfg.extractors)
+        arts = X.fill_article_text(arts, archives["snapshots"], cfg.extractors, cfg.as_of)  # an expired snapshot is no snapshot
     arts = _observe(arts, counters, "final", with_text=True)
     if out_dir and formats:
         write_all(arts, out_dir, output_stem(cfg.query, max_pages, cfg.time_period), formats, max_chars=cfg.max_chars, more=cfg.writers)

@@ -10,7 +10,9 @@ from newsprism.operators import fetchlog as FL
 from newsprism.operators.dedup import first_wins
 from newsprism.plans import sqlgen as S
 from newsprism.plans.catalog import register
+from newsprism.session import scratch_path
 from newsprism.sources import snapshots as SN
+from newsprism.sources import store as ST
 from newsprism.sources.tables import read_table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -58,7 +60,7 @@ SELECT url, response_body, status_code, seq FROM (
 
 def s12_snapshot_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """size, what clear_expired deletes, and what stays -- one aggregate pass over the store."""
-    store = SN.latest(SN.events_snapshots(spark, sf_dir))
+    store = SN.newest(SN.events_snapshots(spark, sf_dir), ["ttl_hours"])
     old = SN.age_hours(_as_of()) > F.col("ttl_hours")
     return store.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(old).alias("n_expired"),
                      F.count_if(~old).alias("n_left"))
@@ -69,6 +71,25 @@ SELECT count(*) AS n_total, count(*) FILTER (WHERE {AGE} > ttl_hours) AS n_expir
        count(*) FILTER (WHERE {AGE} <= ttl_hours) AS n_left FROM ({LATEST})""")(s12_snapshot_expire)
 
 
+def s12_snapshot_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written to a store, expired and purged: after each step, what was deleted and what is left."""
+    rows = SN.events_snapshots(spark, sf_dir)
+    store = ST.snapshot_store(spark, scratch_path(spark, "purge"), rows.schema)
+    ST.put(store, rows)
+    steps = [("put", 0, store.size())]
+    steps.append(("expire", ST.expire(store, _as_of()), store.size()))
+    steps.append(("purge", ST.purge(store), store.size()))
+    return spark.createDataFrame(steps, "step string, n_deleted long, n_left long")
+
+
+_OK_LATEST = f"""SELECT fetched_at, ttl_hours FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, seq DESC) AS rn FROM ({EV_SNAP}) WHERE status_code = 200) WHERE rn = 1"""
+register("s12_snapshot_purge", f"""
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE {AGE} > ttl_hours) AS old FROM ({_OK_LATEST}))
+SELECT 'put' AS step, 0::BIGINT AS n_deleted, n AS n_left FROM c
+UNION ALL SELECT 'expire', old, n - old FROM c UNION ALL SELECT 'purge', n - old, 0 FROM c""")(s12_snapshot_purge)
+
+
 def j3_fetch_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     snaps = SN.events_snapshots(spark, sf_dir)
     frontier = read_table(spark, sf_dir, "pages").select("url").unionByName(snaps.select("url")).distinct()

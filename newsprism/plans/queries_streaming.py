@@ -12,8 +12,8 @@ from newsprism.streaming import jobs as J
 
 
 def st1_fresh_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = J.run_in_time_order(spark, sf_dir, "events", "ts", lambda d: J.fresh_arrivals(J.events_snapshot_stream(spark, d)), "fresh")
-    return out.select("url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"))
+    out = J.run_in_time_order(spark, sf_dir, "events", "ts", lambda d, base: J.fresh_arrivals(J.events_arrival_stream(spark, d), spark, base), "fresh")
+    return out.select(F.col("key").alias("url"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"))
 
 
 register("st1_fresh_arrivals", f"""
@@ -24,7 +24,7 @@ SELECT url, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS fetched_at FROM r""")(st1_fre
 
 
 def st2_failure_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.run_in_time_order(spark, sf_dir, "events", "ts", lambda d: J.failure_state(J.events_log_stream(spark, d)), "levels")
+    return J.run_in_time_order(spark, sf_dir, "events", "ts", lambda d, base: J.failure_state(J.events_log_stream(spark, d), spark, base), "levels")
 
 
 register("st2_failure_state", """

@@ -1,9 +1,9 @@
 """Page snapshots with a time to live.
 
 Table: ``url, response_body, status_code, fetched_at timestamp, ttl_hours int``
-(+ ``seq`` to break ties between writes of the same instant).  The store is a
-parquet directory; every change writes a new version (``write_snapshots``),
-last write wins per url.
+(+ ``seq`` to break ties between writes of the same instant); last write wins per url.
+Who wins is decided on narrow rows; bodies are fetched for the winners only.
+``sources.store`` keeps such a table on disk, in versions.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsprism.operators.keyfilter import flagged, maybe_in
 from newsprism.sources.tables import read_table
 
 SNAPSHOT_COLUMNS = ["url", "response_body", "status_code", "fetched_at", "ttl_hours", "seq"]
@@ -22,22 +23,43 @@ def age_hours(as_of: Column, fetched_at: str = "fetched_at") -> Column:
     return (F.unix_micros(as_of) - F.unix_micros(F.col(fetched_at))) / F.lit(3_600_000_000.0)
 
 
-def latest(snapshots: DataFrame) -> DataFrame:
-    """S11 read side: one row per url, the latest write (fetched_at, then seq) wins.
+KEY = ["url", "fetched_at", "seq"]
+
+
+def newest(snapshots: DataFrame, more: list[str] = ()) -> DataFrame:
+    """url, fetched_at, seq and the narrow columns ``more`` of the latest write per url (fetched_at, then
+    seq).  No body is read; a url written a million times is combined map-side."""
+    rest = [c for c in ("fetched_at", "seq", *more)]
+    return (snapshots.groupBy("url").agg(F.max(F.struct(*rest)).alias("_s"))
+            .select("url", *[F.col(f"_s.{c}").alias(c) for c in rest]))
+
+
+def bodies_of(winners: DataFrame, snapshots: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the writes that ``winners`` (url, fetched_at, seq, one per url) name.
+
+    A Bloom filter of the winners stands at the scan, so that only their bodies are shuffled.
+    Writes that agree in all three keys can't be told apart: the largest in text order counts."""
+    some = maybe_in(snapshots.select(*dict.fromkeys([*KEY, *columns])), winners, KEY)
+    wins = winners.select(F.col("url").alias("_u"), F.col("fetched_at").alias("_t"), F.col("seq").alias("_q"))
+    same = F.col("url").eqNullSafe(F.col("_u")) & F.col("fetched_at").eqNullSafe(F.col("_t")) & F.col("seq").eqNullSafe(F.col("_q"))
+    payload = [c for c in columns if c != "url"]
+    return (some.join(wins, same, "left_semi").groupBy("url").agg(F.max(F.struct(*payload)).alias("_s"))
+            .select("url", *[F.col(f"_s.{c}").alias(c) for c in payload]))
 
-    ``max_by`` is a partial aggregate: a url written a million times is combined map-side.
-    """
-    payload = F.struct(*[F.col(c) for c in SNAPSHOT_COLUMNS if c != "url"])
-    order = F.struct(F.col("fetched_at"), F.col("seq"))
-    return (snapshots.groupBy("url").agg(F.max_by(payload, order).alias("_s"))
-            .select("url", *[F.col(f"_s.{c}").alias(c) for c in SNAPSHOT_COLUMNS if c != "url"]))
+
+def latest(snapshots: DataFrame) -> DataFrame:
+    """S11 read side: one row per url, the latest write (fetched_at, then seq) wins."""
+    return bodies_of(newest(snapshots), snapshots, SNAPSHOT_COLUMNS).select(*SNAPSHOT_COLUMNS)
 
 
 def upsert(current: DataFrame, incoming: DataFrame, only_ok: bool = True) -> DataFrame:
-    """``INSERT OR REPLACE`` of a batch; the fetch layer only stores status 200."""
+    """``INSERT OR REPLACE`` of a batch into ``current`` (one row per url); the fetch layer only
+    stores status 200.  Rows of ``current`` whose url the batch doesn't hold stay where they are."""
     if only_ok:
         incoming = incoming.filter(F.col("status_code") == 200)
-    return latest(current.select(*SNAPSHOT_COLUMNS).unionByName(incoming.select(*SNAPSHOT_COLUMNS)))
+    split = flagged(current.select(*SNAPSHOT_COLUMNS), incoming, ["url"])
+    met = split.where("_maybe").drop("_maybe").unionByName(incoming.select(*SNAPSHOT_COLUMNS))
+    return split.where("not _maybe").drop("_maybe").unionByName(latest(met))
 
 
 def fresh(snapshots: DataFrame, as_of: Column) -> DataFrame:
@@ -52,23 +74,13 @@ def expired(snapshots: DataFrame, as_of: Column) -> DataFrame:
 
 def lookup(frontier: DataFrame, snapshots: DataFrame, as_of: Column) -> DataFrame:
     """S10 as a join: each frontier url gets body/status of its fresh snapshot, or nulls."""
-    hit = fresh(latest(snapshots), as_of).select("url", "response_body", "status_code")
-    return frontier.join(hit, "url", "left")
+    hit = fresh(newest(snapshots, ["ttl_hours"]), as_of).join(frontier.select("url").distinct(), "url", "left_semi")
+    return frontier.join(bodies_of(hit, snapshots, ["url", "response_body", "status_code"]), "url", "left")
 
 
 def to_fetch(frontier: DataFrame, snapshots: DataFrame, as_of: Column) -> DataFrame:
     """Urls with no fresh snapshot (a cache hit skips the fetch)."""
-    return frontier.join(fresh(latest(snapshots), as_of).select("url"), "url", "left_anti")
-
-
-def write_snapshots(df: DataFrame, path: str) -> str:
-    """Write a new version of the store (never overwrites the version being read)."""
-    df.select(*SNAPSHOT_COLUMNS).write.mode("errorifexists").parquet(path)
-    return path
-
-
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return frontier.join(fresh(newest(snapshots, ["ttl_hours"]), as_of).select("url"), "url", "left_anti")
 
 
 # --- the driver's events table as a fetch log / snapshot feed -------------------
@@ -93,9 +105,8 @@ def events_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_snapshots(spark: SparkSession, sf_dir: str, fetched_at: str = "2024-01-20 00:00:00") -> DataFrame:
-    """The archived ``pages`` as a snapshot store: one row per url (the highest page id wins)."""
+    """The archived ``pages`` as snapshot writes; of one url the highest page id is the latest."""
     p = read_table(spark, sf_dir, "pages")
-    snaps = p.select("url", F.col("html").alias("response_body"), F.lit(200).alias("status_code"),
-                     F.to_timestamp(F.lit(fetched_at)).alias("fetched_at"),
-                     F.lit(DEFAULT_TTL_HOURS).alias("ttl_hours"), F.col("page_id").alias("seq"))
-    return latest(snaps)
+    return p.select("url", F.col("html").alias("response_body"), F.lit(200).alias("status_code"),
+                    F.to_timestamp(F.lit(fetched_at)).alias("fetched_at"),
+                    F.lit(DEFAULT_TTL_HOURS).alias("ttl_hours"), F.col("page_id").alias("seq"))

@@ -119,7 +119,7 @@ def test_stream_equals_batch(spark, tmp_path):
     log = spark.createDataFrame(rows, "key string, ts timestamp, seq bigint, ok boolean")
     log.write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
-    got = {r.seq: r.level for r in J.run_to_table(J.failure_state(stream), spark, "t").collect()}
+    got = {r.seq: r.level for r in J.failure_state(stream, spark, str(tmp_path / "levels")).collect()}
     want = {r.seq: r.level for r in FL.failure_levels(log).collect()}
     assert got == want
     snaps = spark.createDataFrame([("u1", "a", 200, t0, 24, 1), ("u1", "b", 200, t0 + dt.timedelta(hours=1), 24, 2),
@@ -129,8 +129,8 @@ def test_stream_equals_batch(spark, tmp_path):
     sstream = spark.readStream.schema(snaps.schema).parquet(str(tmp_path / "snaps"))
     store = J.run_upsert(sstream, spark)
     assert sorted((r.url, r.response_body) for r in store.collect()) == [("u1", "b")]
-    fresh = J.run_to_table(J.fresh_arrivals(sstream), spark, "f")
-    assert sorted(r.url for r in fresh.collect()) == ["u1", "u2"]
+    fresh = J.fresh_arrivals(sstream.selectExpr("url AS key", "fetched_at AS ts", "seq"), spark, str(tmp_path / "fresh"))
+    assert sorted(r.key for r in fresh.collect()) == ["u1", "u2"]
     assert sorted(tuple(r) for r in SN.upsert(snaps.limit(0), snaps).select("url", "seq").collect()) == [("u1", 2)]
 
 
