@@ -216,3 +216,42 @@ def test_closed_form_places_are_those_of_the_log():
         assert len(log) == sum(map(len, nodes))
         for level, row in enumerate(nodes):
             assert [log[merkle.place(level, k, n, levels)] for k in range(len(row))] == row
+
+
+# --- 4: pairs that are compared ---------------------------------------------------------------------
+
+def test_parity_maps_never_exceed_the_difference():
+    from newsprism.llm import neardup
+    rnd = np.random.default_rng(9)
+    for n, m in ((5, 5), (100, 3), (400, 90)):
+        common = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+        x, y = (np.unique(np.append(common, rnd.integers(0, 1 << 63, m, dtype=np.uint64))) for _ in range(2))
+        differ = int(np.bitwise_count(neardup.parity(x) ^ neardup.parity(y)).sum())
+        assert differ <= len(np.setxor1d(x, y))
+    assert not (neardup.parity(x) ^ neardup.parity(x)).any()
+
+
+def test_excerpts_are_linked_without_comparing_all_pairs(spark, monkeypatch):
+    """Excerpts of one document, each without another fifth: few pairs pass the bounds."""
+    from newsprism.llm import neardup
+    words, n = [f"w{i}" for i in range(600)], 100
+    rows = [(0, " ".join(words))]
+    for i in range(1, n + 1):
+        cut = 480 * i // n
+        rows.append((i, " ".join(words[:cut] + words[cut + 120:])))
+    seen, compare = [], neardup.compared
+
+    def counted(pairs, sets, percent):
+        seen.append(pairs.count())
+        return compare(pairs, sets, percent)
+    monkeypatch.setattr(neardup, "compared", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                ra, rb = root[a], root[b]
+                root = {k: min(ra, rb) if v in (ra, rb) else v for k, v in root.items()}
+    assert got == root
+    assert sum(seen) < n * (n - 1) / 4
