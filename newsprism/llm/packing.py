@@ -30,7 +30,9 @@ columns are never read.
 from __future__ import annotations
 
 import json
+import string
 from collections.abc import Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -48,8 +50,9 @@ BAND, SHORT = 3, 64
 #: Sequences that one row of an opening stands for at most.
 RUN = 1 << 16
 #: Words that a worker remembers at most, and bytes of text encoded at a time.
-MEMO_WORDS, STEP_BYTES = 300_000, 8 << 20
-ENDS = frozenset(".,;:!?")
+MEMO_WORDS, STEP_BYTES = 400_000, 8 << 20
+#: Marks that are split off the end of a word, a run at a time; runs that a worker remembers at most.
+MARKS, MEMO_RUNS = string.punctuation, 10_000
 
 
 # --- pieces ---------------------------------------------------------------------------------
@@ -64,11 +67,18 @@ class WordIds:
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
-        self.marks = {m: self._encoded([m])[0] for m in ENDS}
+        self.marks: dict[str, bytes] = {}
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _mark(self, run: str) -> bytes:
+        if run not in self.marks:
+            if len(self.marks) >= MEMO_RUNS:
+                self.marks.clear()
+            self.marks[run] = self._encoded([run])[0]
+        return self.marks[run]
+
     def _letters(self, words: list[str]) -> list[bytes]:
         """Words of letters alone are one run each, and a run's last id closes it: encoded together."""
         ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -81,57 +91,62 @@ class WordIds:
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         plain, other = [], []
         for w in words:
-            (plain if w.isalpha() and max(w) < "ɐ" and w.lower().isalpha() else other).append(w)
+            letters = w.isalpha() and (w.isascii() or max(w) < "ɐ" and w.lower().isalpha())
+            (plain if letters else other).append(w)
         new = {}
         for i in range(0, len(plain), 2000):
             new.update(zip(plain[i:i + 2000], self._letters(plain[i:i + 2000])))
         new.update(zip(other, self._encoded(other)))
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            for k in list(self.memo)[:len(self.memo) // 2]:
-                del self.memo[k]
-        if len(new) <= MEMO_WORDS // 2:
-            self.memo.update((w, i) for w, i in new.items() if len(w) <= 64)
+        self.memo.update((w, i) for w, i in new.items() if len(w) <= 64)
+        if len(self.memo) > MEMO_WORDS:          # the oldest go; an answer in ``new`` needs no memory
+            self.memo = dict(islice(self.memo.items(), len(self.memo) - MEMO_WORDS // 2, None))
         return new
 
     def words(self, words: list[str]) -> list[bytes]:
-        """Ids of words (no white space inside).  ASCII case is folded and a closing mark split off
+        """Ids of words (no white space inside).  ASCII case is folded and closing marks are split off
         where that can't change ids."""
-        keys, marks = [], []
-        for w in words:
-            mark = b""
-            if "<|" not in w:
-                if len(w) > 1 and w[-1] in ENDS and w[-2] < "ɐ" and w[-2].lower()[-1].isalnum():
-                    mark, w = self.marks[w[-1]], w[:-1]
-                if w.isascii():
-                    w = w.lower()
-            keys.append(w)
-            marks.append(mark)
         known = self.memo.get
-        out = [known(k) for k in keys]
-        missing = {k for k, i in zip(keys, out) if i is None}
-        if missing:
-            new = self._learn(sorted(missing))
-            out = [new[k] if i is None else i for k, i in zip(keys, out)]
-        return [i + m if m else i for i, m in zip(out, marks)]
+        out: list[bytes | None] = []
+        late: list[tuple[int, str, bytes]] = []
+        for w in words:
+            ids = known(w)
+            if ids is None:
+                key, mark = w, b""
+                if "<|" not in w:
+                    body = w.rstrip(MARKS)
+                    if body and body != w and body[-1] < "ɐ" and body[-1].lower()[-1].isalnum():
+                        key, mark = body, self._mark(w[len(body):])
+                    if key.isascii():
+                        key = key.lower()
+                ids = known(key)
+                if ids is None:
+                    late.append((len(out), key, mark))
+                elif mark:
+                    ids += mark
+            out.append(ids)
+        if late:
+            new = self._learn(sorted({key for _, key, _ in late}))
+            for at, key, mark in late:
+                out[at] = new[key] + mark
+        return out
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, a 0 after each text's, and the texts' bounds in them."""
         parts = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         coded = parts.flatten().dictionary_encode()
-        known = self.words(coded.dictionary.to_pylist())
+        known = self.words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         pool = np.frombuffer(b"".join(known), dtype="<u4")
         sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
         starts = np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy().astype(np.int64)
+        at = coded.indices.to_numpy()
         n_words = np.diff(parts.offsets.to_numpy()).astype(np.int64)
         size, start = sizes[at], starts[at]
         upto = np.concatenate([[0], np.cumsum(size)])
-        flat = pool[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
-        word_bounds = np.concatenate([[0], np.cumsum(n_words)])
-        bounds = upto[word_bounds] + np.arange(len(texts) + 1)
-        ids = np.zeros(bounds[-1], dtype="<u4")
-        ids[np.arange(upto[-1]) + np.repeat(np.arange(len(texts)), np.diff(upto[word_bounds]))] = flat
-        return ids, bounds
+        kind = np.int32 if upto[-1] + len(pool) < 1 << 31 else np.int64
+        ids = pool[np.repeat((start - upto[:-1]).astype(kind), size) + np.arange(upto[-1], dtype=kind)]
+        ends = upto[np.cumsum(n_words)]
+        bounds = np.concatenate([[0], ends]) + np.arange(len(texts) + 1)
+        return np.insert(ids, ends, 0), bounds
 
 
 def _cut(ids: np.ndarray, bounds: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
@@ -234,7 +249,7 @@ def _opened(spark, opens: dict[int, int], taken: dict[int, int], first: int, lim
         rows += [(s, taken[s] + i, min(RUN, n - i), first + i) for i in range(0, n, RUN)]
         first += n
     runs = spark.createDataFrame(rows, "length long, rank long, n long, sequence_id long")
-    runs = runs.repartition(min(len(rows), 10_000)) if len(rows) > 32 else runs
+    runs = runs.repartition(1 + sum(opens.values()) // RUN)
     each = runs.select("length", "rank", "sequence_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     return each.select((F.col("sequence_id") + F.col("i")).alias("sequence_id"), (F.lit(limit) - F.col("length")).alias("gap"), "length",
                        (F.col("rank") + F.col("i")).alias("rank"), F.lit(1).cast("long").alias("take"), F.lit(0).cast("long").alias("offset"))
