@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsprism.functions.dates import iso_format
-from newsprism.functions.text import col_
+from newsprism.functions.text import any_phrase, col_
 
 # Anti-bot challenge indicators of the fetch layer (matched case-insensitively).
 BLOCKED_INDICATORS = [
@@ -23,9 +23,7 @@ def looks_blocked(text, headers) -> Column:
     h = col_(headers)
     json_ct = F.exists(F.map_entries(F.coalesce(h, F.create_map().cast("map<string,string>"))),
                        lambda e: (F.lower(e["key"]) == "content-type") & F.contains(F.lower(e["value"]), F.lit("application/json")))
-    low = F.lower(t)
-    hit = F.exists(F.array(*[F.lit(p.lower()) for p in BLOCKED_INDICATORS]), lambda p: F.contains(low, p))
-    return (t != "") & ~json_ct & hit
+    return (t != "") & ~json_ct & any_phrase(t, [p.lower() for p in BLOCKED_INDICATORS])
 
 
 def fetch_blocked(status, text, headers) -> Column:

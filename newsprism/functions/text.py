@@ -8,6 +8,8 @@ RE2 (no look-around, no back references, no ``(?U)`` which RE2 reads as
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,3 +128,9 @@ def decode_entities(c) -> Column:
 def strip_tags(c) -> Column:
     """Replace every tag by a space (text content of a fragment)."""
     return F.regexp_replace(col_(c), r"<[^>]*>", " ")
+
+
+def any_phrase(text, phrases: list[str]) -> Column:
+    """Whether the text, lower-cased once, holds one of the (lower-case) phrases."""
+    low = F.array(F.lower(F.coalesce(col_(text), F.lit(""))))
+    return F.exists(low, lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in phrases]))

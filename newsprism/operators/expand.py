@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from newsprism.functions.urls import outlet_domain
 from newsprism.operators.dedup import dedup_articles
 from newsprism.operators.select import term_hits, query_terms
+from newsprism.session import scratch_path
 
 SEGMENT_SHIFT = 1 << 60
 GROUP_SHIFT = 1 << 40
@@ -70,16 +71,22 @@ def top_k_per_group(df: DataFrame, groups: list[str], order: str, k: int) -> Dat
 
 
 def positions(df: DataFrame, col: str, out: str = "pos", partitions: int | None = None) -> DataFrame:
-    """0-based position of every row in ``col`` order (ties in any order), without a
-    single-partition window: range-partition, number rows per partition, add offsets."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    srt = (df.select(col).repartitionByRange(n, col).sortWithinPartitions(col)
-           .withColumn("_pid", F.spark_partition_id()))
-    local = srt.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy(col)) - 1)
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
-    return local.join(F.broadcast(offs), "_pid").select(col, (F.col("_off") + F.col("_lr")).cast("bigint").alias(out))
+    """0-based position of every row in ``col`` order (ties in any order), without a single-partition window.
+
+    The column is range-sorted into files once; a position is the place in the file plus the rows of the
+    files before it.  The order is that of the stored files: a task that is computed again, or a
+    second pass, sees the same positions."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, narrow = scratch_path(spark, "positions"), df.select(col)
+    narrow.repartitionByRange(n, col).sortWithinPartitions(col).write.parquet(path)
+    name = F.col("_metadata.file_name")
+    rows = spark.read.schema(narrow.schema).parquet(path).select(
+        col, F.col("_metadata.row_index").alias("_at"), F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("_part"), name.alias("_file"))
+    counts = rows.groupBy("_part", "_file").agg(F.count(F.lit(1)).alias("_n"))  # a row per file
+    before = F.sum("_n").over(Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1))
+    offs = counts.select("_file", F.coalesce(before, F.lit(0)).alias("_off"))
+    return rows.join(F.broadcast(offs), "_file").select(col, (F.col("_off") + F.col("_at")).cast("bigint").alias(out))
 
 
 def global_rank(df: DataFrame, col: str, out: str = "rank", partitions: int | None = None) -> DataFrame:
@@ -87,20 +94,46 @@ def global_rank(df: DataFrame, col: str, out: str = "rank", partitions: int | No
     return positions(df.select(col).distinct(), col, out, partitions)
 
 
-def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
-    """Exact linear-interpolation quantile, distributed: only the two neighbouring values
-    reach the driver (Spark's ``percentile`` merges every distinct value in one task)."""
-    vals = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    n = vals.count()
-    if n == 0:
-        return None
-    pos = q * (n - 1)
-    lo, hi = int(pos // 1), int(-(-pos // 1))
-    got = {r.pos: r._v for r in positions(vals, "_v").filter(F.col("pos").isin(lo, hi)).collect()}
-    if lo == hi or got[lo] == got[hi]:
-        return got[lo]
+#: Parts that a round of the selection cuts the remaining values into, and rounds of it.
+RADIX, RADIX_ROUNDS = 1 << 16, 5
+
+
+def _selection(vals: DataFrame, rank: Column) -> DataFrame:
+    """_v: the value of 0-based ``rank`` (an expression over ``n``, the number of rows) among ``vals`` (_v), as a
+    plan of one row.  Each round counts the values left in at most RADIX parts (signs and binary
+    exponents first, then equal parts of what is left) and keeps the part that holds the rank: a
+    float has 52 bits below its exponent, so that the last round's parts hold equal values."""
+    size = F.abs("_v")
+    parts = F.when(size == float("inf"), F.lit(4000.0)).when(size == 0, F.lit(0.0)).otherwise(F.floor(F.log2(size)) + 2000.0)
+    left = vals.select("_v", (F.signum("_v") * parts).alias("_b"))
+    pick = vals.agg(F.count(F.lit(1)).alias("n")).select(rank.cast("long").alias("_r"))
+    for i in range(RADIX_ROUNDS):
+        if i:
+            at = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RADIX)
+            inside = vals.join(F.broadcast(pick), (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+            left = inside.select("_v", F.when(F.col("_lo") == F.col("_hi"), F.lit(0)).otherwise(F.least(at, F.lit(RADIX - 1))).alias("_b"))
+        counts = left.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most RADIX rows
+        held = counts.withColumn("_before", before)
+        pick = held.join(F.broadcast(pick.select("_r")), (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_n"))) \
+            .select("_lo", "_hi", (F.col("_r") - F.col("_before")).alias("_r"))
+    return pick.select(F.col("_lo").alias("_v"))
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> Column:
+    """Exact linear-interpolation quantile of the non-null, non-NaN values, as a scalar of the plan (null if there
+    are none): nothing runs before the action, and no task holds more than RADIX counts (Spark's
+    ``percentile`` merges every distinct value in one task)."""
+    vals = df.select((F.col(col).cast("double") + F.lit(0.0)).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    pos = F.lit(q) * (F.col("n") - 1)
+    low = _selection(vals, F.floor(pos)).select(F.col("_v").alias("_low"))
+    # Of the upper neighbour it is enough to know how many values are no larger than the lower one.
+    around = vals.select("_v", low.scalar().alias("_low")).groupBy("_low").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v") <= F.col("_low")).alias("upto"), F.min(F.when(F.col("_v") > F.col("_low"), F.col("_v"))).alias("next"))
+    high = F.when(F.col("upto") > F.ceil(pos), F.col("_low")).otherwise(F.col("next"))
     # the same arithmetic as Spark's percentile aggregate
-    return (hi - pos) * got[lo] + (pos - lo) * got[hi]
+    mixed = (F.ceil(pos) - pos) * F.col("_low") + (pos - F.floor(pos)) * high
+    return around.select(F.when((F.floor(pos) == F.ceil(pos)) | (high == F.col("_low")), F.col("_low")).otherwise(mixed).alias("q")).scalar()
 
 
 def expansion_titles(articles: DataFrame, n: int = MAX_TITLES_TO_EXPAND, order: str = "ord") -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsprism.functions.text import any_phrase
 from newsprism.functions.urls import log_domain
 from newsprism.plans.articles import first_paragraph, page_title
 from newsprism.sources.tables import read_table
@@ -35,9 +36,7 @@ MIN_TITLE_CHARS = 5
 def is_api_response(url: Column, status: Column, headers: Column) -> Column:
     """S3: status 200, content-type with ``json`` or ``javascript``, url with an API pattern."""
     ctype = F.coalesce(F.try_element_at(headers, F.lit("content-type")), F.lit(""))
-    low = F.lower(url)
-    pattern = F.exists(F.array(*[F.lit(p) for p in API_PATTERNS]), lambda p: F.contains(low, p))
-    return (status == 200) & (F.contains(ctype, F.lit("json")) | F.contains(ctype, F.lit("javascript"))) & pattern
+    return (status == 200) & (F.contains(ctype, F.lit("json")) | F.contains(ctype, F.lit("javascript"))) & any_phrase(url, API_PATTERNS)
 
 
 def _vtype(x: Column) -> Column:

@@ -55,8 +55,8 @@ def read_outlets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_quartile(outlets: DataFrame):
-    """A1: exact linear-interpolation 25th percentile (distributed; null for an empty list)."""
-    return F.lit(exact_quantile(outlets, "visibility", 0.25)).cast("double")
+    """A1: exact linear-interpolation 25th percentile (a scalar of the plan; null for an empty list)."""
+    return exact_quantile(outlets, "visibility", 0.25)
 
 
 def low_visibility(outlets: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsprism.functions.dates import parse_date
-from newsprism.functions.text import clean_snippet
+from newsprism.functions.text import any_phrase, clean_snippet
 from newsprism.functions.urls import source_domain_raw
 from newsprism.plans.articles import first_paragraph, page_title
 from newsprism.sources.metasearch import search_columns
@@ -105,25 +105,19 @@ MIN_TITLE_LENGTH = 10
 ENGINE_INTERNAL = {"google_search": "google.com", "google_news": "google.com", "yandex": "yandex."}
 
 
-def _any_phrase(text: Column, phrases: list[str]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, p))
-
-
 def web_blocked(html: Column, final_url: Column) -> Column:
     """bot or blocking phrases in the page, or a blocking landing url."""
-    return (_any_phrase(html, BOT_PHRASES) | _any_phrase(html, BLOCKING_PHRASES)
-            | _any_phrase(final_url, BLOCKING_URL_PATTERNS))
+    return any_phrase(html, BOT_PHRASES + BLOCKING_PHRASES) | any_phrase(final_url, BLOCKING_URL_PATTERNS)
 
 
 def yandex_blocked(html: Column, captcha: Column) -> Column:
     """a CAPTCHA element is present (found by the parser), or a Yandex bot phrase is in the page."""
-    return captcha | _any_phrase(html, YANDEX_PHRASES)
+    return captcha | any_phrase(html, YANDEX_PHRASES)
 
 
 def system_message(title: Column) -> Column:
     """P3."""
-    return _any_phrase(title, SYSTEM_MESSAGES)
+    return any_phrase(title, SYSTEM_MESSAGES)
 
 
 # --- the per-row Python part ---------------------------------------------------------
@@ -181,7 +175,7 @@ def parse_pages(archive: DataFrame, search: tuple[str, ...] | None = None) -> Da
     search = search or search_columns(archive)
     pages = archive.select("engine", *[c for c in search if c != "engine"], F.col("page").cast("int").alias("page"), "fetched_at",
                            web_blocked(F.col("html"), F.col("final_url")).alias("_web_blk"),
-                           _any_phrase(F.col("html"), YANDEX_PHRASES).alias("_ya_phrase"), "html")
+                           any_phrase(F.col("html"), YANDEX_PHRASES).alias("_ya_phrase"), "html")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "html"]
     return pages.mapInPandas(_parse_blocks, ", ".join([*kept, "captcha boolean", "block int", f"cands {CAND}"]))
 

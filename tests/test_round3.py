@@ -224,3 +224,52 @@ def test_purge_query_counts(spark):
 def test_flagship_reads_bodies_behind_the_filter(spark):
     text = plan(queries_core.flagship(spark, "/root/testdata/sf0.001"))[0]
     assert "bit_or" in text
+
+
+# --- quantile, ranks, phrases ---------------------------------------------------------------------------------
+
+def test_quantile_is_part_of_the_plan(spark):
+    import numpy as np
+    from newsprism.operators.expand import exact_quantile
+    from newsprism.sources import outlets as O
+    inf = float("inf")
+    for vals in ([1.0], [3.0, 1.0], [2.0] * 9 + [5.0], [-1e300, -1.0, -1e-300, 0.0, -0.0, 5e-324, 1.0, 1e300], [-inf, 1.0, 2.0, inf, inf],
+                 [float(x) ** 7 for x in range(-30, 31)], [1.0 + i * 2.0 ** -52 for i in range(40)]):
+        df = spark.createDataFrame([(v,) for v in vals + [None, float("nan")]], "v double")
+        for q in (0.25, 1.0):
+            got = spark.range(1).select(exact_quantile(df, "v", q)).first()[0]
+            want = float(np.sort(vals)[int(q * (len(vals) - 1))]) if (q * (len(vals) - 1)) % 1 == 0 else float(np.quantile(vals, q))
+            assert got == want or abs(got - want) <= 1e-12 * max(1, abs(want)), (vals, q, got, want)
+    # Nothing runs while the plan is made.
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "plan-only")
+    low = O.low_visibility(spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", None)], "source string, visibility double"))
+    assert not tracker.getJobIdsForGroup("plan-only")
+    spark.sparkContext.setJobGroup("", "")
+    assert [r.source for r in low.collect()] == ["a"]
+
+
+def test_positions_are_those_of_the_stored_order(spark):
+    from newsprism.operators.expand import positions
+    df = spark.range(0, 5000, 1, 7).selectExpr("(id * 7919) % 5000 AS v")
+    ranks = positions(df, "v", partitions=6)
+    assert sorted((r.v, r.pos) for r in ranks.collect()) == [(i, i) for i in range(5000)]
+    # Read again in other splits, as after the loss of a stage: the same positions.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert sorted((r.v, r.pos) for r in ranks.where("v >= 0").repartition(3).collect()) == [(i, i) for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert positions(df.limit(0), "v").count() == 0
+
+
+def test_phrases_are_found_in_a_text_lowered_once(spark):
+    from newsprism.functions.flags import looks_blocked
+    from newsprism.functions.text import any_phrase
+    from newsprism.sources.serp_html import web_blocked
+    df = spark.createDataFrame([("Just a MOMENT",), ("fine",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(looks_blocked("t", F.create_map().cast("map<string,string>"))).collect()] == [True, False, False, False]
+    assert [r[0] for r in df.select(any_phrase("t", ["x", "moment"])).collect()] == [True, False, False, False]
+    assert [r[0] for r in df.select(web_blocked(F.col("t"), F.lit("u"))).collect()] == [False] * 4
+    lowered = [plan(df.select(any_phrase("t", [f"p{i}" for i in range(n)])))[0].count("lower(coalesce(t") for n in (1, 30)]
+    assert lowered[0] == lowered[1]
