@@ -8,8 +8,8 @@ that the merges leave apart (two neighbours are all that can disturb each other)
 prefix, a cut at a budget or a test against a limit is then a look-up, not a new encoding.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; special strings of the vocabulary
-inside a text are one token each, as the library's default; a very long piece is worked on in
-place; other columns are never read; a null doc_id is carried through.
+inside a text are one token each, as the library's default; a very long piece has one table of its
+own, a cut in it costs one pass; other columns are never read; a null doc_id is carried through.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from newsprism.llm.scratch import bound_batches
 
 #: The published cutting pattern of this family of vocabularies (a fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A piece whose prefixes are pieces too (after a leading blank): letters, numbers, other marks, white space.
+RUN = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")
 #: Pieces and pairs that one Python worker remembers at most; the oldest half goes beyond that.
 MEMO_PIECES, MEMO_PAIRS = 250_000, 300_000
 
@@ -212,9 +214,21 @@ class Prefixes:
         that crosses the budget, and whose own count is at most the budget."""
         k = bisect_right(self.tokens, budget) - 1
         best, stop = self.ends[k], self.ends[min(k + 1, len(self.ends) - 1)]
-        for chars in range(best + 1, stop + 1):
+        piece = self.text[best:stop]
+        # Cut inside a run of one kind, earlier pieces stay as they are: the piece's own table answers.
+        alone = 0 if k == 0 or not self.text[best - 1:best].isspace() else 1
+        lead = len(piece) if not RUN.fullmatch(piece) or alone and piece.isspace() else 1 + (piece[0] == " " and not piece.isspace())
+        for chars in range(best + 1, min(best + lead, stop + 1)):
             if self.at(chars) <= budget:
                 best = chars
+        if lead < len(piece):
+            start, counts, at = self.ends[k], next(self.counter.tables([piece.encode()])), 0
+            for i, c in enumerate(piece, 1):
+                at += len(c.encode())
+                if i >= lead and self.tokens[k] + counts[at] <= budget:
+                    best = start + i
+        elif stop > best and self.at(stop) <= budget:
+            best = stop
         return best
 
 

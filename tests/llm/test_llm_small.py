@@ -113,6 +113,17 @@ def test_every_prefix_and_cut(counter, library):
             assert want[cut] <= budget and (cut == len(text) or want[cut + 1] > budget or table.tokens[-1] > budget)
 
 
+def test_cut_in_a_long_piece_is_one_pass(counter, library):
+    """A run of 100,000 letters: the table of the piece answers, equal to the library's counts."""
+    letters = "".join(random.Random(4).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    for lead in ("", " ", "two words "):
+        text = lead + letters
+        cut = counter.prefixes(text).cut(1024)
+        near = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(cut, cut + 4)]
+        assert near[0] <= 1024 and min(near[1:]) > 1024 or near[0] <= 1024 < near[1]
+    assert counter.prefixes(" " * 30_000 + "x").cut(3) > 0
+
+
 def test_memory_of_pieces_is_bounded(counter, monkeypatch):
     monkeypatch.setattr(T, "MEMO_PIECES", 50)
     monkeypatch.setattr(T, "MEMO_PAIRS", 50)
