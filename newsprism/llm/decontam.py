@@ -1,6 +1,7 @@
 """Benchmark decontamination by template windows (operator 6), in DataFrame functions only.
 
-Texts are canonicalised to *templates*: numbers and units after a number become typed placeholders,
+Texts are canonicalised to *templates*: numbers and units after a number, with a blank between them
+or none, become typed placeholders,
 all else is lower-cased and stripped of punctuation, one template token per word.  A capitalised
 word, wherever it stands in its sentence, is read in two ways, as a word and as a name (a typed
 placeholder, too), and agrees if either reading does: copies in another case are found by the
@@ -16,7 +17,8 @@ the greater); windows that hold another one don't count, all others of the diago
 is found with equal slot values, else ``reparameterised``.
 
 Scale: document windows are made and probed inside the scan's tasks; the benchmark's windows are
-broadcast if their counted number is small, else both sides are shuffled by window hash.  Windows
+broadcast if their counted number is small, else both sides are shuffled by window hash; items'
+words are broadcast if their counted bytes are few.  Windows
 that more than one item place has are joined all the same.  Only documents with an anchor are
 looked at again; a diagonal is one row of an item's width, compared by array functions.
 
@@ -30,33 +32,43 @@ coverage, then the smaller item_id; other columns are never read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsprism.llm.scratch import small_side, written
 
 #: Unit names and signs that make a unit when they follow a number (fixed values).
-UNITS = ("%", "°c", "°f", "km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "ms", "min", "h", "hours", "hour", "minutes",
+UNITS = ("%", "€", "£", "$", "°", "°c", "°f", "km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "ms", "min", "h", "hours", "hour", "minutes",
          "seconds", "days", "day", "weeks", "years", "year", "miles", "mile", "feet", "inches", "pounds", "dollars", "euros",
          "cents", "mph", "kmh", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "w", "kw", "v", "kwh")
 NUM, UNIT, NAME = "①", "②", "③"
+#: Bytes of benchmark words, with their places, that a broadcast may hold.
+BROADCAST_BYTES = 64 << 20
 #: One separator character stands between template tokens.
-_SPLIT = r"[ \t\n\x0B\f\r]+"
+#: A run of white space other than one blank.
+_BLANKS = r"[\t\n\x0B\f\r][ \t\n\x0B\f\r]*| [ \t\n\x0B\f\r]+"
 _PUNCTUATION = r"[^\p{L}\p{N} ①②③]+"
 _NUMBER = r"(?<![^ ])[$€£+-]?\(?\d[\d.,:/]*\)?(?=[%.,;:!?)]* |[%.,;:!?)]*$)"
-_UNIT = NUM + r" (?:" + "|".join(u for u in UNITS if u.isascii() and u.isalpha()) + r")(?![\p{L}\p{N}])"
+_UNITS = r"(?:" + "|".join(re.escape(u) for u in UNITS) + r")(?![\p{L}\p{N}])"
+_UNIT = f"(?i){NUM} {_UNITS}"
+#: A number with its unit written on to it, up to the unit.
+_ATTACHED = rf"(?i)(?<![^ ])([$€£+-]?\(?\d[\d.,:/]*)(?={_UNITS})"
 _NAMES = r"\p{Lu}(?<![^ ]\p{Lu})\p{Lu}*\p{Ll}\p{L}*+(?![^ ])"
 
 
 def spaced(text: Column) -> Column:
-    """The text with its white space folded to single blanks, so that words keep their places."""
-    return F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _SPLIT, " "))
+    """The text with its white space folded to single blanks, so that words keep their places; a
+    blank is put before a unit written on to its number."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _BLANKS, " "))
+    return F.when(flat.rlike(r"\d"), F.regexp_replace(flat, _ATTACHED, "$1 ")).otherwise(flat)
 
 
 def template(flat: Column) -> Column:
     """One token per blank-separated word, in its case; a word of punctuation alone is empty."""
     # Most texts hold no digit: they skip the two number passes.
-    numbered = F.when(flat.rlike(r"\d"), F.regexp_replace(F.regexp_replace(flat, _NUMBER, NUM), "(?i)" + _UNIT, f"{NUM} {UNIT}")).otherwise(flat)
+    numbered = F.when(flat.rlike(r"\d"), F.regexp_replace(F.regexp_replace(flat, _NUMBER, NUM), _UNIT, f"{NUM} {UNIT}")).otherwise(flat)
     return F.regexp_replace(numbered, _PUNCTUATION, "")
 
 
@@ -66,17 +78,19 @@ def let(value: Column, body) -> Column:
 
 
 def words(df: DataFrame, key: str) -> DataFrame:
-    """key, flat, line, token (template tokens, names as lower-cased words), named_line, named (the
-    same with names as placeholders)."""
+    """key, flat, line, token (template tokens, names as lower-cased words; none of an empty text),
+    named_line, named (the same with names as placeholders)."""
     flat = df.select(F.col(key).cast("long").alias(key), spaced(F.col("text")).alias("flat"))
     both = flat.select(key, "flat", template(F.col("flat")).alias("cased"))
-    both = both.select(key, "flat", F.lower("cased").alias("line"), F.lower(F.regexp_replace("cased", _NAMES, NAME)).alias("named_line")).where("line <> ''")
-    return both.select(key, "flat", "line", "named_line", F.split("line", " ").alias("token"), F.split("named_line", " ").alias("named"))
+    both = both.select(key, "flat", F.lower("cased").alias("line"), F.lower(F.regexp_replace("cased", _NAMES, NAME)).alias("named_line"))
+    # No filter on empty lines: pushed below, it would work out every line twice.
+    tokens = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    return both.select(key, "flat", "line", "named_line", tokens("line").alias("token"), tokens("named_line").alias("named"))
 
 
-def values() -> Column:
-    """What each word of ``flat`` stands for as a slot value."""
-    return F.transform(F.split("flat", " "), lambda r: F.lower(F.regexp_replace(r, r"[.,;:!?()]+$", "")))
+def value(raw: Column) -> Column:
+    """What a word of ``flat`` stands for as a slot value."""
+    return F.lower(F.regexp_replace(raw, r"[.,;:!?()]+$", ""))
 
 
 def windows(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -84,25 +98,45 @@ def windows(df: DataFrame, key: str, k: int) -> DataFrame:
 
     A window of at least two literal words is hashed by its template, one of fewer by its template
     and its slot values (only its exact copy finds it).  A window with names is hashed by the
-    template that has them as placeholders, too, if two literal words remain."""
-    none = F.lit(0).cast("long")
+    template that has them as placeholders, too, if two literal words remain.  A window is a row of
+    the hashes of its words, made by zipping shifted arrays, and is hashed in generated code."""
+    text = words(df, key)
+    open_line = F.lit(False)
+    for sign in (NUM, UNIT, NAME, "  "):
+        open_line = open_line | F.col("line").contains(sign)
+    open_line = open_line | F.col("line").startswith(" ") | F.col("line").endswith(" ")
+    text = text.select(key, "token", "named", F.greatest(F.size("token") - (k - 1), F.lit(1)).alias("places"),
+                       (F.col("line") != F.col("named_line")).alias("names"), open_line.alias("open"), "flat")
+    none = F.array().cast("array<bigint>")
+    sign = {t: F.xxhash64(F.lit(t)) for t in (NUM, UNIT, NAME, "")}
     slot = lambda t: t.isin(NUM, UNIT, NAME)
-    text = words(df, key).withColumn("open", F.col("line").rlike(f"[{NUM}{UNIT}{NAME}]|^ | $|  "))
-    at = F.sequence(F.lit(1), F.greatest(F.size("token") - (k - 1), F.lit(1)))
     hashes = lambda c: F.transform(c, lambda t: F.xxhash64(t))
-    literal = lambda c: F.transform(c, lambda t: F.when((t == "") | slot(t), none).otherwise(F.xxhash64(t)))
-    exact = F.transform(F.arrays_zip(F.col("token").alias("t"), values().alias("v")), lambda z: F.xxhash64(F.when(slot(z["t"]), z["v"]).otherwise(z["t"])))
-    enough = lambda ls, i: F.size(F.array_remove(F.slice(ls, i, k), none)) >= F.least(F.lit(2), F.size("token"))
-    row = lambda i, h: F.struct(i.alias("pos"), h.alias("hash"))
-    plain = F.when(~F.col("open"), let(hashes("token"), lambda h: F.transform(at, lambda i: row(i, F.xxhash64(F.slice(h, i, k)))))).otherwise(
-        let(F.struct(hashes("token").alias("h"), literal("token").alias("l"), exact.alias("x")), lambda a: F.transform(at, lambda i: row(i, F.when(
-            enough(a["l"], i), F.xxhash64(F.slice(a["h"], i, k))).otherwise(F.xxhash64(F.lit("exact"), F.slice(a["x"], i, k)))))))
-    named = let(F.struct(hashes("named").alias("h"), literal("named").alias("l")), lambda a: F.transform(
-        F.filter(at, lambda i: F.array_contains(F.slice(a["l"], i, k), none) & enough(a["l"], i)
-                 & (~F.col("open") | F.array_contains(F.slice(a["h"], i, k), F.xxhash64(F.lit(NAME))))),
-        lambda i: row(i, F.xxhash64(F.slice(a["h"], i, k)))))
-    found = F.when(F.col("line") == F.col("named_line"), plain).otherwise(F.concat(plain, named))
-    return text.select(key, F.explode(found).alias("w")).select(key, "w.pos", "w.hash")
+    exact = F.transform(F.arrays_zip(F.col("token").alias("t"), F.split("flat", " ").alias("r")), lambda z: F.xxhash64(
+        F.when(slot(z["t"]), value(z["r"])).otherwise(z["t"])))
+    text = text.select(key, "places", "open", F.least(F.lit(2), F.size("token")).alias("least"), hashes("token").alias("plain"),
+                       F.when(F.col("names"), hashes("named")).otherwise(none).alias("typed"), F.when(F.col("open"), exact).otherwise(none).alias("exact"))
+    # A row holds the hashes of its own words only (arrays carried past the explode would be copied per
+    # row).  The first places are those of the words, the others those of the reading with names.
+    shifted = lambda c, j: F.slice(c, j + 1, F.col("places"))
+    zipped = F.arrays_zip(*(F.concat(shifted("plain", j), shifted("typed", j)).alias(f"h{j}") for j in range(k)),
+                          *(shifted("exact", j).alias(f"x{j}") for j in range(k)))
+    rows = text.select(key, "open", "places", "least", F.posexplode(zipped).alias("at", "w"))
+    rows = rows.select(key, "open", "least", (F.col("at") >= F.col("places")).alias("typed"), (F.col("at") % F.col("places")).alias("pos"), "w.*")
+    hs = [F.col(f"h{j}") for j in range(k)]
+    literals = sum((F.when(h.isin(*sign.values()), 0).when(h.isNotNull(), 1).otherwise(0) for h in hs), F.lit(0))
+    enough = (~F.col("open") & ~F.col("typed")) | (literals >= F.col("least"))
+    named = F.lit(False)
+    for h in hs:
+        named = named | F.coalesce(h == sign[NAME], F.lit(False))
+    return rows.where(~F.col("typed") | (named & enough)).select(key, (F.col("pos") + 1).alias("pos"), F.when(enough, F.xxhash64(*hs)).otherwise(
+        F.xxhash64(F.lit("exact"), *(F.col(f"x{j}") for j in range(k)))).alias("hash"))
+
+
+def small_texts(df: DataFrame, *columns: str) -> DataFrame:
+    """Hint a broadcast if the word arrays of a written table have at most BROADCAST_BYTES; else
+    leave the choice to Spark."""
+    held = df.agg(F.sum(sum((F.size(c) * F.lit(16) + F.octet_length(F.array_join(c, "")) for c in columns), F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def anchors(docs: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
@@ -118,10 +152,10 @@ def aligned(found: DataFrame, docs: DataFrame, benchmark: DataFrame, k: int) ->
     the item that agree with the document on a diagonal, compared word by word."""
     names = found.select("doc_id").distinct()
     own = words(docs.join(small_side(names), "doc_id", "left_semi"), "doc_id").select(
-        "doc_id", F.col("token").alias("dt"), F.col("named").alias("dn"), values().alias("dv"))
+        "doc_id", F.col("token").alias("dt"), F.col("named").alias("dn"), F.split("flat", " ").alias("dv"))
     items = written(words(benchmark, "item_id").where("item_id is not null").select(
-        "item_id", F.col("token").alias("it"), F.col("named").alias("in"), values().alias("iv")), "item-words")
-    both = own.join(small_side(found), "doc_id").join(small_side(items), "item_id")
+        "item_id", F.col("token").alias("it"), F.col("named").alias("in"), F.split("flat", " ").alias("iv")), "item-words")
+    both = own.join(small_side(found), "doc_id").join(small_texts(items, "it", "in", "iv"), "item_id")
     # Places of the item, from 0, that the document has a word for.
     both = both.withColumns({"lo": F.greatest(F.lit(0), -F.col("diagonal")), "hi": F.least(F.size("it"), F.size("dt") - F.col("diagonal")),
                              "w": F.least(F.lit(k), F.size("it"))})
@@ -136,18 +170,19 @@ def aligned(found: DataFrame, docs: DataFrame, benchmark: DataFrame, k: int) ->
     inside = lambda cs: let(runs(F.transform(cs, lambda c: c["ok"])), lambda run: F.transform(cs, lambda c, j: F.struct(
         F.exists(F.slice(run, F.greatest(F.lit(1), j + 2 - F.col("w")), F.least(j + 1, F.col("w"))), lambda x: x).alias("ok"),
         c["item"].alias("item"), c["doc"].alias("doc"))))
-    both = both.select("doc_id", "item_id", "lo", "w", F.greatest(F.size("it") - (k - 1), F.lit(1)).cast("long").alias("n_windows"), starts.alias("starts"),
-                       let(cells, lambda cs: let(inside(cs), consistent)).alias("cells"))
-    hits = F.filter(F.transform("starts", lambda i: let(F.slice("cells", i, F.col("w")), lambda cs: F.when(F.forall(cs, lambda c: c["ok"]), F.struct(
-        (F.col("lo") + i - 1).alias("item_pos"), F.exists(cs, lambda c: F.coalesce(c["item"] != c["doc"], F.lit(False))).alias("changed"))))), lambda x: x.isNotNull())
-    return both.select("doc_id", "item_id", "n_windows", F.explode(hits).alias("hit")).select("doc_id", "item_id", "n_windows", "hit.*")
+    both = both.select("doc_id", "item_id", "lo", "w", F.greatest(F.size("it") - (k - 1), F.lit(1)).cast("long").alias("n_windows"),
+                       # The cells are a variable: as a column they would be put, and computed, inside the loop over windows.
+                       let(let(cells, lambda cs: let(inside(cs), consistent)), lambda cells: F.transform(starts, lambda i: let(
+                           F.slice(cells, i, F.col("w")), lambda cs: F.when(F.forall(cs, lambda c: c["ok"]), F.struct(
+                               (F.col("lo") + i - 1).alias("item_pos"), F.exists(cs, lambda c: F.coalesce(c["item"] != c["doc"], F.lit(False))).alias("changed")))))).alias("hits"))
+    return both.select("doc_id", "item_id", "n_windows", F.explode("hits").alias("hit")).where("hit is not null").select("doc_id", "item_id", "n_windows", "hit.*")
 
 
 def cell(z: Column) -> Column:
     """ok, item, doc: whether two words agree in either reading, and their values if they are slots."""
     ok = (z["it"] == z["dt"]) | ((z["in"] == NAME) & (z["dn"] == NAME))
     slot = ok & z["in"].isin(NUM, UNIT, NAME)
-    return F.struct(ok.alias("ok"), F.when(slot, z["iv"]).alias("item"), F.when(slot, z["dv"]).alias("doc"))
+    return F.struct(ok.alias("ok"), F.when(slot, value(z["iv"])).alias("item"), F.when(slot, value(z["dv"])).alias("doc"))
 
 
 def consistent(cells: Column) -> Column:
