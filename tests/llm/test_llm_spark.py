@@ -1,5 +1,6 @@
 """The training-data operators on small tables against brute-force versions."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -192,6 +193,37 @@ def test_warc_pages(spark):
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_pages_of_other_encodings(spark):
+    rows = [(1, "http://a/", "caf\xe9 ".encode("latin-1") * 300), (2, "http://b/", "caf\xe9 ".encode("latin-1") * 300),
+            (3, "http://c/", bytes(range(256)) * 8), (4, "http://d/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html binary")
+    got = {r.page_id: r for r in warc.archived_pages(pages).collect()}
+    for i, _, raw in rows:
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw or b""), hashlib.sha1(raw or b"").hexdigest())
+    assert [got[i].refers_to for i in (1, 2, 3, 4)] == [2, None, None, None]
+
+
+def test_warc_of_stored_archives(spark, tmp_path):
+    page = lambda p: b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + p
+    big = bytes(range(256)) * 6
+    old = [("http://a/", page(big)), ("http://b/", page(b"small")), ("dns:a", b"1.2.3.4")]
+    new = [("http://a/ x", page(big)), ("http://b/", page(b"small")), ("http://a/", page(big))]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "old.arc").write_bytes(warc.arc_archive(1, "old.arc", old, "19991231235959"))
+    (tmp_path / "arc" / "new.arc.gz").write_bytes(gzip.compress(warc.arc_archive(2, "new.arc", new, "20010203040506")))
+    (tmp_path / "arc" / "none.arc").write_bytes(b"")
+    found = warc.read_arc(spark, str(tmp_path / "arc")).collect()
+    assert sorted((r.version, r.url, r.block) for r in found) == sorted([(1, *x) for x in old] + [(2, *x) for x in new])
+    warc.write_warc(warc.convert_archives(spark, str(tmp_path / "arc")), str(tmp_path / "warc"))
+    back = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert sorted((r.target_uri, r.record_type, r.warc_date[:4]) for r in back) == [
+        ("dns:a", "resource", "1999"), ("http://a/", "response", "2001"), ("http://a/", "revisit", "1999"),
+        ("http://a/%20x", "revisit", "2001"), ("http://b/", "response", "1999"), ("http://b/", "response", "2001")]
+    assert {r.declared_digest for r in back if r.target_uri.startswith("http://a/")} == {hashlib.sha1(big).hexdigest()}
+    held = next(r for r in back if r.record_type == "response" and r.target_uri == "http://a/")
+    assert {r.refers_to_id for r in back if r.record_type == "revisit"} == {held.record_id} and held.payload_bytes == len(big)
+
+
 def turns_table(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
 
