@@ -9,7 +9,7 @@ however long that is), turned into postfix order by the shunting-yard method (``
 ``AND``, ``AND`` closer than ``OR``) and evaluated against a set of allowed identifiers.
 
 Edge cases: a null or empty text has no words, no labels and score 0; overlapping places all
-count; a malformed expression yields its identifiers as labels but no verdict (null); repeated
+count; a malformed expression yields its identifiers as labels but no verdict (null); a tag counts for the score only with a well-formed one; repeated
 rows are scanned one by one; other columns are never read.
 """
 
@@ -146,7 +146,7 @@ def scan(text: str, find: ahocorasick.Automaton, allowed: frozenset[str] = ALLOW
             tagged = True
         else:
             labels.add(label)
-        missing *= 1 - weight
+            missing *= 1 - weight
     if tagged:
         for found in _TAG.finditer(text):
             line_end = _LINE_END.search(text, found.end())
@@ -154,6 +154,7 @@ def scan(text: str, find: ahocorasick.Automaton, allowed: frozenset[str] = ALLOW
             expressions.append(text[found.end():end])
             labels.update(names)
             if order is not None:
+                missing *= 1 - TAG_WEIGHT
                 verdict = evaluate(order, allowed)
                 permitted = verdict if permitted is None else permitted and verdict
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),

@@ -176,6 +176,8 @@ def test_spdx_tag_is_evaluated():
     got = L.scan("# SPDX-License-Identifier: (GPL-2.0-only OR MIT) AND ISC\ncode", L.automaton())
     assert got[5] == "gpl-2.0-only,isc,mit" and got[8] is True and got[6] == 1.0
     assert L.scan("SPDX-License-Identifier: (MIT", L.automaton())[8] is None
+    assert L.scan("the tag SPDX License Identifier is explained here", L.automaton())[5:9] == ("", 0.0, None, None)
+    assert L.scan("SPDX-License-Identifier: (MIT", L.automaton())[6] == 0.0 and L.scan("SPDX-License-Identifier: MIT", L.automaton())[6] == 1.0
 
 
 def test_long_expressions_are_read_to_their_end():
@@ -207,14 +209,28 @@ def test_arc_errors():
         list(W.arc_records(good[:-4]))
     with pytest.raises(ValueError):
         list(W.arc_records(good.replace(b"1 0 newsprism", b"7 0 newsprism")))
+    with pytest.raises(ValueError, match="no header line"):
+        list(W.arc_records(good + b"no length here\n"))
+    blocks = [("http://a/", bytes(range(256)) * 9), ("http://b/", b"")] * 20
+    archive = W.arc_archive(2, "f", blocks)
+    for step in (1, 7, 1000):  # cut anywhere
+        assert [(r.fields["URL"], r.block) for r in W.arc_records(W.sliced(archive, step))] == blocks
+
+
+def test_warc_of_other_records():
+    assert W.warc_date("199612251530") == "1996-12-25T15:30:00Z" and W.warc_date("1996") == "1996-01-01T00:00:00Z"
+    record = next(W.arc_records(W.arc_archive(1, "f", [("dns:a", b"20240101\na. 3 IN A 1.2.3.4\n")])))
+    [(fields, block)] = W.parse_warc([W.warc_record(record, "k") + W.END.encode()])
+    assert (fields["warc-type"], fields["content-type"], block) == ("resource", "text/html", record.block)
+    assert fields["warc-payload-digest"] == fields["warc-block-digest"] == W.sha1_32(record.block)
 
 
 def test_warc_parser_reads_by_length():
     import gzip
     pages = [(1, "http://a/", b"x" * 10), (2, "http://b/", b"\r\n\r\nWARC/1.0\r\n\r\n"), (None, "urn:none", b""), (4, "http://d/", "ü".encode() * 70_000)]
     arc = W.arc_archive(2, "f", [(u, W.http_block(p, i)) for i, u, p in pages])
-    text = "".join(W.warc_record(r, f"k{n}", "k0" if n == 3 else None) + W.END for n, r in enumerate(W.arc_records(arc)))
-    data = gzip.compress(text[:50].encode()) + gzip.compress(text[50:].encode())
+    text = b"".join(W.warc_record(r, f"k{n}", "k0" if n == 3 else None) + W.END.encode() for n, r in enumerate(W.arc_records(arc)))
+    data = gzip.compress(text[:50]) + gzip.compress(text[50:])
     got = list(W.parse_warc(W.inflate(data, 100)))
     assert [f["warc-type"] for f, _ in got] == ["response", "response", "response", "revisit"]
     for (f, block), (i, _, p) in zip(got, pages):
@@ -223,7 +239,7 @@ def test_warc_parser_reads_by_length():
             assert block == W.http_block(p, i)
     assert got[3][0]["warc-refers-to"] == got[0][0]["warc-record-id"]
     with pytest.raises(ValueError):
-        list(W.parse_warc(iter([text.encode()[:-40]])))
+        list(W.parse_warc(iter([text[:-40]])))
 
 
 def test_toxic_features():
