@@ -59,13 +59,31 @@ def test_dedup_random_equals_sequential(spark):
         assert run_keys(spark, rows) == seq_scan(rows), trial
 
 
-def test_dedup_chain_takes_a_round_per_pair(spark):
-    # (t0,u0),(t0,u1),(t1,u1),(t1,u2),... : a chain, the worst case for rounds
-    rows = []
-    for i in range(20):
-        rows.append((2 * i, f"t{i}", f"u{i}"))
-        rows.append((2 * i + 1, f"t{i}", f"u{i + 1}"))
+def test_dedup_chain_is_followed_by_doubling(spark, monkeypatch):
+    # (t0,u0),(t0,u1),(t1,u1),(t1,u2),... : a chain, the worst case for plain rounds
+    rows = [(i, f"t{i // 2}", f"u{(i + 1) // 2}") for i in range(10_000)]
+    calls = []
+    for name in ("_round", "_chain_round", "_hop"):
+        monkeypatch.setattr(D, name, lambda *a, _f=getattr(D, name), _n=name: calls.append(_n) or _f(*a))
     assert run_keys(spark, rows) == seq_scan(rows)
+    assert len(calls) <= 20 and calls.count("_chain_round") == 1, calls
+
+
+def test_dedup_chains_among_other_shapes(spark):
+    # runs up and down, stars and knots, every round by links
+    rnd = random.Random(5)
+    for trial in range(6):
+        rows, n = [], 0
+        for c in range(12):
+            size = rnd.randint(1, 14)
+            rows += [(n + i, f"t{c}-{i // 2}", f"u{c}-{(i + 1) // 2}") for i in range(size)]
+            n += size
+        if trial % 2:
+            order = list(range(n))
+            rnd.shuffle(order)
+            rows = [(order[o], t, u) for o, t, u in rows]
+        rows += [(n + i, f"t{rnd.randint(0, 11)}-{rnd.randint(0, 6)}", f"u{rnd.randint(0, 11)}-{rnd.randint(0, 6)}") for i in range(3 * trial)]
+        assert run_keys(spark, rows, plain_rounds=0) == seq_scan(rows), trial
 
 
 def test_dedup_empty_titles(spark):
