@@ -145,6 +145,10 @@ class PrefixCounter:
 
     def counts(self, texts: list[str]) -> list[list[int]]:
         """Tokens of each piece of each text."""
+        return [counts for _, counts in self.counted(texts)]
+
+    def counted(self, texts: list[str]) -> list[tuple[list[str | None], list[int]]]:
+        """The pieces of each text and the tokens of each."""
         known = self.memo.get
         found = [self.pieces(t) for t in texts]
         out = [[known(p) for p in f] for f in found]
@@ -154,13 +158,13 @@ class PrefixCounter:
             new = self.learn(new - {None}) | special
             out = [[new[p] if n is None else n for p, n in zip(f, c, strict=True)] if None in c else c
                    for f, c in zip(found, out, strict=True)]
-        return out
+        return list(zip(found, out, strict=True))
 
     def count(self, text: str) -> int:
         return sum(self.counts([text])[0])
 
     def prefixes(self, text: str) -> Prefixes:
-        return Prefixes(self, text)
+        return Prefixes(self, text, *self.counted([text])[0])
 
 
 _NEVER = 1 << 40
@@ -188,9 +192,8 @@ class Prefixes:
     special strings look ahead, but not further), so any answer costs a few pieces.
     """
 
-    def __init__(self, counter: PrefixCounter, text: str):
+    def __init__(self, counter: PrefixCounter, text: str, found: list[str | None], counts: list[int]):
         self.counter, self.text = counter, text
-        found, counts = counter.pieces(text), counter.counts([text])[0]
         specials = [m.span() for m in counter.specials.finditer(text)] if counter.specials else []
         sizes, k = [], 0
         for p in found:
@@ -271,11 +274,11 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024) -> Da
         for b in batches:
             sizes, tokens, cuts = [], [], []
             for texts in _groups([x.as_py() or "" for x in b.column(1)]):
-                for text, counts in zip(texts, counter.counts(texts), strict=True):
+                for text, (found, counts) in zip(texts, counter.counted(texts), strict=True):
                     n = sum(counts)
                     sizes.append(len(text.encode()))
                     tokens.append(n)
-                    cuts.append(len(text) if n <= limit else counter.prefixes(text).cut(limit))
+                    cuts.append(len(text) if n <= limit else Prefixes(counter, text, found, counts).cut(limit))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()),
                  pa.array([n > limit for n in tokens], pa.bool_()), pa.array(cuts, pa.int64())],
