@@ -557,6 +557,19 @@ def test_learned_operators_without_labels(spark):
     assert toxicity.toxicity(docs_of(spark, []), labels).count() == 0 and quality_rank.quality(docs_of(spark, []), labels).count() == 0
 
 
+def test_near_duplicates_stage_on_repeated_rows(spark):
+    import corpus_pipeline as P
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (1, one), (1, one), (2, one), (3, two), (3, two + " end"), (4, None), (4, None), (None, one), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", None, 5, "x") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    out = P.near_duplicates_stage(spark, docs, "")
+    assert out.columns == list(P.COLUMNS)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(
+        [(1, one), (3, two), (3, two + " end"), (4, None), (None, one), (None, one)], key=str)
+    assert P.near_duplicates_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline_stages_against_their_operators(spark):
     import corpus_pipeline as P
     docs = spark.read.parquet(f"{SF}/documents.parquet")
