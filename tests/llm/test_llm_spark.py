@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -546,6 +548,45 @@ def test_quality_held_out(spark):
     assert all(r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    ids = [r[0] for r in spark.range(26_000).orderBy(F.xxhash64("id"), "id").collect()]
+    held = {i for i in ids if zlib.crc32(str(i).encode()) % 5 == 0}
+    fit = [i for i in ids if i not in held]
+    bad = {*fit[20_000:], *(i for i in held if i % 2)}  # the 20,000 smallest hashes have one label only
+    docs = spark.createDataFrame([(i, "BAD!! W0RDS $$" if i in bad else "some good words") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in ids], "doc_id long, quality int")
+    assert {(r.doc_id, r.predicted) for r in quality_rank.quality(docs, labels).collect()} == {(i, int(i not in bad)) for i in ids}
+    model = quality_rank.fit(quality_rank.vectors(docs), labels)
+    good, wrong = quality_rank.features(pa.array(["some good words", "BAD!! W0RDS $$"]))
+    assert model.means == pytest.approx((20_000 * good + (len(fit) - 20_000) * wrong) / len(fit))
+
+
+@pytest.mark.parametrize("n", [(40, 60), (60, 40), (3, 100), (100, 3), (2, 3), (1, 1)])
+def test_quality_pairs_hold_every_row(spark, n):
+    labels = [0] * n[0] + [1] * n[1]
+    fit = spark.createDataFrame([(i, y, [float(i)]) for i, y in enumerate(labels)], "doc_id long, label int, z array<double>")
+    got = [(int(r.winner[0]), int(r.loser[0])) for r in quality_rank.pairs(fit, parts=4).collect()]
+    order = [r[0] for r in fit.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    few, many = sorted(([i for i in order if labels[i] == y] for y in (0, 1)), key=len)
+    take = min(max(8, math.ceil(len(many) / len(few))), len(many))
+    dealt = [(a, many[(i * take + k) % len(many)]) for i, a in enumerate(few) for k in range(take)]
+    assert sorted(got) == sorted((a, b) if labels[a] else (b, a) for a, b in dealt)
+    assert {i for pair in got for i in pair} == set(range(len(labels)))
+
+
+@pytest.mark.parametrize("n,values", [(5000, 10**6), (3000, 40), (700, 3), (6, 100), (2, 1)])
+def test_quality_threshold_over_files(spark, n, values):
+    rnd = random.Random(n)
+    rows = [(rnd.randrange(values) / 7 + (i % 2) * values / 20, i % 2) for i in range(n)]
+    scores, labels = np.array(rows).T
+    levels = np.unique(np.quantile(scores, np.linspace(0, 1, 401)))
+    hit = np.array([(scores[labels == 1] >= x).mean() + (scores[labels == 0] < x).mean() for x in levels])
+    best = levels[hit >= hit.max() - 1e-12]
+    want = (best[0] + best[-1]) / 2
+    frame = spark.createDataFrame(rows, "score double, label int")
+    assert quality_rank.threshold(frame, parts=5) == quality_rank.threshold(frame) == quality_rank.quantile_threshold(scores, labels) == want
+
+
 def test_learned_operators_without_labels(spark):
     docs, labels = labelled(spark, "toxic", 40)
     none = labels.limit(0)
